@@ -167,8 +167,9 @@ class Mix:
         draws = self.slots.groupBy("idx", "block").agg(F.count_if(F.col("take") == self.block).alias("whole"),
                                                        F.sum(F.when(F.col("take") < self.block, F.col("take")).otherwise(0)).alias("part"))
         words = F.col("whole") * (F.col("hi") - F.col("lo")) + F.greatest(F.least("hi", "part") - F.col("lo"), F.lit(0))
+        # Spark's estimate of the draws knows nothing of their expansion and would have them broadcast.
         # A document of some size is known by its source and its place there; others have nothing to take.
-        per_doc = (self.segments.join(draws, ["idx", "block"], "left").groupBy("idx", "start", "doc_id", "size")
+        per_doc = (self.segments.join(draws.hint("merge"), ["idx", "block"], "left").groupBy("idx", "start", "doc_id", "size")
                    .agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken")))
         empty = (self.sized.where("size = 0").join(self.sources, self.sized["source"].eqNullSafe(self.sources["source"]))
                  .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
@@ -177,7 +178,7 @@ class Mix:
     def pieces(self) -> DataFrame:
         """(doc_id, tie, idx, copies, ranges): whole passes and the word ranges of the last, partial one."""
         partial = self.slots.join(self.sources.select("idx", "passes"), "idx").where(F.col("pass") == F.col("passes")).select("idx", "block", "take")
-        ranges = (self.segments.join(partial, ["idx", "block"], "left")
+        ranges = (self.segments.join(partial.hint("merge"), ["idx", "block"], "left")
                   .withColumn("until", F.when(F.col("take").isNotNull(), F.least("hi", "take"))).withColumn("base", F.col("block") * self.block - F.col("start"))
                   .groupBy("idx", "start", "doc_id", "tie", "size")
                   .agg(F.sort_array(F.collect_list(F.when(F.col("until") > F.col("lo"), F.struct((F.col("lo") + F.col("base")).alias("lo"),
