@@ -42,7 +42,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         del df
-        # The context cleaner frees shuffle files once the driver has let go of their owners.
+        # The context cleaner frees shuffle files once the driver has let go of their owners; Spark
+        # holds on to the latest plan it ran, so a trivial one has to follow.
+        self.spark.range(1).collect()
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return out
