@@ -60,7 +60,11 @@ def rotations(dim: int, count: int, seed: int = SEED) -> np.ndarray:
     return np.stack(out)
 
 
-def _codes(bits: int, tables: int):
+def _key_type(bits: int) -> str:
+    return "<i4" if bits < 32 else "<i8"
+
+
+def _codes(bits: int, tables: int, real: str):
     """Adds each vector's bucket in all tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,10 +76,10 @@ def _codes(bits: int, tables: int):
                 if d not in made:
                     made[d] = rotations(int(d), 1 + -(-bits * tables // int(d)))[1:]
                 at = np.flatnonzero(dims == d)
-                x = np.frombuffer(b"".join(vectors[i] for i in at), dtype="<f8").reshape(len(at), -1)
+                x = np.frombuffer(b"".join(vectors[i] for i in at), dtype=real).reshape(len(at), -1).astype(np.float64)
                 sign = np.concatenate([x @ r.T > 0 for r in made[d]], axis=1)[:, : bits * tables].reshape(len(at), tables, bits)
                 keys = sign @ (np.int64(1) << np.arange(bits, dtype=np.int64))
-                for i, k in zip(at, keys.astype("<i8")):
+                for i, k in zip(at, keys.astype(_key_type(bits))):
                     out[i] = k.tobytes()
             yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(out, type=pa.binary())],
                                   names=["node", "v", "dim", "copies", "keys"])
@@ -83,16 +87,20 @@ def _codes(bits: int, tables: int):
     return run
 
 
-def _spread(pdfs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spread(bits: int):
     """One row per vector and table."""
-    for batch in pdfs:
-        keys = [np.frombuffer(k, dtype="<i8") for k in batch.column(4).to_pylist()]
-        if not keys:
-            continue
-        tables = len(keys[0])
-        out = batch.take(pa.array(np.repeat(np.arange(len(keys)), tables)))
-        yield pa.record_batch([*out.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keys))), pa.array(np.concatenate(keys))],
-                              names=[*batch.schema.names, "tab", "bucket"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.frombuffer(k, dtype=_key_type(bits)) for k in batch.column(4).to_pylist()]
+            if not keys:
+                continue
+            tables = len(keys[0])
+            out = batch.take(pa.array(np.repeat(np.arange(len(keys)), tables)))
+            yield pa.record_batch([*out.columns, pa.array(np.tile(np.arange(tables, dtype=np.int32), len(keys))), pa.array(np.concatenate(keys).astype(np.int64))],
+                                  names=[*batch.schema.names, "tab", "bucket"])
+
+    return run
 
 
 def _link(tab: int, a: np.ndarray, b: np.ndarray | None, x: np.ndarray, keys: np.ndarray, copies: np.ndarray, threshold: float, turn: np.ndarray):
@@ -141,7 +149,7 @@ def _link(tab: int, a: np.ndarray, b: np.ndarray | None, x: np.ndarray, keys: np
     return links, found
 
 
-def _tiles(threshold: float):
+def _tiles(threshold: float, bits: int, real: str):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int]] = []
         turns: dict[int, np.ndarray] = {}
@@ -150,7 +158,7 @@ def _tiles(threshold: float):
                 continue
             if dim not in turns:
                 turns[dim] = rotations(int(dim), 1)[0]
-            x, keys = matrix(tile["v"]), matrix(tile["keys"], "<i8")
+            x, keys = matrix(tile["v"], real).astype(np.float64), matrix(tile["keys"], _key_type(bits))
             node, at = tile["node"].to_numpy(), tile["at"].to_numpy()
             a, b = np.flatnonzero(at == t1), np.flatnonzero(at == t2)
             links, found = _link(int(tab), a, None if t1 == t2 else b, x, keys, tile["copies"].to_numpy(), threshold, turns[dim])
@@ -166,11 +174,14 @@ def near_vector_components(spark: SparkSession, vectors: DataFrame, threshold: f
     """(vec_id, n_links, component_id, kept), one row per row of ``vectors``."""
     scratch = Scratch(spark, "near-vectors")
 
+    # Single-precision components are kept as such: the same numbers in half the bytes.
+    real = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+
     def pack(batches):
         for batch in batches:
             v = [None if x is None else np.array(x, dtype=np.float64) + 0.0 for x in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array([0 if x is None else len(x) for x in v], type=pa.int32()),
-                                   pa.array([None if x is None else x.astype("<f8").tobytes() for x in v], type=pa.binary())], names=["vec_id", "dim", "v"])
+                                   pa.array([None if x is None else x.astype(real).tobytes() for x in v], type=pa.binary())], names=["vec_id", "dim", "v"])
 
     good = usable("e") & F.exists("e", lambda x: x != 0)
     rows = scratch.save(vectors.select(known(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("e"))
@@ -180,9 +191,9 @@ def near_vector_components(spark: SparkSession, vectors: DataFrame, threshold: f
     total = classes.count()
     bits, tables = table_shape(total, threshold, recall)
     coded = classes.select(F.xxhash64("dim", "v").alias("node"), "v", "dim", "copies").mapInArrow(
-        _codes(bits, tables), "node long, v binary, dim int, copies long, keys binary")
+        _codes(bits, tables, real), "node long, v binary, dim int, copies long, keys binary")
     coded = scratch.save(coded, "coded")
-    spread = coded.mapInArrow(_spread, "node long, v binary, dim int, copies long, keys binary, tab int, bucket long")
+    spread = coded.mapInArrow(_spread(bits), "node long, v binary, dim int, copies long, keys binary, tab int, bucket long")
     narrow = spread.groupBy("dim", "tab", "bucket").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("nb"), F.count("*").alias("rows"))
     crowded = narrow.where("nb > 1").drop("rows")
     # A bucket of several blocks has a tile for each two of them; others are one tile.
@@ -191,7 +202,7 @@ def near_vector_components(spark: SparkSession, vectors: DataFrame, threshold: f
              .withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
              .withColumn("t1", F.least("at", "other")).withColumn("t2", F.greatest("at", "other")).drop("nb", "other")
              .withColumn("g", F.pmod(F.xxhash64("dim", "tab", "bucket", "t1", "t2"), F.lit(max(16, total * tables // 8192)))))
-    found = scratch.save(tiles.groupBy("g").applyInPandas(_tiles(threshold), "a long, b long, links long"), "found")
+    found = scratch.save(tiles.groupBy("g").applyInPandas(_tiles(threshold, bits, real), "a long, b long, links long"), "found")
     component = connected_components(found.where("a <> b").select("a", "b"), scratch)
     links = found.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     named = classes.select("dim", "v", F.col("node").alias("low"), "copies", F.xxhash64("dim", "v").alias("node"))
