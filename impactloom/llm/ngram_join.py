@@ -344,7 +344,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
                         .groupBy("chunk").applyInPandas(_choose_keys(percent), "key long, node long"), "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
     meets = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-    families = scratch.save(connected_components(meets, scratch, "meet").select("node", F.col("component").alias("cc")), "families")
+    families = connected_components(meets, scratch, "meet").select("node", F.col("component").alias("cc"))
     scratch.drop("keys")
 
     members = scratch.save(sets.join(families, "node"), "members")
@@ -352,7 +352,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
     sizes = members.groupBy("cc").agg(F.count("*").alias("members"))
     n_groups = max(16, members.count() // 256)
     links = scratch.save(_tile_links(_ring_tiles(members, sizes), percent, n_groups), "ring")
-    joined = scratch.save(connected_components(links, scratch, "joined"), "joined")
+    joined = connected_components(links, scratch, "joined")
 
     parts = families.join(joined, "node", "left").select("cc", "node", F.coalesce("component", "node").alias("part"))
     by_part = parts.groupBy("cc", "part").agg(F.count("*").alias("m"))
@@ -364,7 +364,7 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
                  .withColumn("side", (F.col("part") == F.col("main")).cast("int")).drop("main"))
         more = _tile_links(_rest_tiles(open_, several), percent, n_groups)
         links = scratch.save(links.unionByName(more), "links")
-        joined = scratch.save(connected_components(links, scratch, "all"), "components")
+        joined = connected_components(links, scratch, "all")
 
     named = (classes.select("n", "s1", "s2", "rep")
              .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")

@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +40,8 @@ class Encoder:
     def __init__(self, tokenizer_path: str | None = None, ranks_path: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -51,10 +51,22 @@ class Encoder:
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
+
+@lru_cache(maxsize=1)
+def _encoder(tokenizer_path: str | None, ranks_path: str | None) -> Encoder:
+    """One encoder per worker process, whatever the number of its tasks."""
+    return Encoder(tokenizer_path, ranks_path)
+
 
 def _cut(limit: int, end_id: int, tokenizer_path: str | None, ranks_path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer_path, ranks_path)
+        encode = _encoder(tokenizer_path, ranks_path)
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
             for doc, text, tie in zip(*(c.to_pylist() for c in batch.columns)):
@@ -116,7 +128,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         by_length.setdefault(length, []).append(tuple(run))
     plan = spark.createDataFrame([(length, parts) for length, parts in by_length.items()],
                                  "length int, plan array<struct<rank:bigint,count:bigint,sequence:bigint,offset:bigint>>")
-    ranked = running_totals(pieces.withColumn("one", F.lit(1)), ["length"], ["doc_id", "piece", "tie", "start", "ids_crc32"], "one", "rank")
+    ranked = running_totals(pieces.withColumn("one", F.lit(1)), "length", ["doc_id", "piece", "tie", "start", "ids_crc32"], "one", "rank")
     # One row for each length: bounded by ``limit``, so it can go to every executor.
     slot = F.element_at(F.filter("plan", lambda r: (r["rank"] <= F.col("rank")) & (F.col("rank") < r["rank"] + r["count"])), 1)
     return (ranked.join(F.broadcast(plan), "length").withColumn("slot", slot)

@@ -1,45 +1,29 @@
 """Running totals within groups of any size, without one task per group.
 
 A window over a group puts the whole group into one task.  Here rows are spread over buckets by a
-hash of their order key, the totals of buckets are accumulated (recursively, while a group has many
-buckets), and a window runs within a bucket only.  The order is (bucket, key): arbitrary but fixed.
+hash of their order key, bucket totals are accumulated per group, and the window over rows runs
+within a bucket only.  The order is (bucket, key): arbitrary but fixed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Rows of one bucket, on average.
-FANOUT = 256
+#: Rows of all groups for each bucket number.
+BUCKET_ROWS = 16_384
 
 
-def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before.
 
-    Rows that tie in all order columns must be interchangeable.  ``df`` should be cheap to read
-    twice (a table): its bucket totals are computed first.
+    ``group`` must not be null; rows that tie in all order columns must be interchangeable.  ``df``
+    is read three times, so it should be a table.
     """
-    sized = df.groupBy(*group).agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("_n"))
-    kept = _join_null_safe(df, sized, group)
-    kept = kept.withColumn("_b", F.pmod(F.xxhash64(*order), F.col("_n")).cast("int"))
-    totals = kept.groupBy(*group, "_b").agg(F.sum(value).alias("_t"), F.first("_n").alias("_n")).withColumn("_u", (F.col("_b") / FANOUT).cast("int"))
-    # Two levels: buckets within super-buckets, then super-buckets within the group.
-    upper = totals.groupBy(*group, "_u").agg(F.sum("_t").alias("_t"))
-    w_upper = Window.partitionBy(*group).orderBy("_u").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select(*group, "_u", F.coalesce(F.sum("_t").over(w_upper), F.lit(0)).alias("_base"))
-    w_low = Window.partitionBy(*group, "_u").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    lower = totals.select(*group, "_u", "_b", F.coalesce(F.sum("_t").over(w_low), F.lit(0)).alias("_within"))
-    starts = _join_null_safe(lower, upper, [*group, "_u"]).select(*group, "_b", (F.col("_base") + F.col("_within")).alias("_start"))
-    w = Window.partitionBy(*group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = kept.withColumn("_before", F.coalesce(F.sum(value).over(w), F.lit(0)))
-    return (_join_null_safe(placed, starts, [*group, "_b"])
-            .withColumn(out, (F.col("_start") + F.col("_before")).cast("long")).drop("_n", "_b", "_before", "_start"))
-
-
-def _join_null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on equal keys, where null equals null; the keys appear once."""
-    renamed = right
-    for k in keys:
-        renamed = renamed.withColumnRenamed(k, f"_r_{k}")
-    on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
-    return left.join(renamed, on).drop(*(f"_r_{k}" for k in keys))
+    buckets = max(1, -(-df.count() // BUCKET_ROWS))
+    placed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    so_far = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (placed.groupBy(group, "_b").agg(F.sum(value).alias("_t"))
+              .select(group, "_b", F.coalesce(F.sum("_t").over(so_far), F.lit(0)).alias("_start")))
+    within = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0))).join(starts, [group, "_b"])
+            .withColumn(out, (F.col("_start") + F.col("_before")).cast("long")).drop("_b", "_before", "_start"))
