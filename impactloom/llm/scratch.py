@@ -1,56 +1,7 @@
-"""Durable intermediate tables in the shared folder named by ``spark.checkpoint.dir``.
-
-A step that is used twice is written there as Parquet and read back: that cuts lineage, survives
-the loss of executors and, unlike an in-memory cache, needs no executor storage.  Only where the
-setting is absent (single-machine tests) a temporary folder of the driver is used instead.
-"""
+"""Durable intermediate tables; see ``impactloom.durable``."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from ..session import ship
-
-_local_folder: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one temporary folder for this process where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="loom-"))
-    return _local_folder[0]
-
-
-class Scratch:
-    """A folder of intermediate tables that belong to one run of one operator."""
-
-    def __init__(self, spark: SparkSession, tag: str) -> None:
-        ship(spark)
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it read back; finished shuffles are released."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        del df
-        # The context cleaner frees shuffle files once the driver has let go of their owners; Spark
-        # holds on to the latest plan it ran, so a trivial one has to follow.
-        self.spark.range(1).collect()
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-        return out
+from ..durable import Scratch, shared_folder
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later step reads."""
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["Scratch", "shared_folder"]
