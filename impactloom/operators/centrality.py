@@ -33,10 +33,10 @@ def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance
         return nodes.select("id", F.lit(0.0).alias("score"))
     rank = nodes.withColumn("score", F.lit(1.0 / n))
     for k in range(1, rounds + 1):
-        lost = rank.where("dangling").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+        lost = rank.where("dangling").agg(F.sum("score")).first()[0] or 0.0
         moved = rank.join(edges, rank["id"] == edges["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
-        following = (rank.select("id", "dangling", F.col("score").alias("old")).join(moved, "id", "left").crossJoin(F.broadcast(lost))  # one row
-                     .select("id", "dangling", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("score")))
+        following = (rank.select("id", "dangling", F.col("score").alias("old")).join(moved, "id", "left")
+                     .select("id", "dangling", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("score")))
         following = scratch.save(following, f"rank-{k}") if k % 4 == 0 else following.persist()
         moved_by = following.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if tolerance > 0 else None
         rank = following.select("id", "dangling", "score")
