@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from impactloom.llm import mixing, ngram_join, packing, pii, quality
+from impactloom.llm.cases import free
 from impactloom.llm.scratch import Scratch
 
 
@@ -23,12 +24,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words are in no group and stay.  Of rows with equal id and text one stays; rows with
     one id and other texts stay both, as neither can be told apart by id.
     """
+    kept_id, tie, nth = free(docs.columns, "_kept", "_tie", "_nth")
     found = ngram_join.ngram_jaccard_components(spark, docs, k=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi").withColumn("_tie", F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", "_tie").orderBy("_tie")
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi").withColumn(tie, F.xxhash64("text"))
+    same = Window.partitionBy("doc_id", tie).orderBy(tie)
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    return kept.withColumn("_nth", F.row_number().over(same)).where((F.col("_nth") == 1) | blank).select(*docs.columns)
+    return kept.withColumn(nth, F.row_number().over(same)).where((F.col(nth) == 1) | blank).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

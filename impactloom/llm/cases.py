@@ -16,3 +16,15 @@ def known(column: str) -> Column:
 def shown(column: str) -> Column:
     """The reverse of ``known``."""
     return F.nullif(F.col(column), F.lit(NULL_ID)).alias(column)
+
+
+def free(names: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that do not clash with ``names`` (case does not matter)."""
+    taken = {n.lower() for n in names}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textscan
+from .cases import free
 from .ranks import running_totals
 from .scratch import Scratch
 
@@ -195,10 +196,12 @@ def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
-    key = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_tie", F.xxhash64("text")).withColumn("_source", F.col("source").cast("string"))
-    p = mix.pieces().select(F.col("doc_id").alias("_p_id"), F.col("tie").alias("_p_tie"), F.col("source").alias("_p_source"), "pieces")
-    rows = (key.join(p, key["_id"].eqNullSafe(p["_p_id"]) & (key["_tie"] == p["_p_tie"]) & key["_source"].eqNullSafe(p["_p_source"]))
-            .select(*names, "_id", "_tie", "_source", "pieces").sortWithinPartitions("_id", "_tie", "_source"))
+    own_id, own_tie, own_source, given = free(names, "_id", "_tie", "_source", "_pieces")
+    p_id, p_tie, p_source = free([*names, own_id, own_tie, own_source, given], "_p_id", "_p_tie", "_p_source")
+    key = docs.select("*", F.col("doc_id").cast("long").alias(own_id), F.xxhash64("text").alias(own_tie), F.col("source").cast("string").alias(own_source))
+    p = mix.pieces().select(F.col("doc_id").alias(p_id), F.col("tie").alias(p_tie), F.col("source").alias(p_source), F.col("pieces").alias(given))
+    rows = (key.join(p, F.col(own_id).eqNullSafe(F.col(p_id)) & (F.col(own_tie) == F.col(p_tie)) & F.col(own_source).eqNullSafe(F.col(p_source)))
+            .select(*names, own_id, own_tie, own_source, given).sortWithinPartitions(own_id, own_tie, own_source))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         previous = None

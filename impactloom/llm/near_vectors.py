@@ -209,5 +209,7 @@ def near_vector_components(spark: SparkSession, vectors: DataFrame, threshold: f
     of = named.join(component, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = of.groupBy("component").agg(F.min("low").alias("component_id"))
     of = of.join(lows, "component").select("dim", "v", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
+    # As a table, so that both sides of the last join are shuffled and a large class of copies can be split.
+    of = scratch.save(of, "of")
     out = rows.join(of, ["dim", "v"], "left").select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.select(shown("vec_id"), "n_links", F.nullif(F.col("component_id"), F.lit(NULL_ID)).alias("component_id"), (F.col("vec_id") == F.col("component_id")).alias("kept"))

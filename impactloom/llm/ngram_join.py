@@ -369,6 +369,8 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
     named = (classes.select("n", "s1", "s2", "rep")
              .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
              .select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
+    # As a table, so that both sides of the last join are shuffled and a large class of copies can be split.
+    named = scratch.save(named, "named")
     return (sigs.join(named, ["n", "s1", "s2"], "left")
             .select(shown("doc_id"), F.col("n").cast("long").alias("n_shingles"),
                     F.nullif(F.coalesce("component", "doc_id"), F.lit(NULL_ID)).alias("component_id")))

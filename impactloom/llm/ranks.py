@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 #: Rows of all groups for each bucket number.
-BUCKET_ROWS = 16_384
+BUCKET_ROWS = 4096
 
 
 def running_totals(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
