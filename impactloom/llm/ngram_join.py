@@ -343,6 +343,8 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
                         .groupBy("bucket").applyInPandas(_count_frequency, "chunk long, slots binary, freq binary, items binary, more binary")
                         .groupBy("chunk").applyInPandas(_choose_keys(percent), "key long, node long"), "keys")
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).where("hub < top")
+    # As a table, so that the join shuffles both sides and a shingle of many sets can be split.
+    hubs = scratch.save(hubs, "hubs")
     meets = keys.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     families = connected_components(meets, scratch, "meet").select("node", F.col("component").alias("cc"))
     scratch.drop("keys")

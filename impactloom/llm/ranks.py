@@ -2,28 +2,33 @@
 
 A window over a group puts the whole group into one task.  Here rows are spread over buckets by a
 hash of their order key, bucket totals are accumulated per group, and the window over rows runs
-within a bucket only.  The order is (bucket, key): arbitrary but fixed.
+within a bucket only.  Where buckets are many, their totals are accumulated in the same way.  The
+order is (bucket, key): arbitrary but fixed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-#: Rows of all groups for each bucket number.
-BUCKET_ROWS = 4096
+#: Rows of all groups for each bucket number, and the most bucket totals of a group in one window.
+BUCKET_ROWS, WINDOW_ROWS = 512, 65_536
 
 
-def running_totals(df: DataFrame, group: str, order: list[str], value: str, out: str) -> DataFrame:
+def running_totals(df: DataFrame, group: str, order: list[str], value: str, out: str, bucket_rows: int = BUCKET_ROWS, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the same group that come before.
 
     ``group`` must not be null; rows that tie in all order columns must be interchangeable.  ``df``
     is read three times, so it should be a table.
     """
-    buckets = max(1, -(-df.count() // BUCKET_ROWS))
-    placed = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    so_far = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (placed.groupBy(group, "_b").agg(F.sum(value).alias("_t"))
-              .select(group, "_b", F.coalesce(F.sum("_t").over(so_far), F.lit(0)).alias("_start")))
-    within = Window.partitionBy(group, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (placed.withColumn("_before", F.coalesce(F.sum(value).over(within), F.lit(0))).join(starts, [group, "_b"])
-            .withColumn(out, (F.col("_start") + F.col("_before")).cast("long")).drop("_b", "_before", "_start"))
+    bucket, total, start, before = (f"{out}_{x}" for x in ("bucket", "total", "start", "before"))
+    buckets = max(1, -(-df.count() // bucket_rows))
+    placed = df.withColumn(bucket, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    totals = placed.groupBy(group, bucket).agg(F.sum(value).alias(total))
+    if buckets <= window_rows:
+        so_far = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        starts = totals.select(group, bucket, F.coalesce(F.sum(total).over(so_far), F.lit(0)).alias(start))
+    else:
+        starts = running_totals(totals, group, [bucket], total, start, bucket_rows, window_rows).drop(total)
+    within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn(before, F.coalesce(F.sum(value).over(within), F.lit(0))).join(starts, [group, bucket])
+            .withColumn(out, (F.col(start) + F.col(before)).cast("long")).drop(bucket, before, start))

@@ -146,6 +146,21 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
         assert t <= 2 * sizes[s] + 1e-9 and by[(sizes[s], round(t, 6))][0] == pytest.approx(t, abs=1)
 
 
+@pytest.mark.parametrize("window_rows", [65_536, 2])
+def test_running_totals(spark, window_rows):
+    from impactloom.llm.ranks import running_totals
+
+    rows = [(k % 3 if k % 2 else 0, k, k % 7) for k in range(500)]
+    got = running_totals(spark.createDataFrame(rows, "g int, k int, v int"), "g", ["k"], "v", "before", 16, window_rows).collect()
+    for g in range(3):
+        at = 0
+        own = sorted((r.before, r.before + r.v) for r in got if r.g == g)
+        for lo, hi in own:
+            assert lo == at
+            at = hi
+        assert at == sum(v for h, _, v in rows if h == g)
+
+
 def test_permutation_is_one_and_inverts():
     for n in (1, 2, 3, 7, 64, 65, 1000):
         x = np.arange(n)
