@@ -36,17 +36,22 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it read back; finished shuffles are released."""
+    def save(self, df: DataFrame, name: str, release: bool = True) -> DataFrame:
+        """Write ``df`` and return it read back.
+
+        ``release`` frees the shuffle files of finished steps, which costs a full collection in the
+        driver; loops over small tables leave it out.
+        """
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         del df
-        # The context cleaner frees shuffle files once the driver has let go of their owners; Spark
-        # holds on to the latest plan it ran, so a trivial one has to follow.
-        self.spark.range(1).collect()
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        if release:
+            # The context cleaner frees shuffle files once the driver has let go of their owners; Spark
+            # holds on to the latest plan it ran, so a trivial one has to follow.
+            self.spark.range(1).collect()
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
         return out
 
     def drop(self, name: str) -> None:

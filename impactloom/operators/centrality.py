@@ -25,9 +25,9 @@ def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance
     """
     out = calls.groupBy("source_id").agg(F.count("*").alias("out"))
     edges = scratch.save(calls.groupBy("source_id", "target_id").agg(F.count("*").alias("m")).join(out, "source_id")
-                         .select("source_id", "target_id", (F.col("m") / F.col("out")).alias("share")), "edges")
+                         .select("source_id", "target_id", (F.col("m") / F.col("out")).alias("share")), "edges", release=False)
     nodes = calls.select(F.col("source_id").alias("id")).unionByName(calls.select(F.col("target_id").alias("id"))).distinct()
-    nodes = scratch.save(nodes.join(out.select(F.col("source_id").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")), "nodes")
+    nodes = scratch.save(nodes.join(out.select(F.col("source_id").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")), "nodes", release=False)
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("score"))
@@ -37,7 +37,7 @@ def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance
         moved = rank.join(edges, rank["id"] == edges["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         following = (rank.select("id", "dangling", F.col("score").alias("old")).join(moved, "id", "left")
                      .select("id", "dangling", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("score")))
-        following = scratch.save(following, f"rank-{k}") if k % 4 == 0 else following.persist()
+        following = scratch.save(following, f"rank-{k}", release=False) if k % 4 == 0 else following.persist()
         moved_by = following.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if tolerance > 0 else None
         rank = following.select("id", "dangling", "score")
         if moved_by is not None and moved_by < tolerance:

@@ -59,13 +59,13 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str = "cc", o
     written to the shared folder, and the loop stops when a round leaves the edges unchanged.
     """
     current = scratch.save(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))
-                           .where("a <> b").distinct(), f"{name}-0")
+                           .where("a <> b").distinct(), f"{name}-0", release=False)
     if current.count() <= one_task:
-        return scratch.save(current.coalesce(1).mapInPandas(_union_find, "node long, component long"), name)
+        return scratch.save(current.coalesce(1).mapInPandas(_union_find, "node long, component long"), name, release=False)
     seen, k = None, 0
     while True:
         k += 1
-        following = scratch.save(_small_star(_large_star(current)), f"{name}-{k}")
+        following = scratch.save(_small_star(_large_star(current)), f"{name}-{k}", release=False)
         mark = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.drop(f"{name}-{k - 1}")
         current = following

@@ -21,8 +21,8 @@ class Impact:
         ship(spark)
         self.scratch = Scratch(spark, "impact")
         self.events, self.definitions, self.calls = events, definitions, calls
-        self.seeds = self.scratch.save(traverse.seeds_of(events, definitions), "seeds")
-        self.walked = self.scratch.save(traverse.callers_by_depth(self.seeds, calls), "walked")
+        self.seeds = self.scratch.save(traverse.seeds_of(events, definitions), "seeds", release=False)
+        self.walked = self.scratch.save(traverse.callers_by_depth(self.seeds, calls), "walked", release=False)
         self.deps = traverse.dependents(self.walked, definitions)
         self.files = scoring.file_impact(self.deps)
 
@@ -32,7 +32,7 @@ class Impact:
 
     def cuts(self) -> DataFrame:
         nodes = traverse.closure(self.seeds, self.calls, self.scratch)
-        edges = self.scratch.save(traverse.induced_edges(nodes, self.calls), "induced")
+        edges = self.scratch.save(traverse.induced_edges(nodes, self.calls), "induced", release=False)
         return scoring.named_cuts(cutvertex.chokepoints(edges), self.definitions, self.seeds)
 
     def keystones(self) -> DataFrame:

@@ -37,17 +37,17 @@ def dependents(walked: DataFrame, definitions: DataFrame) -> DataFrame:
 def closure(seeds: DataFrame, calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(event_id, id): everything that reaches a seed, seeds included; a fixpoint without depth bound."""
     step = calls.select("source_id", "target_id").distinct()
-    visited = scratch.save(seeds.select("event_id", "id").distinct(), "visited-0")
+    visited = scratch.save(seeds.select("event_id", "id").distinct(), "visited-0", release=False)
     frontier, k = visited, 0
     while True:
         k += 1
         found = frontier.join(step, frontier["id"] == step["target_id"]).select("event_id", F.col("source_id").alias("id")).distinct()
-        frontier = scratch.save(found.join(visited, ["event_id", "id"], "left_anti"), f"frontier-{k}")
+        frontier = scratch.save(found.join(visited, ["event_id", "id"], "left_anti"), f"frontier-{k}", release=False)
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
         if k % 8 == 0:
-            visited = scratch.save(visited, f"visited-{k}")
+            visited = scratch.save(visited, f"visited-{k}", release=False)
 
 
 def induced_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
