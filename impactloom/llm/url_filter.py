@@ -73,7 +73,7 @@ def propagate(scratch: Scratch, links: DataFrame, seeds: DataFrame, damping: flo
         parts = start.select("way", "host", (F.col("mass") * (1 - damping)).alias("new"), F.lit(0.0).alias("old"))
         parts = parts.unionByName(moved.select("way", "host", F.col("mass").alias("new"), F.lit(0.0).alias("old")))
         parts = parts.unionByName(rank.select("way", "host", F.lit(0.0).alias("new"), F.col("mass").alias("old")))
-        following = scratch.save(parts.groupBy("way", "host").agg(F.sum("new").alias("mass"), F.sum("old").alias("old")), f"rank-{k}")
+        following = scratch.save(parts.groupBy("way", "host").agg(F.sum("new").alias("mass"), F.sum("old").alias("old")), f"rank-{k}", release=False)
         change = following.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
         rank = following.select("way", "host", "mass")
         if k:
