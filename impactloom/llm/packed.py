@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text whose items share one bucket, and at most how much one chunk holds.
 BUCKET_BYTES = 16 << 20
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 CHUNK_TEXTS = 60_000
 
 ROW = "bucket int, chunk long, slots binary, runs binary, items binary, more binary"
