@@ -12,7 +12,9 @@ from ..operators import centrality, components, cutvertex, history, scoring, tra
 from ..operators.impact import Impact
 from ..sources.derive import GraphSource, for_duckdb
 from ..streaming import intake
+from . import verdicts
 from .catalogue import QUERIES, SYMBOL
+from .typed import GraphQueries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -146,6 +148,10 @@ _GRID = """SELECT o_orderkey AS id, CAST(o_orderkey % 4 AS INT) AS k, CAST(o_ord
     CASE o_orderkey % 3 WHEN 0 THEN 'contract-break' WHEN 1 THEN 'body-edit' ELSE 'cosmetic' END AS edit_class FROM orders"""
 
 
+_GIVEN = f"""SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE edit_class END AS edit_class, id % 8 > 1 AS has_impact, scar AS cfr, deps AS total_dependents, k AS n_keystones,
+    CAST(0.95 AS DOUBLE) AS confidence, severity, ownership, compliance FROM ({_GRID}) g"""
+
+
 def risk_and_gate(spark, sf_dir):
     """The whole score model over a grid of inputs made from orders."""
     d = GraphSource(spark, sf_dir).sql(_GRID)
@@ -248,6 +254,38 @@ def throttle_stream(spark, sf_dir):
     return intake.throttle(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
+_DIFF = """SELECT id AS event_id, 'diff --git a/' || file_path || ' b/' || file_path || chr(10) || '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -1 +' ||
+    CAST(start_line AS STRING) || ',' || CAST(id % 3 AS STRING) || ' @@' || chr(10) || '+x' || chr(10) AS diff FROM gl_definition WHERE id % 10 = 3"""
+
+
+def diff_symbols(spark, sf_dir):
+    """Changed symbols of diffs, which are made up from definitions."""
+    g = GraphSource(spark, sf_dir)
+    return verdicts.change_of(g.sql(_DIFF), g.table("gl_definition"))
+
+
+def lineage_lens(spark, sf_dir):
+    """The lineage of all findings, as lens."""
+    g = GraphSource(spark, sf_dir)
+    found = g.sql("SELECT f.id AS event_id, CAST(0 AS INT) AS nth, f.id AS finding_id, f.title, f.severity, d.name AS affected_symbol FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id")
+    changed = g.sql("SELECT f.id AS event_id, d.name AS changed_symbol FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id WHERE f.id % 2 = 0")
+    return verdicts.provenance(found, changed, g).select("finding_id", "affected_symbol", "definition_id", "mr_id", "author", "project", "steps", "composed", F.round("confidence", 6).alias("confidence"))
+
+
+def composed_grid(spark, sf_dir):
+    """Composition of lens results that are given, over a grid made from orders in which any lens may be absent."""
+    return verdicts.compose(GraphSource(spark, sf_dir).sql(_GIVEN)).select("id", F.round("risk", 6).alias("risk"), "level", "action")
+
+
+def typed_lineage(spark, sf_dir):
+    return GraphQueries(GraphSource(spark, sf_dir)).dsl({"query_type": "pathfinding", "start": {"entity": "Finding", "filters": {"severity": {"op": "in", "value": ["HIGH", "CRITICAL"]}}}, "end": {"entity": "User"}, "limit": 1000000})
+
+
+def typed_traversal(spark, sf_dir):
+    q = GraphQueries(GraphSource(spark, sf_dir))
+    return q.dsl({"query": {"query_type": "traversal", "node": {"entity": "Definition", "filters": {"project_id": {"op": "eq", "value": 3}, "definition_type": {"op": "in", "value": ["Class"]}}}, "limit": 1000000}}).select("id", "name", "file_path")
+
+
 def _case_any(column: str, words, test: str = "contains(lower({c}), '{w}')") -> str:
     return "(" + " OR ".join(test.format(c=column, w=w) for w in words) + ")"
 
@@ -291,10 +329,23 @@ _BLAST = f"""{_EVENT_WALK}, deg AS (SELECT target_id AS id, count(DISTINCT sourc
     sh AS (SELECT *, mass / sum(mass) OVER (PARTITION BY event_id) AS share, row_number() OVER (PARTITION BY event_id ORDER BY mass DESC, author_email) AS place FROM ow),
     cu AS (SELECT *, sum(share) OVER (PARTITION BY event_id ORDER BY place) AS cum FROM sh)"""
 
+_COMPOSED_SQL = f"""
+WITH given AS ({_GIVEN}),
+b AS (SELECT *, CASE edit_class WHEN 'cosmetic' THEN 0 WHEN 'body-edit' THEN {_D.format(0.5)} ELSE 1 END AS danger,
+        list_filter([CASE WHEN has_impact THEN cfr END, CASE WHEN NOT has_impact THEN NULL WHEN total_dependents >= 300 THEN 0.85 WHEN total_dependents >= 100 THEN 0.65 WHEN total_dependents >= 25 THEN 0.45 ELSE 0.2 END,
+        CASE WHEN has_impact AND n_keystones > 0 THEN 0.9 END, CASE severity WHEN 'CRITICAL' THEN 0.95 WHEN 'HIGH' THEN 0.8 WHEN 'MEDIUM' THEN 0.6 WHEN 'LOW' THEN 0.3 END,
+        {_LEVEL.format(c='ownership', h=0.85, m=0.6, l=0.25)}, {_LEVEL.format(c='compliance', h=0.9, m=0.55, l=0.25)}], lambda x: x IS NOT NULL) AS parts FROM given),
+r AS (SELECT *, CASE WHEN len(parts) > 0 THEN (list_max(parts) * {_D.format(0.6)} + list_sum(parts) / len(parts) * {_D.format(0.4)}) * danger END AS risk FROM b),
+l AS (SELECT *, CASE WHEN risk IS NULL THEN 'UNKNOWN' WHEN risk >= 0.8 THEN 'CRITICAL' WHEN risk >= 0.6 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r)
+SELECT id, round(risk, 6) AS risk, level, CASE WHEN level = 'CRITICAL' THEN 'BLOCK' WHEN level = 'HIGH' OR (n_keystones > 0 AND danger >= 0.5) THEN 'SENIOR_REVIEW' WHEN level = 'MEDIUM' THEN 'REVIEW_REQUIRED'
+    WHEN level = 'LOW' AND has_impact AND confidence >= 0.9 THEN 'AUTO_APPROVE' ELSE 'REVIEW_REQUIRED' END AS action FROM l
+"""
+_INTRO = "SELECT definition_id, merge_request_id AS mr_id FROM gl_definition_history QUALIFY row_number() OVER (PARTITION BY definition_id ORDER BY created_at, merge_request_id) = 1"
+
 _FUNCTIONS: list[Query] = [transitive_dependents, transitive_by_depth, batch_dependents, affected_files, affected_modules, test_prod_split, walk_depth_stats, closure_nodes, induced_edges,
                            neighbourhood_weights, pagerank_top, call_components, chokepoints, keystones, ownership_lens, impact_confidence, compliance_boundaries, risk_and_gate, event_verdicts,
                            backtest_tally, scar_prior, scar_receipts, blast_definitions, blame_ownership, bus_factor, single_points, path_functions, strip_comments, edit_classes,
-                           signature_extract, function_spans, throttle_stream]
+                           signature_extract, function_spans, throttle_stream, diff_symbols, lineage_lens, composed_grid, typed_lineage, typed_traversal]
 
 _SQL: dict[str, str] = {
     "transitive_dependents": f"WITH RECURSIVE {_SEED}, {_WALK} SELECT count(DISTINCT d.id) AS total_dependents, count(DISTINCT d.project_id) AS affected_services, CAST(max(depth) AS BIGINT) AS max_depth FROM callers c JOIN gl_definition d ON d.id = c.id",
@@ -341,6 +392,20 @@ _SQL: dict[str, str] = {
     "edit_classes": r"""SELECT event_id, count(*) AS files, CASE WHEN bool_and(same) THEN 'cosmetic' ELSE 'body-edit' END AS edit_class FROM (SELECT page_id % 20 AS event_id, page_id % 3 <> 1 OR
         regexp_replace(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') = regexp_replace(regexp_replace(regexp_replace(html || ' more', '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') AS same FROM pages) GROUP BY 1""",
     "throttle_stream": QUERIES["throttle_windows"],
+    "diff_symbols": """SELECT DISTINCT e.id AS event_id, d.name AS changed_symbol FROM gl_definition e JOIN gl_definition d ON d.file_path = e.file_path
+        AND d.start_line <= e.start_line + greatest(e.id % 3, 1) - 1 AND d.end_line >= e.start_line WHERE e.id % 10 = 3""",
+    "lineage_lens": f"""WITH s AS (SELECT name, min(id) AS definition_id FROM gl_definition GROUP BY name),
+        i AS ({_INTRO}), j AS (SELECT project_id, max(created_at) AS last FROM gl_job WHERE job_type = 'deploy' AND status = 'success' GROUP BY 1),
+        r AS (SELECT f.id AS finding_id, d.name AS affected_symbol, s.definition_id, i.mr_id, u.username AS author, p.full_path AS project, f.id % 2 = 0 AS composed, j.last,
+                2 + 1 + CASE WHEN i.mr_id IS NULL THEN 0 ELSE 1 END + CASE WHEN u.username IS NULL THEN 0 ELSE 1 END AS steps
+              FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id JOIN s ON s.name = d.name JOIN gl_definition o ON o.id = s.definition_id LEFT JOIN i ON i.definition_id = s.definition_id
+              LEFT JOIN gl_merge_request m ON m.id = i.mr_id LEFT JOIN gl_user u ON u.id = m.author_id LEFT JOIN gl_project p ON p.id = o.project_id LEFT JOIN j ON j.project_id = o.project_id)
+        SELECT finding_id, affected_symbol, definition_id, mr_id, author, project, CAST(steps AS INTEGER) AS steps, composed, round(least(1, greatest(0, {_D.format(0.99)} - (5 - steps) * {_D.format(0.1)}
+          - CASE WHEN last IS NULL THEN {_D.format(0.05)} ELSE 0 END + CASE WHEN composed THEN {_D.format(0.01)} ELSE 0 END)), 6) AS confidence FROM r""",
+    "composed_grid": _COMPOSED_SQL,
+    "typed_lineage": f"""WITH i AS ({_INTRO}) SELECT f.id AS finding_id, d.name AS symbol, d.id AS definition_id, i.mr_id, u.username AS author FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id
+        JOIN i ON i.definition_id = d.id JOIN gl_merge_request m ON m.id = i.mr_id JOIN gl_user u ON u.id = m.author_id WHERE f.severity IN ('HIGH', 'CRITICAL')""",
+    "typed_traversal": "SELECT id, name, file_path FROM gl_definition WHERE project_id = 3 AND definition_type = 'Class'",
 }
 
 
