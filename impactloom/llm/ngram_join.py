@@ -298,11 +298,11 @@ def _tile_links(tiles: DataFrame, percent: int, n_groups: int) -> DataFrame:
             .groupBy("g").applyInPandas(_link_tiles(percent), "a long, b long"))
 
 
-def _ring_tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
+def _ring_tiles(members: DataFrame) -> DataFrame:
     """Each set goes to the tile of its block and, in a component of several blocks, to the one before."""
     blocks = F.ceil(F.col("members") / TILE_ROWS).cast("int")
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    return (members.join(sizes.withColumn("blocks", blocks), "cc").withColumn("at", at)
+    return (members.withColumn("blocks", blocks).withColumn("at", at)
             .withColumn("t1", F.explode(F.array_distinct(F.array("at", F.expr("pmod(at - 1, blocks)")))))
             .select("cc", "t1", F.lit(-1).alias("t2"), "node", "n", "shingles", F.col("node").alias("part")))
 
@@ -349,11 +349,13 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
     families = connected_components(meets, scratch, "meet").select("node", F.col("component").alias("cc"))
     scratch.drop("keys")
 
-    members = scratch.save(sets.join(families, "node"), "members")
+    # Sizes meet narrow rows, not sets: as a table they are broadcast while that is small, and beyond it
+    # a large family can be split.  Sets are only ever dealt by node and by tile.
+    sizes = scratch.save(families.groupBy("cc").agg(F.count("*").alias("members")), "sizes")
+    members = scratch.save(sets.join(families.join(sizes, "cc"), "node"), "members")
     scratch.drop("sets")
-    sizes = members.groupBy("cc").agg(F.count("*").alias("members"))
     n_groups = max(16, members.count() // 256)
-    links = scratch.save(_tile_links(_ring_tiles(members, sizes), percent, n_groups), "ring")
+    links = scratch.save(_tile_links(_ring_tiles(members), percent, n_groups), "ring")
     joined = connected_components(links, scratch, "joined")
 
     parts = families.join(joined, "node", "left").select("cc", "node", F.coalesce("component", "node").alias("part"))
