@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,7 +44,8 @@ AGAINST = re.compile(r"\b(?:version|build|release|isbn|order|example)\b", re.I)
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGIT = re.compile(r"[0-9]")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match never starts inside a run of digits; saying so keeps long runs linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
@@ -91,6 +93,19 @@ def _score(text: str, kind: str, lo: int, hi: int, checked: bool) -> float:
     return round(min(1.0, max(0.0, score)), 3)
 
 
+def _united(spans: list[tuple[str, int, int, float]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint ranges that spans cover, in order."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for lo, hi in sorted((lo, hi) for _, lo, hi, _ in spans):
+        if ends and lo <= ends[-1]:
+            ends[-1] = max(ends[-1], hi)
+        else:
+            starts.append(lo)
+            ends.append(hi)
+    return starts, ends
+
+
 def find_spans(text: str) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) of all personal data, by kind as listed in ``KINDS``, then start."""
     spans = []
@@ -115,9 +130,10 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         plain = m[0].replace(" ", "")
         if 15 <= len(plain) <= 34 and mod97(plain):
             spans.append(("iban", m.start(), m.end(), _score(text, "iban", m.start(), m.end(), True)))
-    taken = [(lo, hi) for _, lo, hi, _ in spans]
+    starts, ends = _united(spans)
     for m in _NUMBER.finditer(text):
-        if any(lo < m.end() and m.start() < hi for lo, hi in taken):
+        last = bisect_left(starts, m.end()) - 1
+        if last >= 0 and ends[last] > m.start():
             continue
         score = _score(text, "number", m.start(), m.end(), False)
         if score >= ADDED_SCORE:
