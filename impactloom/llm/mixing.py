@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textscan
-from .cases import free
+from .cases import free, if_small
 from .ranks import running_totals
 from .scratch import Scratch
 
@@ -136,7 +136,7 @@ class Mix:
         read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                            F.xxhash64(text_col).alias("tie"), F.col(text_col).alias("text"))
         self.sized = scratch.save(read.mapInArrow(_sizes, "doc_id long, source string, tie long, size long"), "sized")
-        # One row per source, which the driver holds; the table of sources is broadcast on that ground.
+        # One row per source, which the driver holds; the table of sources is broadcast if it is short.
         rows = self.sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
         rows = sorted(((r["source"], r["size"] or 0) for r in rows), key=lambda r: (r[0] is None, r[0] or ""))
         sizes = [size for _, size in rows]
@@ -145,7 +145,8 @@ class Mix:
         self.sources = spark.createDataFrame(
             [(i, name, size, float(target), p["passes"]) for i, ((name, size), target, p) in enumerate(zip(rows, targets, plans))],
             "idx int, source string, source_size long, target double, passes int")
-        named = self.sized.join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).select("idx", "doc_id", "tie", "size")
+        self.n_sources = len(rows)
+        named = self.sized.join(self._few(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).select("idx", "doc_id", "tie", "size")
         placed = running_totals(named.where("size > 0"), "idx", ["doc_id", "tie", "size"], "size", "start")
         self.segments = (placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
                          .select("idx", "block", "doc_id", "tie", "start", "size",
@@ -163,6 +164,9 @@ class Mix:
                       .mapInPandas(_map_slots, "idx int, shard int, slot long, pass int, block long, take long"))
         self.block = block
 
+    def _few(self, sources: DataFrame) -> DataFrame:
+        return if_small(sources, self.n_sources)
+
     def taken(self) -> DataFrame:
         """(doc_id, size, source_size, target, taken), one row per document."""
         draws = self.slots.groupBy("idx", "block").agg(F.count_if(F.col("take") == self.block).alias("whole"),
@@ -172,19 +176,19 @@ class Mix:
         # A document of some size is known by its source and its place there; others have nothing to take.
         per_doc = (self.segments.join(draws.hint("merge"), ["idx", "block"], "left").groupBy("idx", "start", "doc_id", "size")
                    .agg(F.sum(F.coalesce(words, F.lit(0))).cast("long").alias("taken")))
-        empty = (self.sized.where("size = 0").join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["source"]))
+        empty = (self.sized.where("size = 0").join(self._few(self.sources), self.sized["source"].eqNullSafe(self.sources["source"]))
                  .select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken")))
-        return per_doc.join(F.broadcast(self.sources), "idx").select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
+        return per_doc.join(self._few(self.sources), "idx").select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
 
     def pieces(self) -> DataFrame:
         """(doc_id, tie, idx, copies, ranges): whole passes and the word ranges of the last, partial one."""
-        partial = self.slots.join(F.broadcast(self.sources.select("idx", "passes")), "idx").where(F.col("pass") == F.col("passes")).select("idx", "block", "take")
+        partial = self.slots.join(self._few(self.sources.select("idx", "passes")), "idx").where(F.col("pass") == F.col("passes")).select("idx", "block", "take")
         ranges = (self.segments.join(partial.hint("merge"), ["idx", "block"], "left")
                   .withColumn("until", F.when(F.col("take").isNotNull(), F.least("hi", "take"))).withColumn("base", F.col("block") * self.block - F.col("start"))
                   .groupBy("idx", "start", "doc_id", "tie", "size")
                   .agg(F.sort_array(F.collect_list(F.when(F.col("until") > F.col("lo"), F.struct((F.col("lo") + F.col("base")).alias("lo"),
                                                                                                 (F.col("until") + F.col("base")).alias("hi"))))).alias("ranges")))
-        return (ranges.join(F.broadcast(self.sources.select("idx", "source", F.col("passes").alias("copies"))), "idx")
+        return (ranges.join(self._few(self.sources.select("idx", "source", F.col("passes").alias("copies"))), "idx")
                 .groupBy("doc_id", "tie", "source").agg(F.collect_list(F.struct("copies", "ranges")).alias("pieces")))
 
 
