@@ -10,8 +10,8 @@ with the smallest hashes of their id), and never from the held-out fold: rows wh
 crc32(doc_id as text) modulo 4 is 2.  Ids, labels, language and source are not inputs of a score.
 
 Defined cases: null and empty texts have all statistics 0 and are scored like any other; labels that
-are null or neither 0 nor 1 are not used; repeated labels count each; without labels every score is
-0.5; repeated rows get a row each; a null doc_id is not held out; an empty table gives an empty
+are null or neither 0 nor 1 are not used; of rows that share an id and a label one text counts, the one
+with the smallest hash; an id with both labels counts once for each; without labels every score is 0.5; repeated rows get a row each; a null doc_id is not held out; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -161,17 +161,19 @@ def held_out(doc_id: str) -> Column:
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(words) for _, _, words in textscan.chunks(batch.column(1))]
-        yield pa.record_batch([batch.column(0), pa.array(list(np.concatenate(rows)) if rows else [], type=pa.list_(pa.float64()))], names=["quality", "x"])
+        yield pa.record_batch([batch.column(0), pa.array(list(np.concatenate(rows)) if rows else [], type=pa.list_(pa.float64())), *batch.columns[2:]],
+                              names=["quality", "x", "doc_id", "tie"])
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Trees:
     """The model of the labelled rows outside the held-out fold, at most ``max_rows`` of them."""
     ship(spark)
-    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(~held_out("doc_id")).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     # Bounded by max_rows, so it can be broadcast and, with its statistics, collected.
     some = known.orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
-    rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text")
-            .mapInArrow(_statistics, "quality int, x array<double>").toPandas())
+    rows = (docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"))
+            .mapInArrow(_statistics, "quality int, x array<double>, doc_id long, tie long")
+            .groupBy("doc_id", "quality").agg(F.min_by("x", "tie").alias("x")).toPandas())
     # The order of arrival must not matter: sums of doubles depend on it.
     x = np.array(rows["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, rows["quality"].to_numpy()))

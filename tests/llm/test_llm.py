@@ -6,6 +6,7 @@ import bisect
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -13,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from impactloom.llm import mixing, near_vectors, ngram_join, packing, pii, quality, queries, quotes, substring_dedup, textscan, topk, url_filter
+from impactloom.llm import cases, mixing, near_vectors, ngram_join, packing, pii, quality, queries, quotes, substring_dedup, textscan, topk, url_filter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -146,6 +147,12 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
         assert t <= 2 * sizes[s] + 1e-9 and by[(sizes[s], round(t, 6))][0] == pytest.approx(t, abs=1)
 
 
+def test_mixing_does_not_rest_on_broadcast_sources(spark, monkeypatch):
+    few = sorted(map(tuple, mixing.mix_digest(spark, documents(spark, awkward())).collect()), key=repr)
+    monkeypatch.setattr(mixing, "if_small", lambda df, rows: cases.if_small(df, rows, most=0))
+    assert sorted(map(tuple, mixing.mix_digest(spark, documents(spark, awkward())).collect()), key=repr) == few
+
+
 @pytest.mark.parametrize("window_rows", [65_536, 2])
 def test_running_totals(spark, window_rows):
     from impactloom.llm.ranks import running_totals
@@ -214,6 +221,21 @@ def test_pii_base_spans_equal_the_patterns(spark):
     assert pii.mask("call +1 555 010 9999 now", pii.find_spans("call +1 555 010 9999 now")) == "call [PHONE] now"
 
 
+def test_pii_stays_linear_on_long_texts():
+    """Long runs of digits and thousands of spans; a quadratic scan would take minutes."""
+    began = time.perf_counter()
+    assert pii.find_spans("9" * 300_000) == []
+    many = pii.find_spans("mail a@b.cd, account 123456789; " * 20_000)
+    assert [sum(s[0] == k for s in many) for k in ("email", "number")] == [20_000, 20_000]
+    assert time.perf_counter() - began < 30
+
+
+def test_pii_numbers_do_not_overlap_other_spans():
+    text = "account phone +1 555 010 9999, account 123456789"
+    found = pii.find_spans(text)
+    assert [(k, text[lo:hi]) for k, lo, hi, _ in found] == [("phone", "+1 555 010 9999"), ("number", "123456789")]
+
+
 def test_packing_round_trip(spark):
     rows = [(i, t, s) for i, t, s in awkward()]
     got = packing.pack_documents(spark, documents(spark, rows)).collect()
@@ -360,6 +382,9 @@ def test_quality_learns_and_ignores_ids(spark):
     odd = quality.score_documents(spark, documents(spark, awkward()), model).collect()
     assert len(odd) == len(awkward()) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in odd)
     assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in odd)
+    # What the driver fits on is bounded whatever repeats: equal rows and equal labels add nothing.
+    twice = quality.fit(spark, docs.unionByName(docs), labels.unionByName(labels))
+    assert np.array_equal(twice.value, model.value) and np.array_equal(twice.threshold, model.threshold)
     none = quality.fit(spark, docs, labels.limit(0))
     assert {r.score for r in quality.score_documents(spark, docs.limit(5), none).collect()} == {0.5}
 
