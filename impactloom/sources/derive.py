@@ -84,7 +84,7 @@ TABLES: dict[str, str] = {
     "mr_event": """
         SELECT CAST(o_orderkey AS BIGINT) AS event_id, d.name AS changed_symbol,
                CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'contract-break' WHEN '2' THEN 'body-edit' WHEN '3' THEN 'body-edit' ELSE 'cosmetic' END AS edit_class
-        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN gl_definition d ON d.id = l_partkey % 200 WHERE o_orderkey < 40 AND l_linenumber <= 2""",
+        FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN gl_definition d ON d.id = l_partkey""",
 }
 
 _REVERT, _HOTFIX, _FIX = r'^\s*revert[\s:"]', r"\b(hotfix|roll ?back|emergency|incident|sev[-\s]?\d)\b", r"\b(fix|fixe[sd]|bug|bugfix|regress\w*|broke[n]?|crash)\b"
