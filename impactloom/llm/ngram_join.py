@@ -10,7 +10,8 @@ Plan, all steps linear in the text but the last, which is confined to near-dupli
    least ``ceil(t n)`` of its n shingles with other documents, so shingle hashes are counted over the
    whole corpus (packed rows, 4 bytes a shingle) and only sets with that many repeated ones stay.
    Nothing is sampled: a truncated hash can only let too many sets through, never too few.
-2. Equal sets collapse to one representative, the smallest document id.
+2. Equal sets collapse to one node, which stands for them in all later steps; its text is that of the
+   smallest (document id, text hash), found by both, so that an id with many texts multiplies nothing.
 3. Representatives are counted again by full hashes; each then offers its rarest
    ``n - ceil(t n) + 1`` shingles (by document frequency, then hash).  Two sets over the threshold
    must share one of those, so components of "shares such a shingle" contain all links.  Frequent
@@ -20,6 +21,8 @@ Plan, all steps linear in the text but the last, which is confined to near-dupli
    counts, and sorted arrays are intersected only where the bound reaches the threshold and the two
    are not linked yet.  Large components are tiled along a ring first; those that this does not join
    completely get all remaining tiles between their parts, except within the largest part.
+5. Only then do ids come back: the sets of one id are united, and a component is named by its
+   smallest document id.
 
 Defined cases: null, empty and blank texts have an empty set and link with nothing; a text of fewer
 than k words has its whole sequence as its one shingle; rows that repeat a doc_id are one document
@@ -44,7 +47,7 @@ from .scratch import Scratch
 #: Rows of one side of a tile.
 TILE_ROWS = 512
 
-_SIGS = "doc_id long, n int, s1 long, s2 long, shared int"
+_SIGS = "doc_id long, n int, s1 long, s2 long, th long, shared int"
 _SETS = "node long, n int, shingles binary"
 
 
@@ -93,7 +96,7 @@ def _scan_shingles(k: int, n_buckets: int):
             return _record(rows, _ROW_SCHEMA)
 
         for batch in batches:
-            ids = _ids(batch.column(0))
+            ids, hashes = _ids(batch.column(0)), _ids(batch.column(2))
             for lo, hi, words in textscan.chunks(batch.column(1)):
                 if texts and (texts + hi - lo > packed.CHUNK_TEXTS or size + len(words.data) > packed.CHUNK_BYTES):
                     yield flush()
@@ -101,7 +104,7 @@ def _scan_shingles(k: int, n_buckets: int):
                 s1, s2 = _set_ids(s, counts)
                 slots.append(np.repeat(np.arange(texts, texts + hi - lo), counts))
                 sets.append(s)
-                sigs.append(np.stack([ids[lo:hi], counts, s1, s2]).astype("<i8").T.ravel())
+                sigs.append(np.stack([ids[lo:hi], counts, s1, s2, hashes[lo:hi]]).astype("<i8").T.ravel())
                 size, texts = size + len(words.data), texts + hi - lo
         if texts:
             yield flush()
@@ -132,14 +135,14 @@ def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _sum_shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per chunk: the rows of its texts with the counts of all buckets added up."""
-    sig = np.frombuffer(pdf["more"].dropna().iloc[0], dtype="<i8").reshape(-1, 4)
+    sig = np.frombuffer(pdf["more"].dropna().iloc[0], dtype="<i8").reshape(-1, 5)
     shared = np.zeros(len(sig), dtype=np.int64)
     for slots, runs in zip(pdf["slots"], pdf["runs"]):
         if slots is not None:
             slot, run = packed.unpack(slots, runs)
             shared[slot] += run
     return pd.DataFrame({"doc_id": sig[:, 0], "n": sig[:, 1].astype(np.int32), "s1": sig[:, 2],
-                         "s2": sig[:, 3], "shared": shared.astype(np.int32)})
+                         "s2": sig[:, 3], "th": sig[:, 4], "shared": shared.astype(np.int32)})
 
 
 def _sets_of(k: int):
@@ -322,11 +325,14 @@ def _rest_tiles(open_: DataFrame, parts: DataFrame) -> DataFrame:
             .select("cc", F.least("at", "with").alias("t1"), F.greatest("at", "with").alias("t2"), "node", "n", "shingles", "part"))
 
 
-def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
-                             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id), one row per row of ``docs``; see the module's docstring."""
-    docs = docs.select(known(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    scratch = Scratch(spark, "ngram-join")
+def _linked_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sigs, classes, links, joined) of ``docs`` (doc_id, text).
+
+    ``sigs``: a row per row with its set; ``classes``: (node, rep) per distinct non-empty set, ``rep`` the
+    smallest (doc_id, th) that has it; ``links``: (a, b) that span the links of nodes; ``joined``: their
+    components.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     n_buckets = packed.bucket_count(docs)
 
     counted = (docs.mapInArrow(_scan_shingles(k, n_buckets), packed.ROW)
@@ -334,10 +340,12 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
                .groupBy("chunk").applyInPandas(_sum_shared, _SIGS))
     sigs = scratch.save(counted, "sigs")
 
-    classes = (sigs.where("n > 0").groupBy("n", "s1", "s2")
-               .agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.max("shared").alias("shared")))
-    wanted = classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100.0)).select(F.col("rep").alias("doc_id"), "s1")
-    sets = scratch.save(docs.join(wanted, "doc_id").select("doc_id", "text", "s1").mapInArrow(_sets_of(k), _SETS), "sets")
+    classes = (sigs.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.max("shared").alias("shared"))
+               .withColumn("node", _node()))
+    wanted = classes.where(F.col("shared") >= F.ceil(F.col("n") * percent / 100.0)).select("rep.doc_id", "rep.th", "node", "s1")
+    # A row that is repeated, id and text, is one set.
+    texts = docs.join(wanted, ["doc_id", "th"]).select("node", "text", "s1").dropDuplicates(["node"])
+    sets = scratch.save(texts.mapInArrow(_sets_of(k), _SETS), "sets")
 
     keys = scratch.save(sets.mapInArrow(_scan_sets(n_buckets), packed.ROW)
                         .groupBy("bucket").applyInPandas(_count_frequency, "chunk long, slots binary, freq binary, items binary, more binary")
@@ -370,11 +378,34 @@ def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, p
         links = scratch.save(links.unionByName(more), "links")
         joined = connected_components(links, scratch, "all")
 
-    named = (classes.select("n", "s1", "s2", "rep")
-             .join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left")
-             .select("n", "s1", "s2", F.coalesce("component", "rep").alias("component")))
+    return sigs, classes.select("node", "rep"), links, joined
+
+
+def _node():
+    """The identity of a non-empty set; ids have no part in it."""
+    return F.xxhash64("n", "s1", "s2")
+
+
+def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
+                             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id), one row per row of ``docs``; see the module's docstring."""
+    scratch = Scratch(spark, "ngram-join")
+    sigs, classes, links, joined = _linked_sets(spark, docs.select(known(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent, scratch)
+
+    rows = sigs.select("doc_id", "n", F.when(F.col("n") > 0, _node()).alias("node"))
+    # Ids with several sets, or with a set and a text without words: their rows share a component.
+    several = scratch.save(rows.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count_if(F.col("node").isNull()).alias("blanks"))
+                           .where("lo < hi OR (lo IS NOT NULL AND blanks > 0)").select("doc_id", "lo"), "several-sets")
+    if not several.isEmpty():
+        rows = rows.join(several, "doc_id", "left").withColumn("node", F.coalesce("node", "lo"))
+        own = rows.where("node <> lo").select(F.col("node").alias("a"), F.col("lo").alias("b")).distinct()
+        joined = connected_components(links.unionByName(own), scratch, "by-id")
+
+    roots = scratch.save(joined.join(classes, "node").groupBy("component").agg(F.min("rep.doc_id").alias("root")), "roots")
+    named = (classes.select("node", F.col("rep.doc_id").alias("least")).join(joined, "node", "left").join(roots, "component", "left")
+             .select("node", F.coalesce("root", "least").alias("component")))
     # As a table, so that both sides of the last join are shuffled and a large class of copies can be split.
     named = scratch.save(named, "named")
-    return (sigs.join(named, ["n", "s1", "s2"], "left")
+    return (rows.join(named, "node", "left")
             .select(shown("doc_id"), F.col("n").cast("long").alias("n_shingles"),
                     F.nullif(F.coalesce("component", "doc_id"), F.lit(NULL_ID)).alias("component_id")))
