@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from impactloom.llm import mixing, ngram_join, packing, pii, quality
-from impactloom.llm.cases import free
+from impactloom.llm.cases import free, known
 from impactloom.llm.scratch import Scratch
 
 
@@ -19,18 +19,19 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more): its smallest id.
+    """One text of each group of near duplicates (five-word shingles, Jaccard 0.8 or more): that of its smallest id, then text hash.
 
-    Texts without words are in no group and stay.  Of rows with equal id and text one stays; rows with
-    one id and other texts stay both, as neither can be told apart by id.
+    Texts are told apart by id and text, so of an id's texts some may go and others stay.  Texts without
+    words are in no group and stay.  Of rows with equal id and text one stays.
     """
-    kept_id, tie, nth = free(docs.columns, "_kept", "_tie", "_nth")
-    found = ngram_join.ngram_jaccard_components(spark, docs, k=5, percent=80)
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col(kept_id)), "left_semi").withColumn(tie, F.xxhash64("text"))
-    same = Window.partitionBy("doc_id", tie).orderBy(tie)
+    id_, tie, kept_id, kept_tie, nth = free(docs.columns, "_id_", "_tie", "_kept", "_kept_tie", "_nth")
+    first = ngram_join.first_texts(spark, docs, k=5, percent=80).select(F.col("doc_id").alias(kept_id), F.col("th").alias(kept_tie))
+    told = docs.withColumn(id_, known("doc_id")).withColumn(tie, F.xxhash64("text"))
+    found = told.join(first, (F.col(id_) == F.col(kept_id)) & (F.col(tie) == F.col(kept_tie)), "left")
+    same = Window.partitionBy(id_, tie).orderBy(tie)
     blank = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
-    return kept.withColumn(nth, F.row_number().over(same)).where((F.col(nth) == 1) | blank).select(*docs.columns)
+    kept = found.where(F.col(kept_tie).isNotNull() | blank).withColumn(nth, F.row_number().over(same))
+    return kept.where((F.col(nth) == 1) | blank).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

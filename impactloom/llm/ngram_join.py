@@ -386,6 +386,18 @@ def _node():
     return F.xxhash64("n", "s1", "s2")
 
 
+def first_texts(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, th): the smallest id and text hash (``xxhash64``) of each group of linked texts; null ids as ``NULL_ID``.
+
+    Texts are grouped by what they say alone: texts of one id that do not link are in groups of their
+    own.  Texts without words are in none.
+    """
+    scratch = Scratch(spark, "first-texts")
+    _, classes, _, joined = _linked_sets(spark, docs.select(known(id_col).alias("doc_id"), F.col(text_col).alias("text")), k, percent, scratch)
+    return (classes.join(joined, "node", "left").groupBy(F.coalesce("component", "node").alias("group"))
+            .agg(F.min("rep").alias("rep")).select("rep.doc_id", "rep.th"))
+
+
 def ngram_jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80,
                              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row per row of ``docs``; see the module's docstring."""

@@ -7,7 +7,8 @@ import random
 import pytest
 from test_llm import components, documents, shingles
 
-from impactloom.llm import ngram_join
+from impactloom.llm import ngram_join, pii, quotes, url_filter
+from impactloom.llm.scratch import Scratch
 
 
 def near_copies(seed=5):
@@ -32,3 +33,17 @@ def test_texts_of_one_id_are_all_compared(spark, turned):
     want = components({i for i, _ in sets}, links)
     got = ngram_join.ngram_jaccard_components(spark, documents(spark, rows).coalesce(1), 5, 80).collect()
     assert sorted((low if x.doc_id is None else x.doc_id, x.n_shingles, low if x.component_id is None else x.component_id) for x in got) == sorted((i, len(s), want[i]) for i, s in sets)
+
+
+def test_near_duplicates_go_by_text_within_one_id(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    text = lambda: [f"w{r.randrange(10**6)}" for _ in range(60)]
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t: " ".join([*t[:59], "tail"])
+    full = " ".join
+    rows = [(None, full(a), "s"), (None, near(a), "s"), (None, full(b), "s"), (None, full(b), "s"), (1, full(c), "s"), (5, near(c), "s"), (5, full(d), "s"), (7, near(d), "s"), (None, None, "s"), (None, " ", "s")]
+    kept = sorted(((x.doc_id or 0, x.text or "") for x in corpus_pipeline.drop_near_duplicates(spark, documents(spark, rows), "").collect()))
+    assert len([k for k in kept if k[0] == 0 and k[1] in (full(a), near(a))]) == 1
+    assert [k for k in kept if k[1] not in (full(a), near(a))] == sorted([(0, full(b)), (1, full(c)), (5, full(d)), (0, ""), (0, " ")])
