@@ -4,7 +4,10 @@ A line's quote level is its number of leading ``>`` marks (blanks between them a
 runs of lines with one level above 0 are *quoted passages*; the lines of level 0 are the message's
 own text.  Passages are normalised (marks off, case folded, runs of blanks as one) and hashed.  What
 a passage quotes is looked up by (conversation, hash) among the own texts of messages: the whole own
-text, its paragraphs and its lines; the earliest message that has it is the original.  The passages
+text, its paragraphs, its lines and its pairs of neighbouring lines; the earliest message that has it is
+the original.  A passage that no earlier message has as one (a trimmed quote) is looked up by its own
+paragraphs, lines and pairs: of the earliest owners of those, the message that has most of them is the
+original, the earliest where several do.  The passages
 of a quote of level 1 are what a message replies to, the first of them that is found deciding;
 deeper levels are links as well.
 
@@ -60,16 +63,24 @@ def _hash(text: str) -> int | None:
     return int.from_bytes(hashlib.blake2b(plain.encode(), digest_size=8).digest(), "big", signed=True) if plain else None
 
 
+def _parts(text: str) -> list[str]:
+    lines = [line for line in text.split("\n") if line.strip()]
+    return [*re.split(r"\n\s*\n", text), *lines, *map("\n".join, zip(lines, lines[1:]))] if text else []
+
+
+def _hashes(parts: list[str]) -> list[int]:
+    return sorted({h for h in map(_hash, parts) if h is not None})
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         own_text, own_keys, quotes = [], [], []
         for text in batch.column(3).to_pylist():
             own, passages = split_quotes(text or "")
-            parts = [own, *re.split(r"\n\s*\n", own), *own.split("\n")] if own else []
             own_text.append(own)
-            own_keys.append(sorted({h for h in map(_hash, parts) if h is not None}))
-            quotes.append([{"level": d, "nth": i, "hash": h} for i, (d, p) in enumerate(passages) if (h := _hash(p)) is not None])
-        quote = pa.struct([("level", pa.int32()), ("nth", pa.int32()), ("hash", pa.int64())])
+            own_keys.append(_hashes([own, *_parts(own)]))
+            quotes.append([{"level": d, "nth": i, "hash": h, "parts": _hashes(_parts(p))} for i, (d, p) in enumerate(passages) if (h := _hash(p)) is not None])
+        quote = pa.struct([("level", pa.int32()), ("nth", pa.int32()), ("hash", pa.int64()), ("parts", pa.list_(pa.int64()))])
         yield pa.record_batch([*batch.columns[:3], pa.array(own_text, type=pa.string()), pa.array(own_keys, type=pa.list_(pa.int64())),
                                pa.array(quotes, type=pa.list_(quote))], names=["conv_id", "turn", "role", "own_text", "own_keys", "quotes"])
 
@@ -79,11 +90,21 @@ def link_quotes(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     scratch = Scratch(spark, "quotes")
     parsed = scratch.save(conversations.select(known("conv_id").alias("conv_id"), known("turn").alias("turn"), F.col("role").cast("string").alias("role"), "text")
                           .mapInArrow(_parse, "conv_id long, turn long, role string, own_text string, own_keys array<bigint>, "
-                                              "quotes array<struct<level:int,nth:int,hash:bigint>>"), "parsed")
-    asked = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.nth", "q.hash")
+                                              "quotes array<struct<level:int,nth:int,hash:bigint,parts:array<bigint>>>"), "parsed")
+    asked = parsed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.level", "q.nth", "q.hash", "q.parts")
     # Only hashes that someone quotes matter; the earliest owner of each is one row.
-    origin = (parsed.select("conv_id", "turn", F.explode("own_keys").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("origin")))
-    links = scratch.save(asked.join(origin, ["conv_id", "hash"]).where("origin < turn"), "links")
+    owned = parsed.select("conv_id", "turn", F.explode("own_keys").alias("hash"))
+    origin = owned.groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
+    links = scratch.save(asked.drop("parts").join(origin, ["conv_id", "hash"]).where("origin < turn"), "links")
+    passage = ["conv_id", "turn", "level", "nth", "hash"]
+    rest = scratch.save(asked.join(links, passage, "left_anti").select(*passage, F.explode("parts").alias("part")).distinct(), "rest")
+    if not rest.isEmpty():
+        # A part has one earliest owner, so a passage has no more candidates than parts.
+        first = rest.join(origin.withColumnRenamed("hash", "part"), ["conv_id", "part"]).where("origin < turn").select(*passage, "origin").distinct()
+        has = owned.select("conv_id", F.col("turn").alias("origin"), F.col("hash").alias("part")).distinct()
+        support = first.join(rest, passage).join(has, ["conv_id", "origin", "part"], "left_semi").groupBy(*passage, "origin").agg(F.count("*").alias("n"))
+        best = support.groupBy(*passage).agg(F.min_by("origin", F.struct(-F.col("n"), F.col("origin"))).alias("origin"))
+        links = scratch.save(links.unionByName(best), "all-links")
     parents = (links.groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct(F.when(F.col("level") == 1, 0).otherwise(1), "nth")).alias("parent_turn"),
                                                     F.count("*").alias("n_links")))
     edges = links.select(F.xxhash64("conv_id", "turn").alias("a"), F.xxhash64("conv_id", "origin").alias("b"))

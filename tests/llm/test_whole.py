@@ -35,6 +35,14 @@ def test_texts_of_one_id_are_all_compared(spark, turned):
     assert sorted((low if x.doc_id is None else x.doc_id, x.n_shingles, low if x.component_id is None else x.component_id) for x in got) == sorted((i, len(s), want[i]) for i, s in sets)
 
 
+def test_trimmed_quotes_link_to_their_original(spark):
+    rows = [(1, 0, "Common"), (1, 1, "One\nCommon\nThree\nFour\nFive"), (1, 2, "> Common\n> Three\nTrimmed"), (1, 3, "P one\n\nP two\nmore\n\nP three"), (1, 4, "> P one\n> \n> P two\n> more\nYes"),
+            (1, 5, "Alpha"), (1, 6, "Beta"), (1, 7, "Alpha\nBeta\nGamma"), (1, 8, "> Alpha\n> Beta\nBoth"), (2, 0, "> Three\n> Four\nelsewhere")]
+    d = spark.createDataFrame([(a, b, "x", t) for a, b, t in rows], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_links) for r in quotes.link_quotes(spark, d).collect()}
+    assert [got[1, t] for t in (2, 4, 8)] == [(1, 1, 1), (3, 3, 1), (7, 7, 1)] and got[2, 0] == (None, 0, 0)
+
+
 def test_near_duplicates_go_by_text_within_one_id(spark):
     import corpus_pipeline
 
