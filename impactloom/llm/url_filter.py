@@ -7,7 +7,8 @@ that rules block those of a PageRank over the reversed links (who links to bad h
 seed's mass is its number of pages.  A host is blocked when distrust exceeds trust by ``margin``.
 
 Links are the absolute targets of href and src attributes, between different hosts.  Each round of
-the iteration is written to the shared folder; it ends when no mass moves any more than ``tolerance``.
+the iteration is written to the shared folder; it ends, after however many rounds, when no host is new
+and no host's own mass changes by more than ``tolerance`` of itself, so unrelated hosts have no say.
 
 The rule list is a parameter that goes into the plan, so it must be of moderate size.
 
@@ -19,12 +20,14 @@ Everything is DataFrame operations.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .scratch import Scratch
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-DAMPING, TOLERANCE, ROUNDS, MARGIN = 0.85, 1e-6, 60, 0.0
+DAMPING, TOLERANCE, MARGIN = 0.85, 1e-6, 0.0
 _LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s<>]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,7 +60,7 @@ def host_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             .groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(scratch: Scratch, links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+def propagate(scratch: Scratch, links: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of ``seeds`` (host, trust, distrust) both ways."""
     both = (links.select(F.lit("trust").alias("way"), "src", "dst", "n")
             .unionByName(links.select(F.lit("distrust").alias("way"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n")))
@@ -66,19 +69,19 @@ def propagate(scratch: Scratch, links: DataFrame, seeds: DataFrame, damping: flo
     start = scratch.save(seeds.select(F.lit("trust").alias("way"), "host", F.col("trust").cast("double").alias("mass"))
                          .unionByName(seeds.select(F.lit("distrust").alias("way"), "host", F.col("distrust").cast("double").alias("mass"))).where("mass > 0"), "start")
     rank = start.withColumn("mass", F.col("mass") * (1 - damping))
-    total = start.agg(F.sum("mass")).first()[0] or 0.0
-    for k in range(rounds):
+    # Masses only grow, and the largest relative change never does: a host that is reached anew has changed by 1.
+    for k in count():
         moved = rank.join(edges, (rank["way"] == edges["way"]) & (rank["host"] == edges["src"])).select(
             rank["way"], F.col("dst").alias("host"), (F.col("mass") * F.col("w") * damping).alias("mass"))
         parts = start.select("way", "host", (F.col("mass") * (1 - damping)).alias("new"), F.lit(0.0).alias("old"))
         parts = parts.unionByName(moved.select("way", "host", F.col("mass").alias("new"), F.lit(0.0).alias("old")))
         parts = parts.unionByName(rank.select("way", "host", F.lit(0.0).alias("new"), F.col("mass").alias("old")))
         following = scratch.save(parts.groupBy("way", "host").agg(F.sum("new").alias("mass"), F.sum("old").alias("old")), f"rank-{k}", release=False)
-        change = following.agg(F.sum(F.abs(F.col("mass") - F.col("old")))).first()[0] or 0.0
+        change = following.where("mass > 0").agg(F.max(F.abs(F.col("mass") - F.col("old")) / F.col("mass"))).first()[0] or 0.0
         rank = following.select("way", "host", "mass")
         if k:
             scratch.drop(f"rank-{k - 1}")
-        if change <= tolerance * max(total, 1.0):
+        if change <= tolerance:
             break
     return rank.groupBy("host").agg(F.sum(F.when(F.col("way") == "trust", F.col("mass")).otherwise(0.0)).alias("trust"),
                                     F.sum(F.when(F.col("way") == "distrust", F.col("mass")).otherwise(0.0)).alias("distrust"))

@@ -43,6 +43,13 @@ def test_trimmed_quotes_link_to_their_original(spark):
     assert [got[1, t] for t in (2, 4, 8)] == [(1, 1, 1), (3, 3, 1), (7, 7, 1)] and got[2, 0] == (None, 0, 0)
 
 
+def test_propagation_does_not_depend_on_unrelated_seeds(spark):
+    links = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(4)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("h0", 0, 20), ("apart.org", 3_000_000, 0)], "host string, trust long, distrust long")
+    got = {r.host: r.distrust for r in url_filter.propagate(Scratch(spark, "t"), links, seeds).collect()}
+    assert all(abs(got[f"h{i}"] - 20 * 0.15 * 0.85**i) < 1e-9 for i in range(5))
+
+
 def test_near_duplicates_go_by_text_within_one_id(spark):
     import corpus_pipeline
 
