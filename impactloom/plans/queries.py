@@ -259,7 +259,7 @@ def throttle_stream(spark, sf_dir):
 
 
 _DIFF = """SELECT id AS event_id, 'diff --git a/' || file_path || ' b/' || file_path || chr(10) || '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -1 +' ||
-    CAST(start_line AS STRING) || ',' || CAST(id % 3 AS STRING) || ' @@' || chr(10) || '+x' || chr(10) AS diff FROM gl_definition WHERE id % 10 = 3"""
+    CAST(start_line AS STRING) || ',' || CAST(id % 3 AS STRING) || ' @@' || chr(10) || '+x' || chr(10) AS diff FROM gl_definition"""
 
 
 def diff_symbols(spark, sf_dir):
