@@ -83,6 +83,21 @@ def _emails(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def _ibans(text: str) -> list[tuple[int, int]]:
+    """Spans that pass mod-97; each candidate's longest such end at a group border, as the next word may look like a group."""
+    spans, at = [], 0
+    while m := _IBAN.search(text, at):
+        lo = m.start()
+        at = lo + 4
+        for hi in (m.end(), *(lo + i for i in range(len(m[0]) - 1, 0, -1) if m[0][i] == " ")):
+            plain = text[lo:hi].replace(" ", "")
+            if 15 <= len(plain) <= 34 and mod97(plain):
+                spans.append((lo, hi))
+                at = hi
+                break
+    return spans
+
+
 def _score(text: str, kind: str, lo: int, hi: int, checked: bool) -> float:
     around = f"{text[max(0, lo - 40) : lo]} {text[hi : hi + 20]}"
     score = PRIOR[kind] + CHECKSUM_BONUS * checked
@@ -126,10 +141,7 @@ def find_spans(text: str) -> list[tuple[str, int, int, float]]:
         if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
             phones.append(("phone", m.start(), m.end(), _score(text, "phone", m.start(), m.end(), False)))
     spans += cards + phones
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            spans.append(("iban", m.start(), m.end(), _score(text, "iban", m.start(), m.end(), True)))
+    spans += [("iban", lo, hi, _score(text, "iban", lo, hi, True)) for lo, hi in _ibans(text)]
     starts, ends = _united(spans)
     for m in _NUMBER.finditer(text):
         last = bisect_left(starts, m.end()) - 1

@@ -50,6 +50,15 @@ def test_propagation_does_not_depend_on_unrelated_seeds(spark):
     assert all(abs(got[f"h{i}"] - 20 * 0.15 * 0.85**i) < 1e-9 for i in range(5))
 
 
+def test_ibans_before_other_words():
+    de, gb = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    for before, iban, after in (("", de, " BIC COBADEFF"), ("to ", de, " 2024"), ("", de.replace(" ", ""), " REF 7"), ("", gb, " " + de), ("ID12 ", de, ""), ("", de, "")):
+        text = before + iban + after
+        assert ("iban", len(before), len(before) + len(iban)) in [s[:3] for s in pii.find_spans(text)], text
+    assert [s[1] for s in pii.find_spans(f"{gb} {de}") if s[0] == "iban"] == [0, len(gb) + 1]
+    assert not [s for s in pii.find_spans("DE88 3704 0044 0532 0130 00 BIC") if s[0] == "iban"]
+
+
 def test_near_duplicates_go_by_text_within_one_id(spark):
     import corpus_pipeline
 
