@@ -1,79 +1,173 @@
-"""Cut vertices of the undirected call graph of an event."""
+"""Cut vertices of the undirected call graph of an event.
+
+Graphs that fit one task by count (``ONE_TASK`` edges, a fixed bound) are searched there, many events
+to a task.  Larger ones take rounds over all tasks: breadth-first levels, then, from the deepest level
+up, the ends of edges outside the tree climb to where they meet.  Tree edges that such a climb passes
+lie on one cycle; components of "on one cycle" are the blocks, and a node between blocks cuts.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-MAX_NODES = 8000
+from ..durable import Scratch
+from .components import connected_components
 
+#: So many edges of an event, 16 bytes each, are left to a single task.  Edges of several events share a group of about ``GROUP``.
+ONE_TASK, GROUP = 1_000_000, 100_000
 
-def cut_vertices(pairs: list[tuple[int, int]], max_nodes: int = MAX_NODES) -> list[tuple[int, int, int]]:
-    """(node, isolated, parts) of nodes whose removal increases the number of components.
 
-    Iterative low-link search.  ``isolated`` is all other nodes, of any component, but those of the
-    largest part that is left; ``parts`` is the number of components after removal.
-    """
-    near: dict[int, set[int]] = {}
-    for a, b in pairs:
-        if a != b:
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-    total = len(near)
-    if not total or total > max_nodes:
+def _search(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    names, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    total = len(names)
+    if total < 3:
         return []
-    order: dict[int, int] = {}
-    low: dict[int, int] = {}
-    size: dict[int, int] = {}
-    cut_off: dict[int, list[int]] = {}
-    component: dict[int, int] = {}
+    u, v = at[: len(a)], at[len(a) :]
+    order = np.argsort(np.concatenate((u, v)), kind="stable")
+    near = np.concatenate((v, u))[order].tolist()
+    first = np.searchsorted(np.concatenate((u, v))[order], np.arange(total + 1)).tolist()
+    place, low, size, component = [-1] * total, [0] * total, [1] * total, [0] * total
+    next_ = first[:-1]
+    below: dict[int, list[int]] = {}
     sizes: list[int] = []
-    for root in sorted(near):
-        if root in order:
+    seen = 0
+    for root in range(total):
+        if place[root] >= 0:
             continue
-        order[root] = low[root] = len(order)
-        size[root], component[root] = 1, len(sizes)
-        stack = [(root, None, iter(sorted(near[root])))]
-        while stack:
-            node, parent, rest = stack[-1]
-            for other in rest:
-                if other not in order:
-                    order[other] = low[other] = len(order)
-                    size[other], component[other] = 1, len(sizes)
-                    stack.append((other, node, iter(sorted(near[other]))))
-                    break
-                if other != parent:
-                    low[node] = min(low[node], order[other])
+        place[root] = low[root] = seen
+        seen += 1
+        component[root] = len(sizes)
+        path, parents = [root], [-1]
+        while path:
+            node = path[-1]
+            if next_[node] < first[node + 1]:
+                other = near[next_[node]]
+                next_[node] += 1
+                if place[other] < 0:
+                    place[other] = low[other] = seen
+                    seen += 1
+                    component[other] = len(sizes)
+                    path.append(other)
+                    parents.append(node)
+                elif other != parents[-1] and place[other] < low[node]:
+                    low[node] = place[other]
             else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[node])
+                path.pop()
+                parent = parents.pop()
+                if parent >= 0:
+                    if low[node] < low[parent]:
+                        low[parent] = low[node]
                     size[parent] += size[node]
-                    if low[node] >= order[parent]:
-                        cut_off.setdefault(parent, []).append(size[node])
+                    if low[node] >= place[parent]:
+                        below.setdefault(parent, []).append(size[node])
         sizes.append(size[root])
+    largest = sorted(range(len(sizes)), key=sizes.__getitem__)[-2:]
     out = []
-    for node, below in cut_off.items():
-        own = sizes[component[node]]
-        above = own - 1 - sum(below)
-        parts = below + ([above] if above else [])
+    for node, parts in below.items():
+        above = sizes[component[node]] - 1 - sum(parts)
+        if above:
+            parts = [*parts, above]
         if len(parts) > 1:
-            others = [s for i, s in enumerate(sizes) if i != component[node]]
-            out.append((node, total - 1 - max(parts + others), len(parts) + len(others)))
+            elsewhere = max((sizes[c] for c in largest if c != component[node]), default=0)
+            out.append((int(names[node]), total - 1 - max(*parts, elsewhere), len(parts) + len(sizes) - 1))
     return sorted(out, key=lambda x: (-x[1], -x[2], x[0]))
 
 
-def chokepoints(edges: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
-    """(event_id, id, isolated, parts); a task holds one event's graph, of ``max_nodes`` at most.
+def cut_vertices(pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(node, isolated, parts) of nodes whose removal increases the number of components.
 
-    Larger graphs give no rows, and are left out before they are gathered.
+    ``isolated`` is all other nodes, of any component, but those of the largest part that is left;
+    ``parts`` is the number of components after removal.  Self-loops and repeated pairs do not count.
     """
-    nodes = edges.select("event_id", F.col("source_id").alias("id")).unionByName(edges.select("event_id", F.col("target_id").alias("id"))).distinct()
-    small = nodes.groupBy("event_id").agg(F.count("*").alias("n")).where(F.col("n") <= max_nodes).select("event_id")
-    pairs = edges.select("event_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).where("a <> b").distinct()
+    plain = sorted({(min(p), max(p)) for p in pairs if p[0] != p[1]})
+    return _search(*np.array(plain, dtype=np.int64).T) if plain else []
+
 
+def _in_tasks(pairs: DataFrame, edges: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = cut_vertices(list(zip(pdf["a"].tolist(), pdf["b"].tolist())), max_nodes)
-        return pd.DataFrame([(int(pdf["event_id"].iloc[0]), *f) for f in found], columns=["event_id", "id", "isolated", "parts"]).astype("int64")
+        pdf = pdf.sort_values("event_id", kind="stable")
+        event, a, b = (pdf[c].to_numpy() for c in ("event_id", "a", "b"))
+        cut = np.flatnonzero(np.r_[True, event[1:] != event[:-1], True]) if len(event) else [0]
+        found = [(int(event[lo]), *f) for lo, hi in zip(cut[:-1], cut[1:]) for f in _search(a[lo:hi], b[lo:hi])]
+        return pd.DataFrame(found, columns=["event_id", "id", "isolated", "parts"]).astype("int64")
+
+    group = F.pmod(F.xxhash64("event_id"), F.lit(max(16, edges // GROUP)))
+    return pairs.withColumn("g", group).groupBy("g").applyInPandas(run, "event_id long, id long, isolated long, parts long")
+
+
+def _in_rounds(pairs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for graphs of any size; the number of rounds is twice the largest distance from a root."""
+    key = lambda c: F.xxhash64("event_id", c)
+    half = pairs.select("event_id", F.col("a").alias("id"), key("a").alias("u"), key("b").alias("v"))
+    both = scratch.save(half.unionByName(pairs.select("event_id", F.col("b").alias("id"), key("b").alias("u"), key("a").alias("v"))), "both", release=False)
+    nodes = scratch.save(both.select("event_id", "id", F.col("u").alias("node")).distinct(), "nodes", release=False)
+    adjacent = both.select("u", "v")
+    own = connected_components(adjacent.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch, "whole")
+    levels = [scratch.save(own.select(F.col("component").alias("node")).distinct().withColumn("parent", F.lit(None).cast("long")), "bfs-0", release=False)]
+    visited = levels[0].select("node")
+    while not levels[-1].isEmpty():
+        reached = levels[-1].select(F.col("node").alias("u")).join(adjacent, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
+        levels.append(scratch.save(reached.join(visited, "node", "left_anti"), f"bfs-{len(levels)}", release=False))
+        visited = visited.unionByName(levels[-1].select("node"))
+    levels.pop()
+    tree = levels[0].withColumn("level", F.lit(0))
+    for k, level in enumerate(levels[1:], 1):
+        tree = tree.unionByName(level.withColumn("level", F.lit(k)))
+    tree = scratch.save(tree, "tree", release=False)
+    # Edges outside the tree join nodes of one level or of neighbouring ones, and never a node with what is above it.
+    deep = tree.select(F.col("node").alias("u"), F.col("parent").alias("up"), F.col("level").alias("lu"))
+    flat = tree.select(F.col("node").alias("v"), F.col("level").alias("lv"), F.col("parent").alias("vp"))
+    loose = adjacent.join(deep, "u").join(flat, "v").where("lu > lv OR (lu = lv AND u < v)").where("NOT (up <=> v)")
+    loose = scratch.save(loose.select("u", "v", "up", "lu", "lv"), "loose", release=False)
+    joined = loose.select(F.col("u").alias("a"), F.when(F.col("lu") > F.col("lv"), F.col("up")).otherwise(F.col("v")).alias("b")).where("lu > lv")
+    joined = scratch.save(joined, "cycle-start", release=False)
+    sizes, climbing = None, None
+    for k in range(len(levels) - 1, 0, -1):
+        here = levels[k]
+        fresh = loose.where((F.col("lu") == k) & (F.col("lv") == k)).select("u", "v")
+        risen = loose.where((F.col("lu") == k + 1) & (F.col("lv") == k)).select(F.col("up").alias("u"), "v")
+        pairs_here = fresh.unionByName(risen)
+        pairs_here = pairs_here if climbing is None else pairs_here.unionByName(climbing)
+        pairs_here = scratch.save(pairs_here.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), f"pairs-{k}", release=False)
+        parent = here.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
+        moved = pairs_here.join(parent, "u").join(parent.select(F.col("u").alias("v"), F.col("pu").alias("pv")), "v")
+        moved = scratch.save(moved, f"moved-{k}", release=False)
+        joined = joined.unionByName(moved.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        on = moved.where("pu <> pv")
+        joined = joined.unionByName(on.select(F.col("u").alias("a"), F.col("pu").alias("b"))).unionByName(on.select(F.col("v").alias("a"), F.col("pv").alias("b")))
+        climbing = on.select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+        held = here.select("node", "parent")
+        held = held.withColumn("under", F.lit(0).cast("long")) if sizes is None else held.join(sizes, "node", "left").fillna({"under": 0})
+        held = scratch.save(held.select("node", "parent", (F.col("under") + 1).alias("size")), f"size-{k}", release=False)
+        weights = held if k == len(levels) - 1 else weights.unionByName(held)  # noqa: F821
+        sizes = held.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("under"))
+    # A tree edge is known by its lower end.
+    block = connected_components(joined, scratch, "blocks")
+    below = scratch.save(weights.join(block, "node", "left").select("node", "parent", "size", F.coalesce("component", "node").alias("block")), "below", release=False)
+    above = below.select(F.col("node").alias("parent"), F.col("block").alias("up"))
+    parts = below.join(above, "parent", "left").where("NOT (up <=> block)").groupBy("parent", "block").agg(F.sum("size").alias("size"), F.first("up").alias("up"))
+    per = parts.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("cut_off"), F.max("size").alias("most"), F.count("*").alias("n"), F.max("up").alias("up"))
+    whole = nodes.join(own, "node").groupBy("event_id", "component").agg(F.count("*").alias("members"))
+    of = Window.partitionBy("event_id")
+    # The largest component that is not the node's own: the largest of all, or the second where that is the own one.
+    ranked = whole.withColumn("r", F.row_number().over(of.orderBy(F.desc("members"), "component")))
+    best = ranked.groupBy("event_id").agg(F.sum("members").alias("total"), F.count("*").alias("components"), F.max(F.when(F.col("r") == 1, F.col("members"))).alias("m1"),
+                                          F.max(F.when(F.col("r") == 2, F.col("members"))).alias("m2"), F.max(F.when(F.col("r") == 1, F.col("component"))).alias("c1"))
+    rest = F.when(F.col("up").isNull(), 0).otherwise(F.col("members") - 1 - F.col("cut_off"))
+    other = F.coalesce(F.when(F.col("component") == F.col("c1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0))
+    row = per.join(nodes, "node").join(own, "node").join(whole, ["event_id", "component"]).join(best, "event_id").withColumn("rest", rest)
+    row = row.withColumn("n", F.col("n") + (F.col("rest") > 0).cast("long")).where("n > 1")
+    return row.select("event_id", "id", (F.col("total") - 1 - F.greatest("most", "rest", other)).alias("isolated"), (F.col("n") + F.col("components") - 1).alias("parts"))
+
 
-    return pairs.join(small, "event_id", "left_semi").groupBy("event_id").applyInPandas(run, "event_id long, id long, isolated long, parts long")
+def chokepoints(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) -> DataFrame:
+    """(event_id, id, isolated, parts) of all cut vertices, whatever the size of an event's graph."""
+    pairs = edges.select("event_id", F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).where("a <> b")
+    pairs = scratch.save(pairs.distinct(), "undirected", release=False)
+    large = scratch.save(pairs.groupBy("event_id").agg(F.count("*").alias("n")).where(F.col("n") > one_task).select("event_id"), "large", release=False)
+    small = _in_tasks(pairs.join(large, "event_id", "left_anti"), pairs.count())
+    if large.isEmpty():
+        return small
+    return small.unionByName(_in_rounds(pairs.join(large, "event_id", "left_semi"), scratch))

@@ -22,18 +22,22 @@ class Impact:
         self.scratch = Scratch(spark, "impact")
         self.events, self.definitions, self.calls = events, definitions, calls
         self.seeds = self.scratch.save(traverse.seeds_of(events, definitions), "seeds", release=False)
-        self.walked = self.scratch.save(traverse.callers_by_depth(self.seeds, calls), "walked", release=False)
-        self.deps = traverse.dependents(self.walked, definitions)
-        self.files = scoring.file_impact(self.deps)
+        # Walks start from names; events share them.  What an event reaches is then a join and one aggregate.
+        self.names = self.scratch.save(traverse.names_of(events, definitions), "names", release=False)
+        walked = traverse.callers_by_depth(self.names, calls, self.scratch, name="walk")
+        self.walked = self.scratch.save(walked.groupBy("event_id", "id").agg(F.max("depth").alias("depth")), "walked", release=False)
+        reached = traverse.of_events(events, self.walked).groupBy("event_id", "id").agg(F.max("depth").alias("depth"))
+        self.deps = self.scratch.save(traverse.dependents(reached, definitions), "deps", release=False)
+        self.files = self.scratch.save(scoring.file_impact(self.deps), "files", release=False)
 
     def totals(self) -> DataFrame:
         """(event_id, total_dependents, affected_services, max_depth)."""
-        return self.deps.groupBy("event_id").agg(F.countDistinct("id").alias("total_dependents"), F.countDistinct("project_id").alias("affected_services"), F.max("depth").alias("max_depth"))
+        return self.deps.groupBy("event_id").agg(F.count("*").alias("total_dependents"), F.countDistinct("project_id").alias("affected_services"), F.max("depth").alias("max_depth"))
 
     def cuts(self) -> DataFrame:
-        nodes = traverse.closure(self.seeds, self.calls, self.scratch)
-        edges = self.scratch.save(traverse.induced_edges(nodes, self.calls), "induced", release=False)
-        return scoring.named_cuts(cutvertex.chokepoints(edges), self.definitions, self.seeds)
+        nodes = traverse.of_events(self.events, traverse.closure(self.names, self.calls, self.scratch)).distinct()
+        pairs = self.scratch.save(self.calls.where("source_id <> target_id").select("source_id", "target_id").distinct(), "pairs", release=False)
+        return scoring.named_cuts(cutvertex.chokepoints(traverse.induced_edges(nodes, pairs), self.scratch), self.definitions, self.seeds)
 
     def keystones(self) -> DataFrame:
         return scoring.keystones(self.events, centrality.degrees(self.calls), self.definitions)
@@ -48,7 +52,7 @@ class Impact:
         controls = controls if controls is not None else spark.createDataFrame([], "event_id long, approved boolean, pipeline string")
         scars = scars if scars is not None else spark.createDataFrame([], "event_id long, prior double")
         findings = findings if findings is not None else spark.createDataFrame([], "event_id long, severity string")
-        per_event = self.events.groupBy("event_id").agg(F.max("edit_class").alias("edit_class"))
+        per_event = self.events.groupBy("event_id").agg(F.max_by("edit_class", F.struct(textdiff.edit_danger(F.col("edit_class")), "edit_class")).alias("edit_class"))
         top = self.files.where(F.col("rank") <= scoring.TOP_FILES)
         path = F.col("file_path")
         reach = top.groupBy("event_id").agg(

@@ -14,8 +14,8 @@ def _d(v: float) -> Column:
 
 
 def file_impact(deps: DataFrame) -> DataFrame:
-    """(event_id, file_path, affected, rank): definitions per file, largest first, ties by path."""
-    per = deps.groupBy("event_id", "file_path").agg(F.countDistinct("id").alias("affected"))
+    """(event_id, file_path, affected, rank): definitions per file, largest first, ties by path; ``deps`` has a row per event and id."""
+    per = deps.groupBy("event_id", "file_path").agg(F.count("*").alias("affected"))
     return per.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("affected"), "file_path")))
 
 

@@ -14,54 +14,72 @@ def seeds_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("changed_symbol").alias("name")).distinct().join(definitions.select("id", "name"), "name").select("event_id", "id").distinct()
 
 
-def callers_by_depth(seeds: DataFrame, calls: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def callers_by_depth(seeds: DataFrame, calls: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH, name: str = "level") -> DataFrame:
     """(event_id, id, depth): ids with a walk of that length to a seed, up to ``max_depth``.
 
-    Levels are sets, so cycles end at the bound and a node appears once a level.  Each level is
-    persisted as it is read twice; lost blocks are computed again from their lineage.
+    Levels are sets, so cycles end at the bound and a node appears once a level.  Each level is a
+    table in the shared folder: it is read by the next one and by the result.
     """
-    step = calls.select("source_id", "target_id").distinct().persist()
-    level, out = seeds, None
+    step = scratch.save(calls.select("source_id", "target_id").distinct(), f"{name}-step", release=False)
+    level, out = seeds.select("event_id", "id"), seeds.select("event_id", "id", F.lit(0).alias("depth")).limit(0)
     for depth in range(1, max_depth + 1):
-        level = level.join(step, level["id"] == step["target_id"]).select("event_id", F.col("source_id").alias("id")).distinct().persist()
-        row = level.withColumn("depth", F.lit(depth))
-        out = row if out is None else out.unionByName(row)
+        level = scratch.save(level.join(step, level["id"] == step["target_id"]).select("event_id", F.col("source_id").alias("id")).distinct(), f"{name}-{depth}", release=False)
+        if level.isEmpty():
+            break
+        out = level.withColumn("depth", F.lit(depth)) if depth == 1 else out.unionByName(level.withColumn("depth", F.lit(depth)))
     return out
 
 
+def names_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(event_id, id): the definitions of each changed name; ``event_id`` is the hash of the name.
+
+    A walk starts once from a name, however many events change it.
+    """
+    names = events.select(F.col("changed_symbol").alias("name")).distinct()
+    return definitions.select("id", "name").join(names, "name", "left_semi").select(F.xxhash64("name").alias("event_id"), "id").distinct()
+
+
+def of_events(events: DataFrame, per_name: DataFrame) -> DataFrame:
+    """Rows of names, as ``names_of`` numbers them, for every event that changes such a name."""
+    changed = events.select(F.col("event_id").alias("event"), F.xxhash64("changed_symbol").alias("event_id")).distinct()
+    return changed.join(per_name, "event_id").drop("event_id").withColumnRenamed("event", "event_id")
+
+
 def dependents(walked: DataFrame, definitions: DataFrame) -> DataFrame:
     """(event_id, id, depth, file_path, project_id): what has a definition row."""
     return walked.join(definitions.select("id", "file_path", "project_id", "name"), "id")
 
 
-def closure(seeds: DataFrame, calls: DataFrame, scratch: Scratch) -> DataFrame:
+def closure(seeds: DataFrame, calls: DataFrame, scratch: Scratch, name: str = "closure") -> DataFrame:
     """(event_id, id): everything that reaches a seed, seeds included; a fixpoint without depth bound."""
-    step = calls.select("source_id", "target_id").distinct()
-    visited = scratch.save(seeds.select("event_id", "id").distinct(), "visited-0", release=False)
+    step = scratch.save(calls.select("source_id", "target_id").distinct(), f"{name}-step", release=False)
+    visited = scratch.save(seeds.select("event_id", "id").distinct(), f"{name}-0", release=False)
     frontier, k = visited, 0
     while True:
         k += 1
         found = frontier.join(step, frontier["id"] == step["target_id"]).select("event_id", F.col("source_id").alias("id")).distinct()
-        frontier = scratch.save(found.join(visited, ["event_id", "id"], "left_anti"), f"frontier-{k}", release=False)
+        frontier = scratch.save(found.join(visited, ["event_id", "id"], "left_anti"), f"{name}-frontier-{k}", release=False)
         if frontier.isEmpty():
             return visited
         visited = visited.unionByName(frontier)
         if k % 8 == 0:
-            visited = scratch.save(visited, f"visited-{k}", release=False)
+            visited = scratch.save(visited, f"{name}-{k}", release=False)
 
 
 def induced_edges(nodes: DataFrame, calls: DataFrame) -> DataFrame:
-    """(event_id, source_id, target_id): calls with both ends in the closure, multiplicity kept."""
-    inside = nodes.select("event_id", F.col("id").alias("source_id")).join(calls, "source_id")
-    return inside.join(nodes.select("event_id", F.col("id").alias("target_id")), ["event_id", "target_id"], "left_semi").select("event_id", "source_id", "target_id")
+    """(event_id, source_id, target_id): calls with both ends in a closure, multiplicity kept.
+
+    A closure holds all callers of its nodes, so the calls of its nodes are all that lie within it.
+    """
+    return nodes.join(calls, nodes["id"] == calls["target_id"]).select("event_id", "source_id", "target_id")
 
 
-def walk_counts(seeds: DataFrame, calls: DataFrame, max_depth: int = 5) -> DataFrame:
+def walk_counts(seeds: DataFrame, calls: DataFrame, scratch: Scratch, max_depth: int = 5) -> DataFrame:
     """(event_id, id, depth, walks): numbers of walks, seeds at depth 0, without listing the walks."""
     level = seeds.select("event_id", "id", F.lit(1).cast("long").alias("walks"))
     out = level.withColumn("depth", F.lit(0))
     for depth in range(1, max_depth + 1):
-        level = (level.join(calls, level["id"] == calls["target_id"]).groupBy("event_id", F.col("source_id").alias("id")).agg(F.sum("walks").alias("walks"))).persist()
+        level = scratch.save(level.join(calls, level["id"] == calls["target_id"]).groupBy("event_id", F.col("source_id").alias("id")).agg(F.sum("walks").alias("walks")), f"walks-{depth}", release=False)
         out = out.unionByName(level.withColumn("depth", F.lit(depth)))
     return out
 

@@ -31,9 +31,10 @@ _SEED = f"seed AS (SELECT id FROM gl_definition WHERE name IN {SYMBOL})"
 _WALK = """callers AS (SELECT DISTINCT e.source_id AS id, 1 AS depth FROM gl_calls e JOIN seed s ON e.target_id = s.id
     UNION SELECT e.source_id, c.depth + 1 FROM gl_calls e JOIN callers c ON e.target_id = c.id WHERE c.depth < 8)"""
 _EVENT_WALK = """seed AS (SELECT DISTINCT v.event_id, d.id FROM mr_event v JOIN gl_definition d ON d.name = v.changed_symbol),
-    callers AS (SELECT DISTINCT s.event_id, e.source_id AS id, 1 AS depth FROM gl_calls e JOIN seed s ON e.target_id = s.id
-    UNION SELECT c.event_id, e.source_id, c.depth + 1 FROM gl_calls e JOIN callers c ON e.target_id = c.id WHERE c.depth < 8),
-    deps AS (SELECT DISTINCT c.event_id, c.id, d.file_path, d.project_id FROM callers c JOIN gl_definition d ON d.id = c.id),
+    walk AS (SELECT DISTINCT s.id AS root, e.source_id AS id, 1 AS depth FROM gl_calls e JOIN seed s ON e.target_id = s.id
+    UNION SELECT w.root, e.source_id, w.depth + 1 FROM gl_calls e JOIN walk w ON e.target_id = w.id WHERE w.depth < 8),
+    callers AS (SELECT s.event_id, w.id, max(w.depth) AS depth FROM seed s JOIN (SELECT root, id, max(depth) AS depth FROM walk GROUP BY 1, 2) w ON w.root = s.id GROUP BY 1, 2),
+    deps AS (SELECT c.event_id, c.id, d.file_path, d.project_id FROM callers c JOIN gl_definition d ON d.id = c.id),
     files AS (SELECT event_id, file_path, count(*) AS affected, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, file_path) AS rank FROM deps GROUP BY event_id, file_path),
     areas AS (SELECT event_id, array_to_string((string_split(file_path, '/'))[1:2], '/') AS area, sum(affected) AS definitions, count(*) AS files FROM files GROUP BY ALL)"""
 _CLOSURE = "clo AS (SELECT id FROM seed UNION SELECT e.source_id FROM gl_calls e JOIN clo c ON e.target_id = c.id)"
@@ -52,7 +53,8 @@ def transitive_dependents(spark, sf_dir):
 
 def transitive_by_depth(spark, sf_dir):
     g = GraphSource(spark, sf_dir)
-    return _impact(g, _event(g, 8)).walked.groupBy("depth").agg(F.count("*").alias("n"))
+    seeds = traverse.seeds_of(_event(g, 8), g.table("gl_definition"))
+    return traverse.callers_by_depth(seeds, g.table("gl_calls"), Scratch(spark, "levels")).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def batch_dependents(spark, sf_dir):
@@ -76,7 +78,7 @@ def test_prod_split(spark, sf_dir):
 def walk_depth_stats(spark, sf_dir):
     g = GraphSource(spark, sf_dir)
     seeds = traverse.seeds_of(_event(g, 60), g.table("gl_definition"))
-    w = traverse.walk_counts(seeds, g.table("gl_calls")).join(g.table("gl_definition").select("id"), "id", "left_semi")
+    w = traverse.walk_counts(seeds, g.table("gl_calls"), Scratch(spark, "walks")).join(g.table("gl_definition").select("id"), "id", "left_semi")
     # The median weighs each depth by its number of walks.
     return w.agg(F.sum("walks").alias("walks"), F.countDistinct("id").alias("definitions"), F.max("depth").cast("long").alias("max_depth"), F.percentile("depth", 0.5, F.col("walks")).alias("median_depth"))
 
@@ -113,8 +115,9 @@ def call_components(spark, sf_dir):
 
 def chokepoints(spark, sf_dir):
     g = GraphSource(spark, sf_dir)
-    nodes = traverse.closure(traverse.seeds_of(_event(g, 60), g.table("gl_definition")), g.table("gl_calls"), Scratch(spark, "closure"))
-    return cutvertex.chokepoints(traverse.induced_edges(nodes, g.table("gl_calls"))).select("id", "isolated", "parts")
+    scratch = Scratch(spark, "chokepoints")
+    nodes = traverse.closure(traverse.seeds_of(_event(g, 60), g.table("gl_definition")), g.table("gl_calls"), scratch)
+    return cutvertex.chokepoints(traverse.induced_edges(nodes, g.table("gl_calls")), scratch).select("id", "isolated", "parts")
 
 
 def keystones(spark, sf_dir):
@@ -197,9 +200,8 @@ def scar_receipts(spark, sf_dir):
 
 
 def _blast(g):
-    seeds = traverse.seeds_of(g.table("mr_event"), g.table("gl_definition"))
-    walked = traverse.callers_by_depth(seeds, g.table("gl_calls"))
-    return history.blast_definitions(seeds, walked, centrality.degrees(g.table("gl_calls")), g.table("gl_definition"))
+    impact = _impact(g)
+    return history.blast_definitions(impact.seeds, impact.deps, centrality.degrees(g.table("gl_calls")), g.table("gl_definition"))
 
 
 def blast_definitions(spark, sf_dir):
@@ -352,53 +354,6 @@ _MARKED = r"""normal AS (SELECT commit_id FROM git_commit_file GROUP BY commit_i
         WHERE NOT (lower(f.file_path) LIKE '%generated%' OR lower(f.file_path) LIKE '%/gen/%')),
     marked AS (SELECT file_path, commit_id, seq, CASE WHEN s LIKE 'revert %' THEN 'revert' WHEN regexp_matches(s, '\b(hotfix|roll ?back|emergency|incident|sev[-\s]?\d)\b') THEN 'hotfix'
         WHEN regexp_matches(s, '\b(fix|fixe[sd]|bug|bugfix|regress\w*|broke[n]?|crash)\b') AND s NOT LIKE '%typo%' AND s NOT LIKE '%format%' AND s NOT LIKE '%docs%' THEN 'fix' END AS kind FROM subjects)"""
-#: Components of each event's graph without each of its nodes, by the smallest label that reaches a node;
-#: -1000000 stands for no node left out.  Labels travel between nodes of several neighbours; nodes of one take their neighbour's.
-_CUTS = """clo AS (SELECT event_id, id FROM seed UNION SELECT c.event_id, e.source_id FROM gl_calls e JOIN clo c ON e.target_id = c.id),
-    ind AS (SELECT a.event_id, e.source_id, e.target_id FROM gl_calls e JOIN clo a ON a.id = e.source_id JOIN clo b ON b.id = e.target_id AND b.event_id = a.event_id WHERE e.source_id <> e.target_id),
-    und AS (SELECT event_id, source_id AS a, target_id AS b FROM ind UNION SELECT event_id, target_id, source_id FROM ind),
-    nodes AS (SELECT event_id, a AS id, count(*) AS degree FROM und GROUP BY 1, 2), sized AS (SELECT event_id, count(*) AS n FROM nodes GROUP BY 1 HAVING count(*) <= 8000),
-    without AS (SELECT nodes.event_id, id AS x FROM nodes JOIN sized USING (event_id) WHERE degree > 1 UNION ALL SELECT event_id, -1000000 FROM sized),
-    inner_ AS (SELECT u.event_id, a, b FROM und u JOIN nodes p ON p.event_id = u.event_id AND p.id = a JOIN nodes q ON q.event_id = u.event_id AND q.id = b WHERE p.degree > 1 AND q.degree > 1),
-    leaf AS (SELECT n.event_id, n.id, u.b, m.degree = 1 AS pair FROM nodes n JOIN und u ON u.event_id = n.event_id AND u.a = n.id JOIN nodes m ON m.event_id = u.event_id AND m.id = u.b WHERE n.degree = 1),
-    low(event_id, x, id, c) USING KEY (event_id, x, id) AS (SELECT n.event_id, w.x, n.id, n.id FROM nodes n JOIN without w ON w.event_id = n.event_id AND w.x <> n.id WHERE n.degree > 1
-        UNION SELECT l.event_id, l.x, u.b, min(l.c) FROM low l JOIN inner_ u ON u.event_id = l.event_id AND u.a = l.id AND u.b <> l.x
-              JOIN recurring.low r ON r.event_id = l.event_id AND r.x = l.x AND r.id = u.b WHERE l.c < r.c GROUP BY 1, 2, 3),
-    whole AS (SELECT event_id, x, c FROM low UNION ALL SELECT f.event_id, w.x, CASE WHEN f.b = w.x THEN f.id WHEN f.pair THEN least(f.id, f.b) ELSE low.c END
-        FROM leaf f JOIN without w ON w.event_id = f.event_id LEFT JOIN low ON low.event_id = f.event_id AND low.x = w.x AND low.id = f.b),
-    part AS (SELECT event_id, x, c, count(*) AS n FROM whole GROUP BY 1, 2, 3), per AS (SELECT event_id, x, count(*) AS parts, max(n) AS m FROM part GROUP BY 1, 2),
-    cut AS (SELECT p.event_id, p.x AS id, row_number() OVER (PARTITION BY p.event_id ORDER BY p.m, p.parts DESC, p.x) AS r FROM per p JOIN per z ON z.event_id = p.event_id AND z.x = -1000000 JOIN sized s ON s.event_id = p.event_id
-            WHERE p.x <> -1000000 AND p.parts > z.parts AND s.n - 1 - p.m > 0),
-    named AS (SELECT c.event_id, d.name, min(r) AS r, arg_min(s.id IS NOT NULL, r) AS changed FROM cut c JOIN gl_definition d ON d.id = c.id LEFT JOIN seed s ON s.event_id = c.event_id AND s.id = c.id WHERE r <= 20 GROUP BY 1, 2),
-    cuts AS (SELECT event_id, count(*) AS n_cuts, bool_or(changed) AS changed_cut FROM (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY r) <= 5) GROUP BY 1)"""
-_VERDICTS = f"""
-WITH RECURSIVE {_EVENT_WALK}, {_KEYSTONES}, {_CUTS}, {_NEAR}, sc AS ({_SCARS.strip()}),
-scar AS (SELECT event_id, least({_D.format(0.12)}, sum(weight * intensity) * {_D.format(0.1)}) AS prior FROM near JOIN sc ON sc.file_path = near.path WHERE intensity > 0 GROUP BY 1),
-tot AS (SELECT c.event_id, count(DISTINCT d.id) AS total_dependents, count(DISTINCT d.project_id) AS affected_services, max(depth) AS max_depth FROM callers c JOIN gl_definition d ON d.id = c.id GROUP BY 1),
-top AS (SELECT event_id, bool_or({_case_any('file_path', paths.CRITICAL)}) AS critical, count(CASE WHEN contains(lower(file_path), 'private') THEN 1 END) AS n_private, bool_or({_case_any('file_path', ('generated', '/gen/'))}) AS gen,
-        coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS crossed FROM (SELECT *, CASE WHEN {_case_any('file_path', paths.SECURITY)} THEN 'security' WHEN {_case_any('file_path', paths.PAYMENTS)} THEN 'payments' END AS b FROM files WHERE rank <= 6) GROUP BY 1),
-own AS (SELECT event_id, count(*) AS bus_factor, CAST(max(definitions) AS DOUBLE) / sum(definitions) AS concentration FROM (SELECT * FROM areas QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY definitions DESC, area) <= 5) GROUP BY 1),
-ks AS (SELECT event_id, count(DISTINCT f.name) AS k FROM mr_event JOIN f ON f.name = lower(changed_symbol) GROUP BY 1),
-ctl AS ({_CONTROLS}),
-w AS (SELECT e.event_id, edit_class, coalesce(total_dependents, 0) AS deps, coalesce(affected_services, 0) AS affected_services, coalesce(max_depth, 0) AS max_depth, coalesce(k, 0) AS k, coalesce(n_cuts, 0) AS n_cuts,
-             coalesce(changed_cut, FALSE) AS changed_cut, coalesce(critical, FALSE) AS critical, crossed, concentration, coalesce(bus_factor, 0) AS bus_factor, coalesce(n_private, 0) AS private, coalesce(gen, FALSE) AS gen, coalesce(prior, 0) AS prior,
-             CASE WHEN approved IS NULL THEN 'NEEDS_DATA' WHEN approved THEN 'PASS' ELSE 'FAIL' END AS approval, CASE WHEN pipeline IS NULL THEN 'NEEDS_DATA' WHEN pipeline = 'passed' THEN 'PASS' ELSE 'FAIL' END AS pipe
-      FROM (SELECT event_id, max(edit_class) AS edit_class FROM mr_event GROUP BY 1) e LEFT JOIN tot USING (event_id) LEFT JOIN top USING (event_id) LEFT JOIN own USING (event_id) LEFT JOIN ks USING (event_id)
-      LEFT JOIN cuts USING (event_id) LEFT JOIN scar USING (event_id) LEFT JOIN ctl USING (event_id)),
-a AS (SELECT *, least({_D.format(0.9)}, {_D.format(0.05)} + least({_D.format(0.18)}, k * {_D.format(0.06)}) + CASE WHEN deps >= 300 THEN {_D.format(0.15)} WHEN deps >= 100 THEN {_D.format(0.1)} WHEN deps >= 25 THEN {_D.format(0.05)} ELSE 0 END
-        + CASE WHEN changed_cut THEN {_D.format(0.08)} ELSE 0 END + CASE WHEN critical THEN {_D.format(0.05)} ELSE 0 END + greatest(0, least({_D.format(0.12)}, prior))) AS cfr,
-      greatest(0, {_D.format(0.95)} - private * {_D.format(0.05)} - CASE WHEN gen THEN {_D.format(0.1)} ELSE 0 END) AS confidence,
-      CASE WHEN bus_factor = 0 THEN NULL WHEN bus_factor <= 1 OR concentration >= 0.9 THEN 'HIGH' WHEN concentration >= 0.6 OR k > 0 THEN 'MEDIUM' ELSE 'LOW' END AS ownership,
-      CASE WHEN coalesce(crossed, '') = '' THEN 'LOW' WHEN approval = 'FAIL' OR pipe = 'FAIL' THEN 'HIGH' WHEN approval = 'NEEDS_DATA' OR pipe = 'NEEDS_DATA' THEN 'MEDIUM' ELSE 'LOW' END AS compliance,
-      CASE edit_class WHEN 'cosmetic' THEN {_D.format(0)} WHEN 'body-edit' THEN {_D.format(0.5)} ELSE {_D.format(1)} END AS danger FROM w),
-b AS (SELECT *, list_filter([cfr, CASE WHEN deps >= 300 THEN 0.85 WHEN deps >= 100 THEN 0.65 WHEN deps >= 25 THEN 0.45 ELSE 0.2 END, CASE WHEN k > 0 THEN 0.9 END,
-        {_LEVEL.format(c='ownership', h=0.85, m=0.6, l=0.25)}, {_LEVEL.format(c='compliance', h=0.9, m=0.55, l=0.25)}], lambda x: x IS NOT NULL) AS parts FROM a),
-r AS (SELECT *, (list_max(parts) * {_D.format(0.6)} + list_sum(parts) / len(parts) * {_D.format(0.4)}) * danger AS risk FROM b),
-l AS (SELECT *, CASE WHEN risk >= 0.8 THEN 'CRITICAL' WHEN risk >= 0.6 THEN 'HIGH' WHEN risk >= 0.4 THEN 'MEDIUM' ELSE 'LOW' END AS level FROM r),
-v AS (SELECT event_id, edit_class, deps AS total_dependents, affected_services, CAST(max_depth AS BIGINT) AS max_depth, k AS n_keystones, n_cuts, changed_cut, critical, crossed, round(concentration, 6) AS concentration, bus_factor, round(cfr, 6) AS cfr,
-             round(confidence, 6) AS confidence, ownership, compliance, danger, round(risk, 6) AS risk, level,
-             CASE WHEN level = 'CRITICAL' THEN 'BLOCK' WHEN level = 'HIGH' OR (k > 0 AND danger >= 0.5) THEN 'SENIOR_REVIEW' WHEN level = 'MEDIUM' THEN 'REVIEW_REQUIRED' WHEN confidence >= {_D.format(0.9)} THEN 'AUTO_APPROVE' ELSE 'REVIEW_REQUIRED' END AS action FROM l)
-"""
 _INTRO = "SELECT definition_id, merge_request_id AS mr_id FROM gl_definition_history QUALIFY row_number() OVER (PARTITION BY definition_id ORDER BY created_at, merge_request_id) = 1"
 
 _FUNCTIONS: list[Query] = [transitive_dependents, transitive_by_depth, batch_dependents, affected_files, affected_modules, test_prod_split, walk_depth_stats, closure_nodes, induced_edges,
@@ -436,8 +391,6 @@ _SQL: dict[str, str] = {
     "compliance_boundaries": f"""WITH RECURSIVE {_EVENT_WALK} SELECT event_id, coalesce(string_agg(DISTINCT b, ',' ORDER BY b), '') AS crossed FROM
         (SELECT event_id, CASE WHEN {_case_any('file_path', paths.SECURITY)} THEN 'security' WHEN {_case_any('file_path', paths.PAYMENTS)} THEN 'payments' END AS b FROM files WHERE rank <= 6) GROUP BY 1""",
     "risk_and_gate": _GATE_SQL,
-    "event_verdicts": f"{_VERDICTS} SELECT * FROM v",
-    "backtest_tally": f"{_VERDICTS} SELECT action, count(*) AS n, count(CASE WHEN edit_class = 'contract-break' THEN 1 END) AS contract_breaks FROM v GROUP BY 1",
     "scar_receipts": f"""WITH {_MARKED}, newest AS (SELECT * FROM marked WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY seq) <= 5)
         SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) AS place, commit_id, kind FROM newest
         QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) <= 3""",
@@ -461,7 +414,7 @@ _SQL: dict[str, str] = {
         regexp_replace(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') = regexp_replace(regexp_replace(regexp_replace(html || ' more', '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') AS same FROM pages) GROUP BY 1""",
     "throttle_stream": QUERIES["throttle_windows"],
     "diff_symbols": """SELECT DISTINCT e.id AS event_id, d.name AS changed_symbol FROM gl_definition e JOIN gl_definition d ON d.file_path = e.file_path
-        AND d.start_line <= e.start_line + greatest(e.id % 3, 1) - 1 AND d.end_line >= e.start_line WHERE e.id % 10 = 3""",
+        AND d.start_line <= e.start_line + greatest(e.id % 3, 1) - 1 AND d.end_line >= e.start_line""",
     "lineage_lens": f"""WITH s AS (SELECT name, min(id) AS definition_id FROM gl_definition GROUP BY name),
         i AS ({_INTRO}), j AS (SELECT project_id, max(created_at) AS last FROM gl_job WHERE job_type = 'deploy' AND status = 'success' GROUP BY 1),
         r AS (SELECT f.id AS finding_id, d.name AS affected_symbol, s.definition_id, i.mr_id, u.username AS author, p.full_path AS project, f.id % 2 = 0 AS composed, j.last,

@@ -46,7 +46,8 @@ class GraphQueries:
         return self._named(symbols).select(F.lit(1).cast("long").alias("event_id"), "id").distinct()
 
     def _dependents(self, symbols: Names) -> DataFrame:
-        return traverse.dependents(traverse.callers_by_depth(self._seeds(symbols), self.source.table("gl_calls")), self.source.table("gl_definition"))
+        walked = traverse.callers_by_depth(self._seeds(symbols), self.source.table("gl_calls"), Scratch(self.spark, "dependents"))
+        return traverse.dependents(walked.groupBy("event_id", "id").agg(F.max("depth").alias("depth")), self.source.table("gl_definition"))
 
     def transitive_dependents(self, symbols: Names) -> DataFrame:
         """(total_dependents, affected_services, max_depth), one row also where there are none."""

@@ -26,7 +26,7 @@ def seeds(spark, *ids):
 
 def test_walks_are_sets_per_depth_and_cycles_end_at_the_bound(spark):
     g = calls(spark, [(2, 1), (3, 2), (1, 3), (4, 3)])
-    rows = {(r.id, r.depth) for r in traverse.callers_by_depth(seeds(spark, 1), g).collect()}
+    rows = {(r.id, r.depth) for r in traverse.callers_by_depth(seeds(spark, 1), g, Scratch(spark, "t")).collect()}
     assert {d for i, d in rows if i == 1} == {3, 6}
     assert max(d for _, d in rows) == 8
 
@@ -35,13 +35,13 @@ def test_closure_has_seeds_and_terminates(spark):
     g = calls(spark, [(2, 1), (3, 2), (1, 3), (9, 8)])
     ids = {r.id for r in traverse.closure(seeds(spark, 1), g, Scratch(spark, "t")).collect()}
     assert ids == {1, 2, 3}
-    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "event_id long, id long")
-    assert traverse.induced_edges(nodes, g.unionByName(calls(spark, [(2, 1)]))).count() == 4
+    nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "event_id long, id long")
+    assert traverse.induced_edges(nodes, g.unionByName(calls(spark, [(2, 1), (4, 3)]))).count() == 5
 
 
 def test_walk_counts(spark):
     g = calls(spark, [(2, 1), (3, 1), (4, 2), (4, 3)])
-    assert {(r.id, r.depth): r.walks for r in traverse.walk_counts(seeds(spark, 1), g, 3).where("id = 4").collect()} == {(4, 2): 2}
+    assert {(r.id, r.depth): r.walks for r in traverse.walk_counts(seeds(spark, 1), g, Scratch(spark, "t"), 3).where("id = 4").collect()} == {(4, 2): 2}
 
 
 def brute_cuts(pairs):
@@ -82,7 +82,32 @@ def test_cut_vertices_of_path_star_and_limits():
     assert {n for n, _, _ in cutvertex.cut_vertices([(1, 2), (2, 3), (3, 4)])} == {2, 3}
     assert cutvertex.cut_vertices([(0, i) for i in range(1, 6)])[0] == (0, 4, 5)
     assert cutvertex.cut_vertices([]) == []
-    assert cutvertex.cut_vertices([(1, 2), (2, 3)], max_nodes=2) == []
+
+
+def choke(spark, events, one_task):
+    rows = [(e, a, b) for e, pairs in events.items() for a, b in pairs]
+    found = cutvertex.chokepoints(spark.createDataFrame(rows, "event_id long, source_id long, target_id long"), Scratch(spark, "t"), one_task).collect()
+    return {e: {(r.id, r.isolated, r.parts) for r in found if r.event_id == e} for e in events}
+
+
+def test_cut_vertices_by_rounds_equal_remove_and_recount(spark):
+    r = random.Random(7)
+    events = {e: [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 2 * n))] for e, n in ((e, r.randrange(3, 26)) for e in range(30))}
+    events = {e: [p for p in pairs if p[0] != p[1]] or [(0, 1)] for e, pairs in events.items()}
+    want = {e: brute_cuts(pairs) for e, pairs in events.items()}
+    assert choke(spark, events, 0) == want and choke(spark, events, 10**6) == want
+
+
+def test_large_stars_and_barbells_have_their_cut_vertices(spark):
+    n = 20_000
+    star = [(0, i) for i in range(1, n)]
+    # Two cycles' fans, joined by a path of one node.
+    barbell = [(0, i) for i in range(2, n // 2)] + [(i, i + 1) for i in range(2, n // 2 - 1)]
+    barbell = [*barbell, *((a + n, b + n) for a, b in barbell), (0, 1), (1, n)]
+    side = n // 2 - 1
+    want = {1: {(0, n - 2, n - 1)}, 2: {(1, side, 2), (0, side - 1, 2), (n, side - 1, 2)}}
+    assert choke(spark, {1: star, 2: barbell}, 10**6) == want
+    assert choke(spark, {1: star, 2: barbell}, 1000) == want
 
 
 def test_pagerank_counts_parallel_edges_and_keeps_mass(spark):
