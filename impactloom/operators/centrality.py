@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..durable import Scratch
+from ..session import ship
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 60, 1e-9
+#: So many edges, 16 bytes each, are left to a single task.
+ONE_TASK = 200_000
 
 
 def degrees(calls: DataFrame) -> DataFrame:
@@ -17,34 +24,68 @@ def degrees(calls: DataFrame) -> DataFrame:
     return inbound.join(outbound, "id", "full").select("id", F.coalesce("inbound", F.lit(0)).alias("inbound"), F.coalesce("outbound", F.lit(0)).alias("outbound"))
 
 
-def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
-    """(id, score) over the multigraph: parallel edges count each, self-loops stay, dangling mass is spread evenly.
+def _rank_in_task(rounds: int, tolerance: float, damping: float):
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdfs = list(pdfs)
+        if not pdfs:
+            return
+        edges = pd.concat(pdfs)[["source_id", "target_id"]].to_numpy()
+        names, at = np.unique(edges.ravel(), return_inverse=True)
+        source, target = at.reshape(-1, 2).T
+        n, out = len(names), np.bincount(source, minlength=len(names))
+        score, share = np.full(n, 1 / n), 1 / out[source]
+        for _ in range(rounds):
+            got = np.bincount(target, score[source] * share, minlength=n)
+            following = (1 - damping) / n + damping * (got + score[out == 0].sum() / n)
+            change, score = np.abs(following - score).sum(), following
+            if change < tolerance:
+                break
+        yield pd.DataFrame({"id": names, "score": score, "change": change})
+
+    return run
+
 
-    Stops after the round whose L1 change is below ``tolerance``.  Every fourth round is written to
-    the shared folder, which bounds both the plan and what a lost executor costs.
+def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, damping: float = DAMPING, one_task: int = ONE_TASK) -> DataFrame:
+    """(id, score, change) over the multigraph: parallel edges count each, self-loops stay, dangling mass is spread evenly.
+
+    Stops after the round whose L1 change is below ``tolerance``, or after ``rounds``; ``change`` is that
+    of the last round, so a reader can tell.  Graphs of up to ``one_task`` edges are solved in a task.
+    For larger ones each round is a table in the shared folder, and one aggregate of it gives both the
+    change and the mass that dangles.
     """
+    calls = calls.select("source_id", "target_id")
+    if calls.count() <= one_task:
+        ship(calls.sparkSession)
+        return scratch.save(calls.coalesce(1).mapInPandas(_rank_in_task(rounds, tolerance, damping), "id long, score double, change double"), "ranks", release=False)
     out = calls.groupBy("source_id").agg(F.count("*").alias("out"))
     edges = scratch.save(calls.groupBy("source_id", "target_id").agg(F.count("*").alias("m")).join(out, "source_id")
                          .select("source_id", "target_id", (F.col("m") / F.col("out")).alias("share")), "edges", release=False)
     nodes = calls.select(F.col("source_id").alias("id")).unionByName(calls.select(F.col("target_id").alias("id"))).distinct()
     nodes = scratch.save(nodes.join(out.select(F.col("source_id").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")), "nodes", release=False)
-    n = nodes.count()
-    if not n:
-        return nodes.select("id", F.lit(0.0).alias("score"))
-    rank = nodes.withColumn("score", F.lit(1.0 / n))
+    n, dangling = nodes.agg(F.count("*"), F.count_if("dangling")).first()
+    rank, lost, change = nodes.withColumn("score", F.lit(1.0 / n)), dangling / n, None
     for k in range(1, rounds + 1):
-        lost = rank.where("dangling").agg(F.sum("score")).first()[0] or 0.0
         moved = rank.join(edges, rank["id"] == edges["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         following = (rank.select("id", "dangling", F.col("score").alias("old")).join(moved, "id", "left")
                      .select("id", "dangling", "old", (F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))).alias("score")))
-        following = scratch.save(following, f"rank-{k}", release=False) if k % 4 == 0 else following.persist()
-        moved_by = following.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] if tolerance > 0 else None
+        following = scratch.save(following, f"rank-{k}", release=False)
+        change, lost = following.agg(F.sum(F.abs(F.col("score") - F.col("old"))), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
         rank = following.select("id", "dangling", "score")
-        if moved_by is not None and moved_by < tolerance:
+        if k > 1:
+            scratch.drop(f"rank-{k - 1}")
+        if change < tolerance:
             break
-    return rank.select("id", "score")
+    return rank.select("id", "score", F.lit(change).cast("double").alias("change"))
+
 
+def ranked(scores: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, score, rank), ties by id: a global order without a window over all rows.
 
-def ranked(scores: DataFrame) -> DataFrame:
-    """(id, score, rank), ties by id; a global order, so for reports on one graph."""
-    return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")).cast("long"))
+    Rows are sorted into ranges; a row's rank is its place in its range and the number of rows before it.
+    """
+    placed = scores.select("id", "score").repartitionByRange(F.desc("score"), F.asc("id")).withColumn("part", F.spark_partition_id())
+    placed = scratch.save(placed, "ranges", release=False)
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a range
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("score"), "id"))
+    return placed.join(F.broadcast(before), "part").select("id", "score", (within + F.col("before")).cast("long").alias("rank"))

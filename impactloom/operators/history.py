@@ -53,11 +53,17 @@ def scar_prior(near: DataFrame, scarred: DataFrame) -> DataFrame:
     return hit.groupBy("event_id").agg(F.count("*").alias("contributors"), F.least(F.lit(PRIOR_CAP), raw).alias("prior"), (raw >= PRIOR_CAP).alias("capped"))
 
 
+def most_called(walked: DataFrame, degrees: DataFrame, definitions: DataFrame, k: int = 40) -> DataFrame:
+    """(event_id, id, name, inbound): the ``k`` most called of an event's callers that have a span."""
+    spans = definitions.where("start_line >= 1 AND end_line >= start_line").select("id", "name").join(degrees.select("id", "inbound"), "id", "left").fillna({"inbound": 0})
+    callers = walked.select("event_id", "id").distinct().join(spans, "id")
+    return callers.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("inbound"), "id"))).where(F.col("r") <= k).drop("r")
+
+
 def blast_definitions(seeds: DataFrame, walked: DataFrame, degrees: DataFrame, definitions: DataFrame, k: int = 40) -> DataFrame:
     """(event_id, id, name, inbound, weight): seeds and the most called callers, the heaviest ``k`` of an event."""
     spans = definitions.where("start_line >= 1 AND end_line >= start_line").select("id", "name").join(degrees.select("id", "inbound"), "id", "left").fillna({"inbound": 0})
-    callers = walked.select("event_id", "id").distinct().join(spans, "id")
-    callers = callers.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("inbound"), "id"))).where(F.col("r") <= k).drop("r")
+    callers = most_called(walked, degrees, definitions, k)
     both = seeds.join(spans, "id").select("event_id", "id", "name", "inbound").unionByName(callers.select("event_id", "id", "name", "inbound")).distinct()
     both = both.withColumn("weight", paths.centrality_weight(F.col("inbound")))
     return both.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("weight"), "id"))).where(F.col("r") <= k).drop("r")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..durable import Scratch
 from ..functions import paths, textdiff
 from ..session import ship
-from . import centrality, cutvertex, scoring, traverse
+from . import centrality, cutvertex, history, scoring, traverse
 
 
 class Impact:
@@ -21,23 +21,43 @@ class Impact:
         ship(spark)
         self.scratch = Scratch(spark, "impact")
         self.events, self.definitions, self.calls = events, definitions, calls
-        self.seeds = self.scratch.save(traverse.seeds_of(events, definitions), "seeds", release=False)
+        self.seeds = traverse.seeds_of(events, definitions)
         # Walks start from names; events share them.  What an event reaches is then a join and one aggregate.
         self.names = self.scratch.save(traverse.names_of(events, definitions), "names", release=False)
-        walked = traverse.callers_by_depth(self.names, calls, self.scratch, name="walk")
-        self.walked = self.scratch.save(walked.groupBy("event_id", "id").agg(F.max("depth").alias("depth")), "walked", release=False)
-        reached = traverse.of_events(events, self.walked).groupBy("event_id", "id").agg(F.max("depth").alias("depth"))
-        self.deps = self.scratch.save(traverse.dependents(reached, definitions), "deps", release=False)
-        self.files = self.scratch.save(scoring.file_impact(self.deps), "files", release=False)
+        walked = traverse.callers_by_depth(self.names, calls, self.scratch, name="walk").groupBy("event_id", "id").agg(F.max("depth").alias("depth"))
+        #: (event_id, id, depth, file, project_id), ``event_id`` being a name's hash and ``file`` a path's.
+        self.reach = self.scratch.save(walked.join(definitions.select("id", F.xxhash64("file_path").alias("file"), "project_id"), "id"), "reach", release=False)
+        #: (event_id, id, depth, file, project_id): the dependents of events; made anew by each reader, as it is far larger than ``reach``.
+        self.deps = (traverse.of_events(events, self.reach).groupBy("event_id", "id")
+                     .agg(F.max("depth").alias("depth"), F.min("file").alias("file"), F.min("project_id").alias("project_id")))
+        self._files: DataFrame | None = None
+
+    @property
+    def files(self) -> DataFrame:
+        """(event_id, file_path, affected, rank)."""
+        if self._files is None:
+            paths_ = self.definitions.select("file_path", F.xxhash64("file_path").alias("file")).distinct()
+            per = self.deps.groupBy("event_id", "file").agg(F.count("*").alias("affected")).join(paths_, "file")
+            self._files = self.scratch.save(scoring.file_impact(per), "files", release=False)
+        return self._files
 
     def totals(self) -> DataFrame:
         """(event_id, total_dependents, affected_services, max_depth)."""
         return self.deps.groupBy("event_id").agg(F.count("*").alias("total_dependents"), F.countDistinct("project_id").alias("affected_services"), F.max("depth").alias("max_depth"))
 
+    def blast(self) -> DataFrame:
+        """What history.blast_definitions gives: an event's most called callers are among those of its names."""
+        degrees = centrality.degrees(self.calls)
+        few = history.most_called(self.reach.select("event_id", "id"), degrees, self.definitions)
+        callers = traverse.of_events(self.events, few.select("event_id", "id")).distinct()
+        return history.blast_definitions(self.seeds, callers, degrees, self.definitions)
+
     def cuts(self) -> DataFrame:
-        nodes = traverse.of_events(self.events, traverse.closure(self.names, self.calls, self.scratch)).distinct()
+        nodes = traverse.closure(self.names, self.calls, self.scratch)
         pairs = self.scratch.save(self.calls.where("source_id <> target_id").select("source_id", "target_id").distinct(), "pairs", release=False)
-        return scoring.named_cuts(cutvertex.chokepoints(traverse.induced_edges(nodes, pairs), self.scratch), self.definitions, self.seeds)
+        # Closures hold all callers of their nodes, so an event's graph is that of its names together.
+        edges = self.scratch.save(traverse.induced_edges(nodes, pairs), "induced", release=False)
+        return scoring.named_cuts(cutvertex.chokepoints(traverse.of_events(self.events, edges), self.scratch), self.definitions, self.seeds)
 
     def keystones(self) -> DataFrame:
         return scoring.keystones(self.events, centrality.degrees(self.calls), self.definitions)

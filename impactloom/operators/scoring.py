@@ -13,10 +13,9 @@ def _d(v: float) -> Column:
     return F.lit(float(v))
 
 
-def file_impact(deps: DataFrame) -> DataFrame:
-    """(event_id, file_path, affected, rank): definitions per file, largest first, ties by path; ``deps`` has a row per event and id."""
-    per = deps.groupBy("event_id", "file_path").agg(F.count("*").alias("affected"))
-    return per.withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("affected"), "file_path")))
+def file_impact(per: DataFrame) -> DataFrame:
+    """(event_id, file_path, affected, rank) of rows (event_id, file_path, affected): largest first, ties by path."""
+    return per.select("event_id", "file_path", "affected").withColumn("rank", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("affected"), "file_path")))
 
 
 def owner_areas(files: DataFrame) -> DataFrame:

@@ -1,12 +1,23 @@
-"""Traversal of the call graph, for many events at once."""
+"""Traversal of the call graph, for many events at once.
+
+Graphs of up to ``ONE_TASK`` distinct calls (a fixed bound, 16 bytes each) go to every task, which
+walks from its own part of the seeds; larger ones take a round over all tasks for each level.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..durable import Scratch
+from ..session import ship
 
 MAX_DEPTH = 8
+#: The most distinct calls that every task may hold, how many seeds one walk takes along, and how many groups seeds are dealt to.
+ONE_TASK, TOGETHER, GROUPS = 200_000, 64, 8
 
 
 def seeds_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -14,19 +25,74 @@ def seeds_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
     return events.select("event_id", F.col("changed_symbol").alias("name")).distinct().join(definitions.select("id", "name"), "name").select("event_id", "id").distinct()
 
 
-def callers_by_depth(seeds: DataFrame, calls: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH, name: str = "level") -> DataFrame:
+def _walk(max_depth: int | None):
+    """Rows (g, kind, a, b), calls (0, source, target) before seeds (1, event, id), to (event, id, depth).
+
+    Without ``max_depth`` each node is reached once (a closure, seeds at depth 0), else once a level.
+    """
+
+    def search(calls: np.ndarray, seeds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        names, at = np.unique(np.concatenate((calls.ravel(), seeds[:, 1])), return_inverse=True)
+        source, target = at[: 2 * len(calls)].reshape(-1, 2).T
+        order = np.argsort(target, kind="stable")
+        first = np.searchsorted(target[order], np.arange(len(names) + 1))
+        source, n = source[order], len(names)
+        events, event = np.unique(seeds[:, 0], return_inverse=True)
+        start = at[2 * len(calls) :]
+        for lo in range(0, len(events), TOGETHER):
+            mine = (event >= lo) & (event < lo + TOGETHER)
+            level = np.unique((event[mine] - lo) * n + start[mine])
+            seen = level
+            out, depth = [(level, 0)] if max_depth is None else [], 0
+            while len(level) and (max_depth is None or depth < max_depth):
+                depth += 1
+                who, node = level // n, level % n
+                count = first[node + 1] - first[node]
+                place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[node], count)
+                level = np.unique(np.repeat(who, count) * n + source[place])
+                if max_depth is None:
+                    level = np.setdiff1d(level, seen, assume_unique=True)
+                    seen = np.union1d(seen, level)
+                out.append((level, depth))
+            for keys, d in out:
+                yield pa.record_batch([pa.array(events[lo + keys // n]), pa.array(names[keys % n]), pa.array(np.full(len(keys), d, dtype=np.int32))], names=["event_id", "id", "depth"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A partition holds several groups, each of all calls and some seeds; seeds are parts of one whole.
+        group, calls, seeds = None, [], []
+        for batch in batches:
+            g, kind, a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            group = g[0] if group is None and len(g) else group
+            pair = np.stack((a, b), axis=1)
+            calls.append(pair[(kind == 0) & (g == group)])
+            seeds.append(pair[kind == 1])
+        if seeds and sum(map(len, seeds)):
+            yield from search(np.concatenate(calls).astype(np.int64), np.concatenate(seeds).astype(np.int64))
+
+    return run
+
+
+def _walk_in_tasks(seeds: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
+    ship(seeds.sparkSession)
+    calls = step.select(F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"), F.lit(0).alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    starts = seeds.select(F.pmod(F.xxhash64("event_id"), F.lit(GROUPS)).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("event_id").alias("a"), F.col("id").alias("b"))
+    return calls.unionByName(starts).repartition(GROUPS, "g").mapInArrow(_walk(max_depth), "event_id long, id long, depth int")
+
+
+def callers_by_depth(seeds: DataFrame, calls: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH, name: str = "level", one_task: int = ONE_TASK) -> DataFrame:
     """(event_id, id, depth): ids with a walk of that length to a seed, up to ``max_depth``.
 
-    Levels are sets, so cycles end at the bound and a node appears once a level.  Each level is a
-    table in the shared folder: it is read by the next one and by the result.
+    Levels are sets, so cycles end at the bound and a node appears once a level.  In rounds, each level
+    is a table in the shared folder: it is read by the next one and by the result.
     """
     step = scratch.save(calls.select("source_id", "target_id").distinct(), f"{name}-step", release=False)
-    level, out = seeds.select("event_id", "id"), seeds.select("event_id", "id", F.lit(0).alias("depth")).limit(0)
+    level, out = seeds.select("event_id", "id"), None
+    if step.count() <= one_task:
+        return scratch.save(_walk_in_tasks(level, step, max_depth), name, release=False)
     for depth in range(1, max_depth + 1):
         level = scratch.save(level.join(step, level["id"] == step["target_id"]).select("event_id", F.col("source_id").alias("id")).distinct(), f"{name}-{depth}", release=False)
-        if level.isEmpty():
-            break
-        out = level.withColumn("depth", F.lit(depth)) if depth == 1 else out.unionByName(level.withColumn("depth", F.lit(depth)))
+        row = level.withColumn("depth", F.lit(depth))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
@@ -40,9 +106,14 @@ def names_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
 
 
 def of_events(events: DataFrame, per_name: DataFrame) -> DataFrame:
-    """Rows of names, as ``names_of`` numbers them, for every event that changes such a name."""
+    """Rows of names, as ``names_of`` numbers them, for every event that changes such a name.
+
+    Events are dealt out before they meet those rows, so while these are few enough for the optimiser
+    to broadcast them, nothing that the join multiplies is shuffled for an aggregate per event.
+    """
     changed = events.select(F.col("event_id").alias("event"), F.xxhash64("changed_symbol").alias("event_id")).distinct()
-    return changed.join(per_name, "event_id").drop("event_id").withColumnRenamed("event", "event_id")
+    width = 4 * int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return changed.repartition(width, "event").withColumnRenamed("event_id", "_name").join(per_name.withColumnRenamed("event_id", "_name"), "_name").drop("_name").withColumnRenamed("event", "event_id")
 
 
 def dependents(walked: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -50,9 +121,11 @@ def dependents(walked: DataFrame, definitions: DataFrame) -> DataFrame:
     return walked.join(definitions.select("id", "file_path", "project_id", "name"), "id")
 
 
-def closure(seeds: DataFrame, calls: DataFrame, scratch: Scratch, name: str = "closure") -> DataFrame:
+def closure(seeds: DataFrame, calls: DataFrame, scratch: Scratch, name: str = "closure", one_task: int = ONE_TASK) -> DataFrame:
     """(event_id, id): everything that reaches a seed, seeds included; a fixpoint without depth bound."""
     step = scratch.save(calls.select("source_id", "target_id").distinct(), f"{name}-step", release=False)
+    if step.count() <= one_task:
+        return scratch.save(_walk_in_tasks(seeds, step, None).select("event_id", "id"), name, release=False)
     visited = scratch.save(seeds.select("event_id", "id").distinct(), f"{name}-0", release=False)
     frontier, k = visited, 0
     while True:

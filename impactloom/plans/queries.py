@@ -99,12 +99,13 @@ def neighbourhood_weights(spark, sf_dir):
     return traverse.neighbourhood(traverse.seeds_of(g.table("mr_event"), g.table("gl_definition")), g.table("gl_calls"), g.table("gl_definition"))
 
 
-PAGERANK_ROUNDS = 12
+PAGERANK_ROUNDS = centrality.ROUNDS
 
 
 def pagerank_top(spark, sf_dir):
-    scores = centrality.pagerank(GraphSource(spark, sf_dir).table("gl_calls"), Scratch(spark, "pagerank"), PAGERANK_ROUNDS, tolerance=0.0)
-    return centrality.ranked(scores.orderBy(F.desc("score"), "id").limit(50)).select("id", F.round("score", 8).alias("score"), "rank")
+    scratch = Scratch(spark, "pagerank")
+    scores = centrality.pagerank(GraphSource(spark, sf_dir).table("gl_calls"), scratch)
+    return centrality.ranked(scores, scratch).where("rank <= 50").select("id", F.round("score", 8).alias("score"), "rank")
 
 
 def call_components(spark, sf_dir):
@@ -200,8 +201,7 @@ def scar_receipts(spark, sf_dir):
 
 
 def _blast(g):
-    impact = _impact(g)
-    return history.blast_definitions(impact.seeds, impact.deps, centrality.degrees(g.table("gl_calls")), g.table("gl_definition"))
+    return _impact(g).blast()
 
 
 def blast_definitions(spark, sf_dir):

@@ -57,11 +57,11 @@ class GraphQueries:
     def affected_services(self, symbols: Names) -> DataFrame:
         """(service_id, file_path, affected, is_critical, is_test): files, most affected first."""
         path = F.col("file_path")
-        return scoring.file_impact(self._dependents(symbols)).select(F.concat(F.lit("f"), "rank").alias("service_id"), "file_path", "affected", paths.is_critical(path).alias("is_critical"), paths.is_test(path).alias("is_test"))
+        return scoring.file_impact(self._dependents(symbols).groupBy("event_id", "file_path").agg(F.count("*").alias("affected"))).select(F.concat(F.lit("f"), "rank").alias("service_id"), "file_path", "affected", paths.is_critical(path).alias("is_critical"), paths.is_test(path).alias("is_test"))
 
     def affected_owners(self, symbols: Names) -> DataFrame:
         """(area_id, area, definitions, files)."""
-        return scoring.owner_areas(scoring.file_impact(self._dependents(symbols))).select(F.concat(F.lit("area-"), "rank").alias("area_id"), "area", "definitions", "files")
+        return scoring.owner_areas(scoring.file_impact(self._dependents(symbols).groupBy("event_id", "file_path").agg(F.count("*").alias("affected")))).select(F.concat(F.lit("area-"), "rank").alias("area_id"), "area", "definitions", "files")
 
     def ownership_centrality(self, least: int = scoring.MIN_DEGREE, k: int = scoring.TOP_KEYSTONES) -> DataFrame:
         """(id, name, definition_type, inbound, outbound) of the most connected definitions."""

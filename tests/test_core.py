@@ -24,16 +24,27 @@ def seeds(spark, *ids):
     return spark.createDataFrame([(1, i) for i in ids], "event_id long, id long")
 
 
-def test_walks_are_sets_per_depth_and_cycles_end_at_the_bound(spark):
+@pytest.mark.parametrize("one_task", [traverse.ONE_TASK, 0])
+def test_walks_are_sets_per_depth_and_cycles_end_at_the_bound(spark, one_task):
     g = calls(spark, [(2, 1), (3, 2), (1, 3), (4, 3)])
-    rows = {(r.id, r.depth) for r in traverse.callers_by_depth(seeds(spark, 1), g, Scratch(spark, "t")).collect()}
+    rows = {(r.id, r.depth) for r in traverse.callers_by_depth(seeds(spark, 1), g, Scratch(spark, "t"), one_task=one_task).collect()}
     assert {d for i, d in rows if i == 1} == {3, 6}
     assert max(d for _, d in rows) == 8
 
 
-def test_closure_has_seeds_and_terminates(spark):
+def test_walks_and_closures_in_tasks_equal_those_in_rounds(spark):
+    r = random.Random(3)
+    g = calls(spark, [(r.randrange(60), r.randrange(60)) for _ in range(90)])
+    many = spark.createDataFrame([(e, r.randrange(70)) for e in range(200) for _ in range(2)], "event_id long, id long").distinct()
+    for f in (traverse.callers_by_depth, traverse.closure):
+        a, b = (sorted(map(tuple, f(many, g, Scratch(spark, "t"), one_task=n).collect())) for n in (traverse.ONE_TASK, 0))
+        assert a == b and len(a) > 500
+
+
+@pytest.mark.parametrize("one_task", [traverse.ONE_TASK, 0])
+def test_closure_has_seeds_and_terminates(spark, one_task):
     g = calls(spark, [(2, 1), (3, 2), (1, 3), (9, 8)])
-    ids = {r.id for r in traverse.closure(seeds(spark, 1), g, Scratch(spark, "t")).collect()}
+    ids = {r.id for r in traverse.closure(seeds(spark, 1), g, Scratch(spark, "t"), one_task=one_task).collect()}
     assert ids == {1, 2, 3}
     nodes = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4)], "event_id long, id long")
     assert traverse.induced_edges(nodes, g.unionByName(calls(spark, [(2, 1), (4, 3)]))).count() == 5
@@ -110,6 +121,18 @@ def test_large_stars_and_barbells_have_their_cut_vertices(spark):
     assert choke(spark, {1: star, 2: barbell}, 1000) == want
 
 
+def test_pagerank_in_a_task_equals_rounds_and_ranks_are_global(spark):
+    r = random.Random(5)
+    g = calls(spark, [(r.randrange(40), r.randrange(50)) for _ in range(120)])
+    scratch = Scratch(spark, "t")
+    one, many = ({x.id: x.score for x in centrality.pagerank(g, Scratch(spark, "t"), rounds=9, one_task=n).collect()} for n in (10**6, 0))
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) < 1e-12 for i in one)
+    done = centrality.pagerank(g, scratch, rounds=400)
+    assert done.first().change < centrality.TOLERANCE and centrality.pagerank(g, Scratch(spark, "t"), rounds=2).first().change > centrality.TOLERANCE
+    want = {i: n for n, (_, i) in enumerate(sorted((-x.score, x.id) for x in done.collect()), 1)}
+    assert {x.id: x["rank"] for x in centrality.ranked(done, scratch).collect()} == want
+
+
 def test_pagerank_counts_parallel_edges_and_keeps_mass(spark):
     g = calls(spark, [(1, 2), (1, 2), (1, 3), (4, 4)])
     s = {r.id: r.score for r in centrality.pagerank(g, Scratch(spark, "t")).collect()}
