@@ -15,7 +15,8 @@ What the driver holds is one row per source, and one per source and shard (a sha
 blocks; there are 64 at least).  Everything is a function of the input rows and the seed.
 
 Defined cases: a null text has size 0; documents of size 0 are returned with nothing taken; a null
-source is a source of its own, as is the empty string; repeated rows are separate documents; a null
+source is a source of its own, as is the empty string; texts of any length are cut into blocks whole;
+repeated rows are separate documents; a null
 doc_id stays null; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -29,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import textscan
-from .cases import free, if_small
+from .cases import free, if_small, known
 from .ranks import running_totals
 from .scratch import Scratch
 
 BLOCK_WORDS, SHARE, WEIGHTS, REPEAT_LIMIT, SEED = 512, 1.5, (5, 2, 1), 2, 20240301
 SHARD_BLOCKS, MIN_SHARDS = 1 << 20, 64
+#: Characters of one batch of mixed texts.
+OUT_CHARS = 4 << 20
 
 
 def share_targets(sizes: list[int], weights: list[float], share: float = SHARE, limit: float = REPEAT_LIMIT) -> list[float]:
@@ -51,7 +54,8 @@ def share_targets(sizes: list[int], weights: list[float], share: float = SHARE,
         for i in above:
             targets[i] = float(limit * sizes[i])
             rest -= targets[i]
-        open_ = [i for i in open_ if i not in above]
+        gone = set(above)
+        open_ = [i for i in open_ if i not in gone]
     return targets
 
 
@@ -181,7 +185,7 @@ class Mix:
         return per_doc.join(self._few(self.sources), "idx").select("doc_id", "size", "source_size", "target", "taken").unionByName(empty)
 
     def pieces(self) -> DataFrame:
-        """(doc_id, tie, idx, copies, ranges): whole passes and the word ranges of the last, partial one."""
+        """(doc_id, tie, source, copies, ranges, times): whole passes and the word ranges of the last, partial one, of so many equal rows."""
         partial = self.slots.join(self._few(self.sources.select("idx", "passes")), "idx").where(F.col("pass") == F.col("passes")).select("idx", "block", "take")
         ranges = (self.segments.join(partial.hint("merge"), ["idx", "block"], "left")
                   .withColumn("until", F.when(F.col("take").isNotNull(), F.least("hi", "take"))).withColumn("base", F.col("block") * self.block - F.col("start"))
@@ -189,53 +193,68 @@ class Mix:
                   .agg(F.sort_array(F.collect_list(F.when(F.col("until") > F.col("lo"), F.struct((F.col("lo") + F.col("base")).alias("lo"),
                                                                                                 (F.col("until") + F.col("base")).alias("hi"))))).alias("ranges")))
         return (ranges.join(self._few(self.sources.select("idx", "source", F.col("passes").alias("copies"))), "idx")
-                .groupBy("doc_id", "tie", "source").agg(F.collect_list(F.struct("copies", "ranges")).alias("pieces")))
+                .groupBy("doc_id", "tie", "source", "copies", "ranges").agg(F.count("*").alias("times")))
+
+
+def _merged(ranges: list) -> list[tuple[int, int]]:
+    """Ranges of words in order, neighbours as one."""
+    out: list[list[int]] = []
+    for r in ranges:
+        if out and out[-1][1] == r["lo"]:
+            out[-1][1] = r["hi"]
+        else:
+            out.append([r["lo"], r["hi"]])
+    return [(lo, hi) for lo, hi in out]
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The mixed corpus, with the columns of ``docs``: one row for each whole pass over a document and
     for each run of neighbouring words that the last pass takes.  Texts of no size are not taken.
+
+    Rows with equal id, text and source are one row here, and how often they come is a number: one of
+    them stands for all, and repeats that are cut alike are one entry.
     """
     mix = Mix(spark, docs)
     names, schema = docs.columns, docs.schema
     text_at = names.index("text")
     chars_at = names.index("n_chars") if "n_chars" in names else None
-    own_id, own_tie, own_source, given = free(names, "_id", "_tie", "_source", "_pieces")
-    p_id, p_tie, p_source = free([*names, own_id, own_tie, own_source, given], "_p_id", "_p_tie", "_p_source")
-    key = docs.select("*", F.col("doc_id").cast("long").alias(own_id), F.xxhash64("text").alias(own_tie), F.col("source").cast("string").alias(own_source))
-    p = mix.pieces().select(F.col("doc_id").alias(p_id), F.col("tie").alias(p_tie), F.col("source").alias(p_source), F.col("pieces").alias(given))
-    rows = (key.join(p, F.col(own_id).eqNullSafe(F.col(p_id)) & (F.col(own_tie) == F.col(p_tie)) & F.col(own_source).eqNullSafe(F.col(p_source)))
-            .select(*names, own_id, own_tie, own_source, given).sortWithinPartitions(own_id, own_tie, own_source))
+    key = free(names, "_id", "_tie", "_source", "_none")
+    copies, ranges, times = free([*names, *key], "_copies", "_ranges", "_times")
+
+    def keyed(df: DataFrame, tie) -> DataFrame:
+        return df.withColumns(dict(zip(key, (known("doc_id"), tie, F.coalesce(F.col("source").cast("string"), F.lit("")), F.col("source").isNull()))))
+
+    own = keyed(docs, F.xxhash64("text")).dropDuplicates(key)
+    given = keyed(mix.pieces(), F.col("tie")).select(*key, F.col("copies").alias(copies), F.col("ranges").alias(ranges), F.col("times").alias(times))
+    rows = own.join(given.hint("merge"), key).select(*names, copies, ranges, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        previous = None
-        for batch in batches:
-            take, texts = [], []
-            text = batch.column(text_at).to_pylist()
-            pieces = batch.column(len(names) + 3).to_pylist()
-            for i, k in enumerate(zip(*(batch.column(len(names) + j).to_pylist() for j in range(3)))):
-                if k == previous:  # rows come sorted; the first of equal rows stands for all of them
-                    continue
-                previous, words = k, None
-                for piece in pieces[i]:
-                    merged: list[list[int]] = []
-                    for r in piece["ranges"]:
-                        if merged and merged[-1][1] == r["lo"]:
-                            merged[-1][1] = r["hi"]
-                        else:
-                            merged.append([r["lo"], r["hi"]])
-                    if merged and words is None:
-                        raw = text[i].encode()
-                        words = textscan.Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
-                    new = [text[i]] * piece["copies"] + [raw[words.start[lo] : words.end[hi - 1]].decode() for lo, hi in merged]
-                    take += [i] * len(new)
-                    texts += new
+        def made(batch: pa.RecordBatch, take: list[int], texts: list[str]) -> pa.RecordBatch:
             out = batch.take(pa.array(take, type=pa.int64()))
             columns = [out.column(j) for j in range(len(names))]
             columns[text_at] = pa.array(texts, type=batch.schema.field(text_at).type)
             if chars_at is not None:
                 columns[chars_at] = pa.array([len(t) for t in texts]).cast(batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        for batch in batches:
+            take, texts, size = [], [], 0
+            for i, (text, whole, parts, n) in enumerate(zip(*(batch.column(j).to_pylist() for j in (text_at, len(names), len(names) + 1, len(names) + 2)))):
+                merged, cut = _merged(parts), []
+                if merged:
+                    raw = text.encode()
+                    words = textscan.Words(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
+                    cut = [raw[words.start[lo] : words.end[hi - 1]].decode() for lo, hi in merged]
+                for _ in range(n):
+                    for t in [*[text] * whole, *cut]:
+                        take.append(i)
+                        texts.append(t)
+                        size += len(t)
+                        if size > OUT_CHARS:
+                            yield made(batch, take, texts)
+                            take, texts, size = [], [], 0
+            if take:
+                yield made(batch, take, texts)
 
     return rows.mapInArrow(run, schema)
 

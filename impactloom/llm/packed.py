@@ -33,17 +33,18 @@ def split_rows(chunk: int, slots: np.ndarray, items: np.ndarray, n_buckets: int,
     """
     bucket = (items % np.uint64(n_buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    sorted_ = bucket[order]
+    # Only buckets that have items: their number is bounded by that of the items.
+    first = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.zeros(0, dtype=np.int64)
     rows = []
-    for b in range(n_buckets):
-        at = order[edges[b] : edges[b + 1]]
-        if len(at):
-            owner = slots[at]
-            cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            payload, more = encode(at)
-            rows.append({"bucket": b, "chunk": chunk, "slots": owner[cut].astype("<u2").tobytes(),
-                         "runs": np.diff(np.r_[cut, len(at)]).astype("<u4").tobytes(),
-                         "items": payload, "more": more})
+    for lo, hi in zip(first, np.r_[first[1:], len(sorted_)]):
+        at = order[lo:hi]
+        owner = slots[at]
+        cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        payload, more = encode(at)
+        rows.append({"bucket": int(sorted_[lo]), "chunk": chunk, "slots": owner[cut].astype("<u2").tobytes(),
+                     "runs": np.diff(np.r_[cut, len(at)]).astype("<u4").tobytes(),
+                     "items": payload, "more": more})
     return rows
 
 

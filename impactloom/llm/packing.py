@@ -8,10 +8,12 @@ sequences with the same history at once.  The plan is a list of runs - (length,
 first sequence, offset) - and each piece finds its place by joining its rank within its length.
 
 Token ids: ``tiktoken`` reads the same vocabulary and pattern as the tokenizer file and is several
-times faster; texts with characters above U+052F or with the tokenizer's special token go through
-``tokenizers`` itself, so that differing Unicode tables cannot matter.
+times faster; texts with characters above U+052F, with the tokenizer's special token or with more than
+``LONG_RUN`` characters of white space on end go through ``tokenizers`` itself, so that differing Unicode
+tables cannot matter and no text is too long.
 
-Defined cases: null and empty texts are one piece that holds the end id only; repeated rows and rows
+Defined cases: null and empty texts are one piece that holds the end id only; texts of any length,
+blanks on end included, are encoded whole; repeated rows and rows
 that share an id are packed one by one; an empty table gives an empty result; a null doc_id stays
 null; further columns are ignored.
 """
@@ -19,6 +21,7 @@ null; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
@@ -31,6 +34,9 @@ from .ranks import running_totals
 from .scratch import Scratch
 
 LIMIT, END_ID = 1024, 2
+#: Characters of white space on end from which a text goes to ``tokenizers``.
+LONG_RUN = 10_000
+_WHITE = re.compile(r"\s+")
 _PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, tie long"
 
 
@@ -47,10 +53,15 @@ class Encoder:
         self.fast = tiktoken.Encoding("byte_bpe_50k", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if "<|endoftext|>" in text or (not text.isascii() and max(text) > "ԯ"):
+        if "<|endoftext|>" in text or (not text.isascii() and max(text) > "ԯ") or (len(text) > LONG_RUN and self._long_run(text)):
             return self.exact.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
+    @staticmethod
+    def _long_run(text: str) -> bool:
+        """Whether white space runs on so long that the pattern of ``tiktoken`` runs out of stack."""
+        return any(m.end() - m.start() > LONG_RUN for m in _WHITE.finditer(text))
+
     @cached_property
     def exact(self):
         from tokenizers import Tokenizer

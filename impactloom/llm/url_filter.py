@@ -4,7 +4,8 @@ A rule is ``host/path``; it fits its host and all subdomains where the URL's pat
 rule's path, and the longest rule that fits decides.  Pages without a rule are judged by their host:
 pages that rules allow are the seeds of a personalised PageRank over the links between hosts, pages
 that rules block those of a PageRank over the reversed links (who links to bad hosts is suspect).  A
-seed's mass is its number of pages.  A host is blocked when distrust exceeds trust by ``margin``.
+seed's mass is its share of all seed pages of its kind, so that the larger set of seeds has no
+advantage.  A host is blocked when distrust exceeds trust by ``margin``.
 
 Links are the absolute targets of href and src attributes, between different hosts.  Each round of
 the iteration is written to the shared folder; it ends, after however many rounds, when no host is new
@@ -12,7 +13,7 @@ and no host's own mass changes by more than ``tolerance`` of itself, so unrelate
 
 The rule list is a parameter that goes into the plan, so it must be of moderate size.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path and no rule; such pages
+Defined cases: URLs and pages of any length are read whole; a null URL or one without ``://`` has an empty host and path and no rule; such pages
 and hosts that no mass reaches are allowed; null html has no links; repeated rows are pages of their
 own; a null page_id stays null; an empty table gives an empty result; further columns are ignored.
 Everything is DataFrame operations.
@@ -94,7 +95,9 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules=RULES, margin: float
     placed = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).withColumn("fit", rule_of(rules))
     seeds = placed.where("host <> ''").groupBy("host").agg(F.count_if(F.col("fit.verdict") == "allow").alias("trust"),
                                                            F.count_if(F.col("fit.verdict") == "block").alias("distrust"))
-    mass = propagate(scratch, host_links(pages), seeds)
+    seeds = scratch.save(seeds, "seeds")
+    trust, distrust = (F.lit(float(n or 1)) for n in seeds.agg(F.sum("trust"), F.sum("distrust")).first())
+    mass = propagate(scratch, host_links(pages), seeds.select("host", (F.col("trust") / trust).alias("trust"), (F.col("distrust") / distrust).alias("distrust")))
     verdicts = mass.select("host", F.when(F.col("distrust") - F.col("trust") > margin, "block").otherwise("allow").alias("by_links"))
     return (placed.join(verdicts, "host", "left")
             .select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "by_links", F.lit("allow")).alias("verdict")))

@@ -176,14 +176,27 @@ def test_permutation_is_one_and_inverts():
         assert mixing.permute(y, np.full(n, n), np.full(n, 12345), inverse=True).tolist() == x.tolist()
 
 
-def test_mixed_documents_hold_what_the_digest_says(spark):
-    rows = [(i, t, s) for i, t, s in awkward() if i not in (16, 17, None)]
+@pytest.mark.parametrize("split", [False, True])
+def test_mixed_documents_hold_what_the_digest_says(spark, split):
+    """Repeated ids, null ids and repeated rows included; also where joins are split at once."""
+    rows = awkward() + [(16, "dup row text here", "e")] * 40 + [(None, "no id at all", "f")] * 9
     docs = documents(spark, rows)
-    want = {r.doc_id: r.taken for r in mixing.mix_digest(spark, docs).collect()}
-    got = defaultdict(int)
-    out = mixing.mix_documents(spark, docs)
+    forced = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+              "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.01", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true"} if split else {}
+    before = {k: spark.conf.get(k) for k in forced}
+    for k, v in forced.items():
+        spark.conf.set(k, v)
+    want, got = defaultdict(int), defaultdict(int)
+    try:
+        for r in mixing.mix_digest(spark, docs).collect():
+            want[r.doc_id] += r.taken
+        out = mixing.mix_documents(spark, docs)
+        made = out.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert out.columns == docs.columns
-    for r in out.collect():
+    for r in made:
         got[r.doc_id] += len(WORD.findall(r.text))
         assert r.n_chars == len(r.text) and r._id == "x"
     assert {i: got[i] for i in want} == want
@@ -259,6 +272,17 @@ def test_packing_round_trip(spark):
     assert sum(r.length for r in got) == total and len(places) <= -(-total // 1024) + 2
 
 
+def test_packing_takes_blanks_on_end(spark):
+    encode = packing.Encoder()
+    texts = [" " * 3_000_000 + "a", "a" + "\n" * 1_000_000, "b" + " \n" * 6_000 + "c", " " * 9_999]
+    got = packing.pack_documents(spark, documents(spark, [(i, t, "a") for i, t in enumerate(texts)])).collect()
+    for i, t in enumerate(texts):
+        ids = [*encode.exact.encode(t, add_special_tokens=False).ids, 2]
+        pieces = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        assert encode(t) == ids[:-1] and [zlib.crc32(np.array(ids[r.start : r.start + r.length], dtype="<u4").tobytes()) for r in pieces] == [r.ids_crc32 for r in pieces]
+        assert sum(r.length for r in pieces) == len(ids)
+
+
 def test_best_fit_plan_places_every_piece_once():
     r = random.Random(2)
     for _ in range(30):
