@@ -7,7 +7,9 @@ setting is absent (single-machine tests) a temporary folder of the driver is use
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 
@@ -19,12 +21,16 @@ _local_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one temporary folder for this process where none is named."""
+    """The cluster's shared folder; where none is named, a temporary folder of a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that the driver and executors share")
     if not _local_folder:
-        _local_folder.append("file://" + tempfile.mkdtemp(prefix="loom-"))
+        folder = tempfile.mkdtemp(prefix="loom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _local_folder.append("file://" + folder)
     return _local_folder[0]
 
 
