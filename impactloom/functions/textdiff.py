@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-# Extensions by comment style.
+# Extensions by comment style, the forms of definitions, and how dangerous an edit is.
 C_LIKE = ("rs", "c", "cc", "cpp", "h", "hpp", "java", "js", "jsx", "ts", "tsx", "go", "kt", "swift", "scala")
 HASH_LIKE = ("py", "rb", "sh", "pl")
 DEFINITION_LINE = (r"^\+\s*(?:pub\s+|async\s+|export\s+|public\s+|private\s+)*(?:fn|def|function|class|struct|impl|interface|trait)\s+([A-Za-z_][A-Za-z0-9_]*)")
+_HEADER, TAIL = r"\b(?:fn|def|function)\s+%s\s*[(<]", 199
 DANGER = {"unknown": 1.0, "contract-break": 1.0, "cosmetic": 0.0, "body-edit": 0.5}
 
 
@@ -30,26 +32,34 @@ def is_cosmetic(old: Column, new: Column, ext: Column) -> Column:
     return ~both_empty & (strip_comments(F.coalesce(old, F.lit("")), ext) == strip_comments(F.coalesce(new, F.lit("")), ext))
 
 
+def _closers(text: str, opening: str, closing: str) -> tuple[list[int], dict[int, int]]:
+    """Where brackets open, and where each of those closes: one scan; what never closes has no entry."""
+    opens, waiting, ends = [], [], {}
+    for m in re.finditer(f"[{re.escape(opening + closing)}]", text):
+        if m[0] == opening:
+            opens.append(m.start())
+            waiting.append(m.start())
+        elif waiting:
+            ends[waiting.pop()] = m.start()
+    return opens, ends
+
+
 def _signature(text: str | None, name: str | None) -> str | None:
-    """The header of a function: parameters by balanced parentheses, then up to its body."""
+    """The header of a function: its parameters and what follows them up to the first of ``{``, ``:`` and ``;``.
+
+    Parameters that never close go on to the end of the text.
+    """
     if not text or not name:
         return None
-    m = re.search(rf"\b(?:fn|def|function)\s+{re.escape(name)}\s*[(<]", text)
-    if not m:
-        return None
-    at, depth = text.find("(", m.start()), 0
+    m = re.search(_HEADER % re.escape(name), text)
+    at = text.find("(", m.start()) if m else -1
     if at < 0:
         return None
-    for end in range(at, len(text)):
-        depth += {"(": 1, ")": -1}.get(text[end], 0)
-        if not depth:
-            tail = text[end + 1 : end + 200]
-            for stop in "{:;":
-                if stop in tail:
-                    tail = tail[: tail.index(stop)]
-                    break
-            return text[m.start() : end + 1] + tail
-    return None
+    end = _closers(text[at:], "(", ")")[1].get(0)
+    if end is None:
+        return text[m.start() :]
+    after = at + end + 1
+    return text[m.start() : after] + re.split("[{:;]", text[after : after + TAIL], maxsplit=1)[0]
 
 
 @F.pandas_udf(T.StringType())
@@ -91,11 +101,51 @@ def hunk_lines(diff: DataFrame) -> DataFrame:
     return diff.where(F.regexp_extract("header", r"\+(\d+)", 1) != "").select("path", F.explode(F.sequence(start, start + n - 1)).alias("line")).distinct()
 
 
+def plain_path(path: Column) -> Column:
+    """A path with forward slashes and without leading dots and slashes."""
+    return F.regexp_replace(F.translate(path, "\\", "/"), r"^[./]+", "")
+
+
+def same_file(indexed: Column, changed: Column) -> Column:
+    """Whether an indexed path is a changed one or ends with the whole of it, as under another root."""
+    return (indexed == changed) | indexed.endswith(F.concat(F.lit("/"), changed))
+
+
+def on_same_file(definitions: DataFrame, spans: DataFrame) -> DataFrame:
+    """Definitions with the rows of ``spans`` (base, ..) of their file; they meet by the last part of the path."""
+    indexed = F.translate("file_path", "\\", "/")
+    last = lambda path: F.element_at(F.split(path, "/"), -1)
+    d = definitions.withColumn("_last", last(indexed))
+    return d.join(spans.withColumn("_last", last(F.col("base"))), "_last").where(same_file(indexed, F.col("base"))).drop("_last")
+
+
 def changed_symbols(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     """Definitions whose span overlaps the range of changed lines of their file."""
-    span = lines.groupBy(F.regexp_replace(F.translate("path", "\\", "/"), r"^[./]+", "").alias("base")).agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
+    span = lines.groupBy(plain_path(F.col("path")).alias("base")).agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
     d = definitions.where("start_line IS NOT NULL AND end_line IS NOT NULL")
-    return d.join(span, (d["file_path"] == span["base"]) & (d["start_line"] <= span["hi"]) & (d["end_line"] >= span["lo"])).select("name", "file_path").distinct()
+    return on_same_file(d, span).where("start_line <= hi AND end_line >= lo").select("name", "file_path").distinct()
+
+
+def changed_functions(files: DataFrame, hunks: DataFrame) -> DataFrame:
+    """(event_id, name): functions of the new texts that hold a changed line.
+
+    ``files``: (event_id, path, new_text); ``hunks``: (event_id, path, lo, hi), ranges of changed lines.
+    What lies between two ranges is not changed.
+    """
+    spans = files.select("event_id", "path", F.explode(function_spans("new_text")).alias("s")).select("event_id", "path", "s.name", "s.start", "s.end")
+    met = (spans["event_id"] == hunks["event_id"]) & (spans["path"] == hunks["path"]) & (spans["start"] <= hunks["hi"]) & (spans["end"] >= hunks["lo"])
+    return spans.join(hunks, met, "left_semi").select("event_id", "name").distinct()
+
+
+def classify_changes(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(event_id, files, edit_class, broken) of events with files (event_id, path, old_text, new_text).
+
+    ``broken``: how many signatures of changed names are gone or differ.
+    """
+    per = files.groupBy("event_id").agg(F.count("*").alias("files"), F.bool_and(is_cosmetic(F.col("old_text"), F.col("new_text"), extension(F.col("path")))).alias("cosmetic"))
+    broken = contract_breaks(files, names).groupBy("event_id").agg(F.count("*").alias("broken"))
+    rows = per.join(broken, "event_id", "left").fillna({"broken": 0})
+    return rows.select("event_id", "files", edit_class(F.col("files"), F.col("broken") > 0, F.col("cosmetic")).alias("edit_class"), "broken")
 
 
 def header_symbols(diff_lines: Column) -> Column:
@@ -104,17 +154,15 @@ def header_symbols(diff_lines: Column) -> Column:
 
 
 def _spans(text: str | None) -> list[dict]:
+    """Functions with bodies in braces: name, first and last line; a body that never closes goes on to the end."""
+    text = text or ""
+    opens, ends = _closers(text, "{", "}")
+    lines = [m.start() for m in re.finditer("\n", text)]
     out = []
-    for m in re.finditer(r"\b(?:fn|def|function)\s+([A-Za-z_]\w*)", text or ""):
-        at = text.find("{", m.end())
-        if at < 0:
-            continue
-        depth = 0
-        for end in range(at, len(text)):
-            depth += {"{": 1, "}": -1}.get(text[end], 0)
-            if not depth:
-                out.append({"name": m[1], "start": text.count("\n", 0, m.start()) + 1, "end": text.count("\n", 0, end) + 1})
-                break
+    for m in re.finditer(_HEADER % r"([A-Za-z_]\w*)", text):
+        k = bisect_left(opens, m.end())
+        if k < len(opens):
+            out.append({"name": m[1], "start": bisect_left(lines, m.start()) + 1, "end": bisect_left(lines, ends.get(opens[k], len(text))) + 1})
     return out
 
 

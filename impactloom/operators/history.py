@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import paths
 
 MAX_COMMIT_FILES, MIN_SUPPORT, PRIOR_CAP, PRIOR_SCALE, RECEIPTS, SPOF_SHARE = 50, 4, 0.12, 0.10, 5, 0.70
+SHOWN_OWNERS, REVIEWERS = 6, 4
 
 # Subject patterns and the words that exclude a fix.
 REVERT = r'^\s*revert[\s:"]'
@@ -53,6 +54,19 @@ def scar_prior(near: DataFrame, scarred: DataFrame) -> DataFrame:
     return hit.groupBy("event_id").agg(F.count("*").alias("contributors"), F.least(F.lit(PRIOR_CAP), raw).alias("prior"), (raw >= PRIOR_CAP).alias("capped"))
 
 
+def scar_contributors(near: DataFrame, scarred: DataFrame, changes: DataFrame) -> DataFrame:
+    """(event_id, place, path, proximity, weight, reverts, hotfixes, fix_density, intensity, contribution, receipts): what the prior rests on, most first.
+
+    ``receipts`` is the number of commits that are shown for a file.
+    """
+    shown = receipts(changes).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("receipts"))
+    hit = near.join(scarred.where("intensity > 0").withColumnRenamed("file_path", "path"), "path").withColumn("contribution", F.col("weight") * F.col("intensity"))
+    place = F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("contribution"), "path"))
+    return (hit.join(shown, "path", "left").withColumn("place", place)
+            .select("event_id", "place", "path", paths.proximity_label(F.col("weight")).alias("proximity"), "weight", "reverts", "hotfixes", "fix_density", "intensity", "contribution",
+                    F.coalesce("receipts", F.lit(0).cast("long")).alias("receipts")))
+
+
 def most_called(walked: DataFrame, degrees: DataFrame, definitions: DataFrame, k: int = 40) -> DataFrame:
     """(event_id, id, name, inbound): the ``k`` most called of an event's callers that have a span."""
     spans = definitions.where("start_line >= 1 AND end_line >= start_line").select("id", "name").join(degrees.select("id", "inbound"), "id", "left").fillna({"inbound": 0})
@@ -69,13 +83,21 @@ def blast_definitions(seeds: DataFrame, walked: DataFrame, degrees: DataFrame, d
     return both.withColumn("r", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("weight"), "id"))).where(F.col("r") <= k).drop("r")
 
 
+def author_label(place: Column) -> Column:
+    """Author A to Author Z, then Author AA and so on."""
+    letter = lambda n: F.char(F.lit(65) + n)
+    rest = place - 1
+    two = F.concat(letter(F.floor((rest - 26) / 26).cast("int") % 26), letter(rest % 26))
+    return F.concat(F.lit("Author "), F.when(rest < 26, letter(rest)).when(rest < 702, two).otherwise(place.cast("string")))
+
+
 def blame_owners(defs: DataFrame, blame: DataFrame) -> DataFrame:
     """(event_id, author_email, place, label, mass, share, cum): authors by weighted lines."""
     mass = defs.join(blame, defs["id"] == blame["definition_id"]).groupBy("event_id", "author_email").agg(F.sum(F.col("lines") * F.col("weight")).alias("mass"))
     w = Window.partitionBy("event_id")
     order = w.orderBy(F.desc("mass"), "author_email")
     return (mass.withColumn("place", F.row_number().over(order)).withColumn("share", F.col("mass") / F.sum("mass").over(w))
-            .withColumn("cum", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("label", F.concat(F.lit("Author "), F.char(F.lit(64) + F.col("place")))))
+            .withColumn("cum", F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("label", author_label(F.col("place"))))
 
 
 def bus_factor(owners: DataFrame) -> DataFrame:
@@ -91,3 +113,22 @@ def single_points(defs: DataFrame, blame: DataFrame) -> DataFrame:
     first = Window.partitionBy("event_id").orderBy(F.desc("inbound"), F.desc("share"), "id")
     return (top.where(F.col("share") >= SPOF_SHARE).withColumn("r", F.row_number().over(first)).where("r = 1")
             .select("event_id", "id", "name", "inbound", "author_email", "share"))
+
+
+def ownership_report(defs: DataFrame, blame: DataFrame) -> DataFrame:
+    """(event_id, definitions_blamed, bus_factor, concentration, owners, reviewers, spof_author, spof_symbol, spof_share).
+
+    The first ``SHOWN_OWNERS`` authors and ``REVIEWERS`` of them, as labels.  The single point of failure
+    is the most called definition that one author dominates; without such a one, where one author holds
+    more than half of all, that author, with no symbol.
+    """
+    owners = blame_owners(defs, blame)
+    blamed = defs.join(blame.select(F.col("definition_id").alias("id")).distinct(), "id", "left_semi").groupBy("event_id").agg(F.count("*").alias("definitions_blamed"))
+    listed = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= k, F.struct("place", "label")))), lambda x: x["label"]), ",")
+    shown = owners.groupBy("event_id").agg(listed(SHOWN_OWNERS).alias("owners"), listed(REVIEWERS).alias("reviewers"), F.max(F.when(F.col("place") == 1, F.col("author_email"))).alias("first"))
+    points = single_points(defs, blame).select("event_id", "author_email", F.col("name").alias("symbol"), "share")
+    row = bus_factor(owners).join(blamed, "event_id").join(shown, "event_id").join(points, "event_id", "left")
+    alone = F.col("bus_factor") <= 1
+    return row.select("event_id", "definitions_blamed", F.col("bus_factor").cast("long").alias("bus_factor"), "concentration", "owners", "reviewers",
+                      F.coalesce("author_email", F.when(alone, F.col("first"))).alias("spof_author"), F.col("symbol").alias("spof_symbol"),
+                      F.coalesce("share", F.when(alone, F.col("concentration"))).alias("spof_share"))

@@ -13,10 +13,11 @@ from . import centrality, cutvertex, history, scoring, traverse
 class Impact:
     """The shared results of a batch of events, computed once and read by every lens.
 
-    ``events`` has (event_id, changed_symbol, edit_class), one row per changed symbol.
+    ``events`` has (event_id, changed_symbol, edit_class), one row per changed symbol; ``ranks`` (id, rank)
+    are PageRank ranks that an earlier batch has computed.
     """
 
-    def __init__(self, events: DataFrame, definitions: DataFrame, calls: DataFrame) -> None:
+    def __init__(self, events: DataFrame, definitions: DataFrame, calls: DataFrame, ranks: DataFrame | None = None) -> None:
         spark = events.sparkSession
         ship(spark)
         self.scratch = Scratch(spark, "impact")
@@ -31,6 +32,7 @@ class Impact:
         self.deps = (traverse.of_events(events, self.reach).groupBy("event_id", "id")
                      .agg(F.max("depth").alias("depth"), F.min("file").alias("file"), F.min("project_id").alias("project_id")))
         self._files: DataFrame | None = None
+        self._ranks = ranks
 
     @property
     def files(self) -> DataFrame:
@@ -62,6 +64,13 @@ class Impact:
     def keystones(self) -> DataFrame:
         return scoring.keystones(self.events, centrality.degrees(self.calls), self.definitions)
 
+    def ranked_keystones(self) -> DataFrame:
+        """(event_id, name, rank, pagerank_rank); ranks of the whole graph are computed once."""
+        if self._ranks is None:
+            scratch = Scratch(self.events.sparkSession, "ranks")
+            self._ranks = centrality.ranked(centrality.pagerank(self.calls, scratch), scratch)
+        return scoring.with_ranks(self.keystones(), self._ranks, self.definitions)
+
     def verdicts(self, controls: DataFrame | None = None, scars: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
         """One row per event with all lens values, the blended risk and the decision.
 

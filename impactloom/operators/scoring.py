@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..durable import Scratch
 from ..functions import paths
+from . import traverse
 
 TOP_FILES, TOP_OWNERS, TOP_KEYSTONES, MIN_DEGREE, TOP_CUTS, SHOWN_CUTS = 6, 5, 30, 10, 20, 5
+EXPOSED_DEPTH, SHOWN_CATCHES = 10, 6
 
 
 def _d(v: float) -> Column:
@@ -34,6 +37,19 @@ def keystones(events: DataFrame, degrees: DataFrame, definitions: DataFrame) ->
     return changed.join(F.broadcast(first), "low").select("event_id", "name", "rank")  # at most TOP_KEYSTONES rows
 
 
+def with_ranks(keys: DataFrame, ranks: DataFrame, definitions: DataFrame) -> DataFrame:
+    """Adds ``pagerank_rank`` to keystones: the best rank (id, rank) of any definition of that name, 0 without one."""
+    best = definitions.select("id", "name").join(ranks.select("id", F.col("rank").alias("place")), "id").groupBy("name").agg(F.min("place").alias("pagerank_rank"))
+    return keys.join(best, "name", "left").select("event_id", "name", "rank", F.coalesce("pagerank_rank", F.lit(0).cast("long")).alias("pagerank_rank"))
+
+
+def boundary_files(files: DataFrame, k: int = TOP_FILES, shown: int = SHOWN_CUTS) -> DataFrame:
+    """(event_id, crossed, boundary_files): of an event's first ``k`` files those in control boundaries, ``shown`` by path."""
+    top = files.where(F.col("rank") <= k).withColumn("category", paths.boundary(F.col("file_path"))).where("category IS NOT NULL")
+    return top.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_set("category")), ",").alias("crossed"),
+                                       F.array_join(F.slice(F.array_sort(F.collect_set("file_path")), 1, shown), ",").alias("boundary_files"))
+
+
 def named_cuts(cuts: DataFrame, definitions: DataFrame, seeds: DataFrame) -> DataFrame:
     """(event_id, name, isolated, parts, is_changed, place): the first cut vertices that isolate something and have a name."""
     w = Window.partitionBy("event_id").orderBy(F.desc("isolated"), F.desc("parts"), "id")
@@ -44,6 +60,33 @@ def named_cuts(cuts: DataFrame, definitions: DataFrame, seeds: DataFrame) -> Dat
     return first.withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy("r"))).where(F.col("place") <= SHOWN_CUTS).drop("r")
 
 
+def service_map(reached: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, full_path, definitions, names) of dependents (id, name, file_path, project_id)."""
+    by = reached.join(projects.select(F.col("id").alias("project_id"), "full_path"), "project_id").groupBy("project_id", "full_path")
+    return by.agg(F.countDistinct("id").alias("definitions"), F.array_join(F.array_sort(F.collect_set("name")), ",").alias("names"))
+
+
+def affected_authors(reached: DataFrame, authorship: DataFrame, users: DataFrame) -> DataFrame:
+    """(user_id, username, definitions, services): whose files hold dependents."""
+    of = reached.join(authorship.select("file_path", "user_id"), "file_path").join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
+    return of.groupBy("user_id", "username").agg(F.countDistinct("id").alias("definitions"), F.countDistinct("project_id").alias("services"))
+
+
+def exposure(symbols: DataFrame, definitions: DataFrame, calls: DataFrame, projects: DataFrame, jobs: DataFrame, scratch: Scratch, max_depth: int = EXPOSED_DEPTH) -> DataFrame:
+    """(symbol_id, project_id, full_path, last_deployment, is_deployed): projects from which a symbol (event_id, changed_symbol) can be reached."""
+    seeds = scratch.save(traverse.names_of(symbols, definitions), "names", release=False)
+    near = traverse.callers_by_depth(seeds, calls, scratch, max_depth).select("event_id", "id").unionByName(seeds).distinct()
+    own = near.join(definitions.select("id", "project_id"), "id").select("event_id", "project_id").distinct()
+    last = jobs.where("job_type = 'deploy' AND status = 'success'").groupBy("project_id").agg(F.max("created_at").alias("last_deployment"))
+    per = traverse.of_events(symbols, own).distinct().join(projects.select(F.col("id").alias("project_id"), "full_path"), "project_id").join(last, "project_id", "left")
+    return per.select(F.col("event_id").alias("symbol_id"), "project_id", "full_path", "last_deployment", F.col("last_deployment").isNotNull().alias("is_deployed"))
+
+
+def catches(verdicts: DataFrame, k: int = SHOWN_CATCHES) -> DataFrame:
+    """The ``k`` escalated or contract-breaking events with the most dependents, ties by id."""
+    return verdicts.where("action IN ('BLOCK', 'SENIOR_REVIEW') OR edit_class = 'contract-break'").orderBy(F.desc("total_dependents"), "event_id").limit(k)
+
+
 def change_failure_rate(n_keystones: Column, dependents: Column, changed_cut: Column, critical: Column, scar: Column) -> Column:
     size = F.when(dependents >= 300, 0.15).when(dependents >= 100, 0.10).when(dependents >= 25, 0.05).otherwise(0.0)
     raw = (_d(0.05) + F.least(_d(0.18), n_keystones * _d(0.06)) + size + F.when(changed_cut, 0.08).otherwise(0.0) + F.when(critical, 0.05).otherwise(0.0)

@@ -54,13 +54,6 @@ QUERIES: dict[str, str] = {
           OR lower(file_path) LIKE '%code-graph%' OR lower(file_path) LIKE '%indexer%' OR lower(file_path) LIKE '%pipeline%' OR lower(file_path) LIKE '%billing%'
           OR lower(file_path) LIKE '%config%' OR lower(file_path) LIKE '%evaluat%' THEN 0 ELSE 1 END, prod_callers DESC, id LIMIT 12""",
     "risk_map": f"WITH c AS ({_callers(6)}) SELECT id, name, file_path, total_callers, test_callers, test_callers = 0 AS untested FROM c ORDER BY total_callers DESC, id LIMIT 18",
-    "service_map": f"""
-        SELECT p.id AS project_id, p.full_path, count(DISTINCT d.id) AS definitions, SORTED_LIST(d.name) AS names FROM gl_definition t JOIN gl_calls e ON e.target_id = t.id
-        JOIN gl_definition d ON d.id = e.source_id JOIN gl_project p ON p.id = d.project_id WHERE t.name IN {SYMBOL} GROUP BY p.id, p.full_path""",
-    "affected_authors": f"""
-        SELECT u.id AS user_id, u.username, count(DISTINCT a.file_path) AS files, count(DISTINCT d.project_id) AS services FROM gl_definition t JOIN gl_calls e ON e.target_id = t.id
-        JOIN gl_definition d ON d.id = e.source_id JOIN gl_file_authorship a ON a.file_path = d.file_path JOIN gl_user u ON u.id = a.user_id
-        WHERE t.name IN {SYMBOL} GROUP BY u.id, u.username ORDER BY files DESC, u.id LIMIT 10""",
     "finding_definition": "SELECT f.id, f.severity, d.name, d.file_path FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id",
     "introducing_mr": """
         SELECT definition_id, h.merge_request_id, m.title, m.author_id FROM
@@ -91,10 +84,6 @@ QUERIES: dict[str, str] = {
     "lineage_completeness": """
         SELECT count(*) AS total, count(h.definition_id) AS with_mr, round(100.0 * CAST(count(h.definition_id) AS DOUBLE) / count(*), 2) AS pct FROM gl_definition d
         LEFT JOIN (SELECT DISTINCT definition_id FROM gl_definition_history WHERE is_intro) h ON h.definition_id = d.id""",
-    "exposure_scope": """
-        SELECT p.id AS project_id, p.full_path, max(j.created_at) AS last_deployment, count(j.created_at) > 0 AS is_deployed FROM gl_project p
-        JOIN (SELECT DISTINCT d.project_id FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id) x ON x.project_id = p.id
-        LEFT JOIN (SELECT * FROM gl_job WHERE job_type = 'deploy' AND status = 'success') j ON j.project_id = p.id GROUP BY p.id, p.full_path""",
     "finding_by_id": "SELECT id, title, severity FROM gl_finding WHERE id = 4",
     "merge_request_by_id": "SELECT id, title, state, target_branch, author_id FROM gl_merge_request WHERE id = 8",
     "changed_symbols_range": """
@@ -103,9 +92,9 @@ QUERIES: dict[str, str] = {
     "scar_files": """
         WITH normal AS (SELECT commit_id FROM git_commit_file GROUP BY commit_id HAVING count(*) <= 50),
         c AS (SELECT f.file_path, lower(g.subject) AS s FROM git_commit_file f JOIN normal n ON n.commit_id = f.commit_id JOIN git_commit g ON g.commit_id = f.commit_id
-              WHERE NOT (lower(f.file_path) LIKE '%generated%' OR lower(f.file_path) LIKE '%/gen/%')),
-        k AS (SELECT file_path, CASE WHEN s LIKE 'revert %' THEN 'revert' WHEN RX(s, '\\b(hotfix|roll ?back|emergency|incident|sev[-\\s]?\\d)\\b') THEN 'hotfix'
-              WHEN RX(s, '\\b(fix|fixe[sd]|bug|bugfix|regress\\w*|broke[n]?|crash)\\b') AND s NOT LIKE '%typo%' AND s NOT LIKE '%format%' AND s NOT LIKE '%docs%' THEN 'fix' END AS kind FROM c),
+              WHERE NOT NOISE),
+        k AS (SELECT file_path, CASE WHEN RX(s, '^\\s*revert[\\s:"]') THEN 'revert' WHEN RX(s, '\\b(hotfix|roll ?back|emergency|incident|sev[-\\s]?\\d)\\b') THEN 'hotfix'
+              WHEN RX(s, '\\b(fix|fixe[sd]|bug|bugfix|regress\\w*|broke[n]?|crash)\\b') AND NOT (EXCLUDED) THEN 'fix' END AS kind FROM c),
         t AS (SELECT file_path, count(*) AS total, count(CASE WHEN kind = 'revert' THEN 1 END) AS reverts, count(CASE WHEN kind = 'hotfix' THEN 1 END) AS hotfixes,
                      count(CASE WHEN kind = 'fix' THEN 1 END) AS fixes FROM k GROUP BY file_path)
         SELECT file_path, total, reverts, hotfixes, fixes, round(CAST(fixes AS DOUBLE) / total, 6) AS fix_density,
@@ -114,3 +103,9 @@ QUERIES: dict[str, str] = {
     "throttle_windows": """
         SELECT user_id, window_start, n, least(n, 10) AS allowed FROM (SELECT user_id, EPOCH(ts) - EPOCH(ts) % 60 AS window_start, count(*) AS n FROM events GROUP BY user_id, EPOCH(ts) - EPOCH(ts) % 60)""",
 }
+
+# Files that do not count and words that make a subject no fix.
+_NOISE = ("(lower(f.file_path) LIKE '%generated%' OR lower(f.file_path) LIKE '%/gen/%' OR lower(f.file_path) LIKE '%.gen.%' OR lower(f.file_path) LIKE '%.pb.go' OR lower(f.file_path) LIKE '%_pb2.py' OR lower(f.file_path) LIKE '%.g.dart' "
+          "OR lower(f.file_path) LIKE '%.pb.rs' OR RX(f.file_path, '(?i)(^|/)(cargo.lock|package-lock.json|yarn.lock|go.sum|pnpm-lock.yaml|poetry.lock|gemfile.lock|composer.lock)$'))")
+_EXCLUDED = " OR ".join(f"s LIKE '%{w}%'" for w in ("typo", "lint", "rustfmt", "gofmt", "clippy", "format", "fmt", "whitespace", "comment", "spelling", "changelog", "readme", "doc ", "docs", "rename", "clean up", "cleanup", "warning"))
+QUERIES["scar_files"] = QUERIES["scar_files"].replace("NOISE", _NOISE).replace("EXCLUDED", _EXCLUDED)

@@ -12,7 +12,7 @@ from ..operators import centrality, components, cutvertex, history, scoring, tra
 from ..operators.impact import Impact
 from ..sources.derive import GraphSource, for_duckdb
 from ..streaming import intake
-from . import verdicts
+from . import edits, verdicts
 from .catalogue import QUERIES, SYMBOL
 from .typed import GraphQueries
 
@@ -186,6 +186,50 @@ def backtest_tally(spark, sf_dir):
     return v.groupBy("action").agg(F.count("*").alias("n"), F.sum(F.when(F.col("edit_class") == "contract-break", 1).otherwise(0)).alias("contract_breaks"))
 
 
+def backtest_catches(spark, sf_dir):
+    """The escalated or contract-breaking events with the most dependents."""
+    return scoring.catches(event_verdicts(spark, sf_dir)).select("event_id", "action", "edit_class", "total_dependents")
+
+
+def _graph(spark, sf_dir) -> GraphQueries:
+    return GraphQueries(GraphSource(spark, sf_dir))
+
+
+def _symbol(q: GraphQueries) -> DataFrame:
+    return q.source.sql("SELECT name FROM gl_definition WHERE id = 60")
+
+
+def direct_callers(spark, sf_dir):
+    q = _graph(spark, sf_dir)
+    return q.direct_callers(_symbol(q)).select("id", "name", "fqn", "file_path", "start_line")
+
+
+def symbol_defs(spark, sf_dir):
+    q = _graph(spark, sf_dir)
+    return q.symbol_defs(_symbol(q)).select("id", "name", "inbound")
+
+
+def symbol_definition(spark, sf_dir):
+    q = _graph(spark, sf_dir)
+    return q.symbol_definition(_symbol(q)).select("id", "name", "fqn", "file_path", "start_line", "end_line", "inbound")
+
+
+def definitions_by_id(spark, sf_dir):
+    return _graph(spark, sf_dir).definitions_by_id([1, 8, 60, 61, 99999999])
+
+
+def all_call_edges(spark, sf_dir):
+    return _graph(spark, sf_dir).all_call_edges().groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+
+
+def ownership_centrality(spark, sf_dir):
+    return _graph(spark, sf_dir).ownership_centrality()
+
+
+def lineage_path(spark, sf_dir):
+    return _graph(spark, sf_dir).lineage()
+
+
 def _changes(g):
     return history.usable_changes(g.table("git_commit"), g.table("git_commit_file"))
 
@@ -218,10 +262,6 @@ def bus_factor(spark, sf_dir):
     return history.bus_factor(history.blame_owners(_blast(g), g.table("blame"))).select("event_id", F.col("bus_factor").cast("long").alias("bus_factor"), F.round("concentration", 6).alias("concentration"))
 
 
-def single_points(spark, sf_dir):
-    g = GraphSource(spark, sf_dir)
-    return history.single_points(_blast(g), g.table("blame")).select("event_id", "id", "inbound", "author_email", F.round("share", 6).alias("share"))
-
 
 def path_functions(spark, sf_dir):
     p = F.col("file_path")
@@ -237,23 +277,8 @@ def strip_comments(spark, sf_dir):
     return d.select("id", F.md5(textdiff.strip_comments(F.col("html"), F.lit("rs"))).alias("digest"))
 
 
-def edit_classes(spark, sf_dir):
-    """Edits made up from pages: some add a comment only, some change the text, some nothing at all."""
-    d = _documents(spark, sf_dir).withColumn("new", F.when(F.col("id") % 3 == 0, F.concat("html", F.lit("\n// note"))).when(F.col("id") % 3 == 1, F.concat("html", F.lit(" more"))).otherwise(F.col("html")))
-    files = d.select((F.col("id") % 20).alias("event_id"), textdiff.is_cosmetic(F.col("html"), F.col("new"), F.lit("rs")).alias("cosmetic"))
-    e = files.groupBy("event_id").agg(F.count("*").alias("files"), F.bool_and("cosmetic").alias("all_cosmetic"))
-    return e.select("event_id", "files", textdiff.edit_class(F.col("files"), F.lit(False), F.col("all_cosmetic")).alias("edit_class"))
-
-
-def signature_extract(spark, sf_dir):
-    d = GraphSource(spark, sf_dir).table("gl_definition").withColumn("text", F.format_string("// %s\npub fn %s(a: (int, int), b: str) -> bool { call(a) }", "file_path", "name"))
-    return d.select("id", textdiff.readable(textdiff.signature("text", "name")).alias("signature"))
 
 
-def function_spans(spark, sf_dir):
-    d = GraphSource(spark, sf_dir).table("gl_definition").withColumn("text", F.format_string("\n\nfn %s() {\n if x { y }\n}\n", "name"))
-    return d.select("id", F.explode(textdiff.function_spans("text")).alias("s")).select("id", "s.name", "s.start", "s.end")
-
 
 def throttle_stream(spark, sf_dir):
     """The batch form of the throttle operator that streams use."""
@@ -296,13 +321,13 @@ def _case_any(column: str, words, test: str = "contains(lower({c}), '{w}')") ->
     return "(" + " OR ".join(test.format(c=column, w=w) for w in words) + ")"
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(first: int | None = 50) -> str:
     parts = ["""n AS (SELECT source_id AS id FROM gl_calls UNION SELECT target_id FROM gl_calls), o AS (SELECT source_id AS id, count(*) AS c FROM gl_calls GROUP BY 1),
         p0 AS (SELECT id, CAST(1 AS DOUBLE) / (SELECT count(*) FROM n) AS s FROM n)"""]
     for k in range(1, PAGERANK_ROUNDS + 1):
         parts.append(f"""p{k} AS MATERIALIZED (SELECT n.id, CAST(0.15 AS DOUBLE) / (SELECT count(*) FROM n) + CAST(0.85 AS DOUBLE) * (coalesce(g.s, 0) + (SELECT coalesce(sum(p.s), 0) FROM p{k - 1} p LEFT JOIN o ON o.id = p.id WHERE o.id IS NULL) / (SELECT count(*) FROM n)) AS s
             FROM n LEFT JOIN (SELECT e.target_id AS id, sum(p.s / o.c) AS s FROM gl_calls e JOIN p{k - 1} p ON p.id = e.source_id JOIN o ON o.id = e.source_id GROUP BY 1) g ON g.id = n.id)""")
-    return f"WITH {', '.join(parts)} SELECT id, round(s, 8) AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM p{PAGERANK_ROUNDS} ORDER BY s DESC, id LIMIT 50"
+    return f"WITH {', '.join(parts)} SELECT id, round(s, 8) AS score, row_number() OVER (ORDER BY s DESC, id) AS rank FROM p{PAGERANK_ROUNDS}{f' ORDER BY s DESC, id LIMIT {first}' if first else ''}"
 
 
 _D = "CAST({} AS DOUBLE)"
@@ -349,17 +374,13 @@ SELECT id, round(risk, 6) AS risk, level, CASE WHEN level = 'CRITICAL' THEN 'BLO
 _KEYSTONES = """i AS (SELECT target_id AS id, count(DISTINCT source_id) AS n FROM gl_calls GROUP BY 1), o AS (SELECT source_id AS id, count(DISTINCT target_id) AS n FROM gl_calls GROUP BY 1),
     t AS (SELECT d.id, lower(name) AS name, row_number() OVER (ORDER BY coalesce(i.n, 0) + coalesce(o.n, 0) DESC, d.id) AS rank FROM gl_definition d LEFT JOIN i ON i.id = d.id LEFT JOIN o ON o.id = d.id WHERE coalesce(i.n, 0) + coalesce(o.n, 0) > 10),
     f AS (SELECT name, min(rank) AS rank FROM t WHERE rank <= 30 GROUP BY name)"""
-_MARKED = r"""normal AS (SELECT commit_id FROM git_commit_file GROUP BY commit_id HAVING count(*) <= 50),
-    subjects AS (SELECT f.file_path, f.commit_id, g.seq, lower(g.subject) AS s FROM git_commit_file f JOIN normal n ON n.commit_id = f.commit_id JOIN git_commit g ON g.commit_id = f.commit_id
-        WHERE NOT (lower(f.file_path) LIKE '%generated%' OR lower(f.file_path) LIKE '%/gen/%')),
-    marked AS (SELECT file_path, commit_id, seq, CASE WHEN s LIKE 'revert %' THEN 'revert' WHEN regexp_matches(s, '\b(hotfix|roll ?back|emergency|incident|sev[-\s]?\d)\b') THEN 'hotfix'
-        WHEN regexp_matches(s, '\b(fix|fixe[sd]|bug|bugfix|regress\w*|broke[n]?|crash)\b') AND s NOT LIKE '%typo%' AND s NOT LIKE '%format%' AND s NOT LIKE '%docs%' THEN 'fix' END AS kind FROM subjects)"""
+_MARKED = QUERIES["scar_files"][QUERIES["scar_files"].index("normal AS"):QUERIES["scar_files"].index("t AS (SELECT file_path")].strip().rstrip(",").replace("SELECT f.file_path, lower(g.subject) AS s", "SELECT f.file_path, f.commit_id, g.seq, lower(g.subject) AS s").replace("k AS (SELECT file_path,", "marked AS (SELECT file_path, commit_id, seq,")
 _INTRO = "SELECT definition_id, merge_request_id AS mr_id FROM gl_definition_history QUALIFY row_number() OVER (PARTITION BY definition_id ORDER BY created_at, merge_request_id) = 1"
 
 _FUNCTIONS: list[Query] = [transitive_dependents, transitive_by_depth, batch_dependents, affected_files, affected_modules, test_prod_split, walk_depth_stats, closure_nodes, induced_edges,
                            neighbourhood_weights, pagerank_top, call_components, chokepoints, keystones, ownership_lens, impact_confidence, compliance_boundaries, risk_and_gate, event_verdicts,
-                           backtest_tally, scar_prior, scar_receipts, blast_definitions, blame_ownership, bus_factor, single_points, path_functions, strip_comments, edit_classes,
-                           signature_extract, function_spans, throttle_stream, diff_symbols, lineage_lens, composed_grid, typed_lineage, typed_traversal]
+                           backtest_tally, backtest_catches, scar_prior, scar_receipts, blast_definitions, blame_ownership, bus_factor, path_functions, strip_comments, throttle_stream,
+                           direct_callers, symbol_defs, symbol_definition, definitions_by_id, all_call_edges, ownership_centrality, lineage_path, diff_symbols, lineage_lens, composed_grid, typed_lineage, typed_traversal]
 
 _SQL: dict[str, str] = {
     "transitive_dependents": f"WITH RECURSIVE {_SEED}, {_WALK} SELECT count(DISTINCT d.id) AS total_dependents, count(DISTINCT d.project_id) AS affected_services, CAST(max(depth) AS BIGINT) AS max_depth FROM callers c JOIN gl_definition d ON d.id = c.id",
@@ -394,24 +415,14 @@ _SQL: dict[str, str] = {
     "scar_receipts": f"""WITH {_MARKED}, newest AS (SELECT * FROM marked WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY seq) <= 5)
         SELECT file_path, row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) AS place, commit_id, kind FROM newest
         QUALIFY row_number() OVER (PARTITION BY file_path ORDER BY CASE kind WHEN 'revert' THEN 0 WHEN 'hotfix' THEN 1 ELSE 2 END, seq) <= 3""",
-    # The pattern takes parentheses and braces nested once, which is what these texts hold.
-    "signature_extract": r"""SELECT id, trim(regexp_replace(regexp_extract(text, '\b(?:fn|def|function)\s+' || name || '\s*\((?:[^()]|\([^()]*\))*\)[^{:;]*'), '\s+', ' ', 'g')) AS signature
-        FROM (SELECT id, name, '// ' || file_path || chr(10) || 'pub fn ' || name || '(a: (int, int), b: str) -> bool { call(a) }' AS text FROM gl_definition)""",
-    "function_spans": r"""SELECT id, regexp_extract(body, '^fn\s+(\w+)', 1) AS name, first AS start, first + CAST(len(body) - len(replace(body, chr(10), '')) AS INTEGER) AS "end"
-        FROM (SELECT id, body, CAST(1 + len(head) - len(replace(head, chr(10), '')) AS INTEGER) AS first FROM (SELECT id, body, left(text, strpos(text, body) - 1) AS head
-        FROM (SELECT id, text, regexp_extract(text, 'fn\s+\w+[^{]*\{(?:[^{}]|\{[^{}]*\})*\}') AS body FROM (SELECT id, chr(10) || chr(10) || 'fn ' || name || '() {' || chr(10) || ' if x { y }' || chr(10) || '}' || chr(10) AS text FROM gl_definition))))""",
     "scar_prior": f"""WITH {_NEAR}, sc AS ({_SCARS.strip()}) SELECT event_id, count(*) AS contributors, round(least({_D.format(0.12)}, sum(weight * intensity) * {_D.format(0.1)}), 6) AS prior, sum(weight * intensity) * {_D.format(0.1)} >= {_D.format(0.12)} AS capped
         FROM near JOIN sc ON sc.file_path = near.path WHERE intensity > 0 GROUP BY 1""",
     "blast_definitions": f"WITH RECURSIVE {_BLAST} SELECT event_id, id, inbound, round(weight, 6) AS weight FROM bl",
     "blame_ownership": f"WITH RECURSIVE {_BLAST} SELECT event_id, author_email, round(share, 6) AS share FROM sh",
     "bus_factor": f"WITH RECURSIVE {_BLAST} SELECT event_id, coalesce(min(CASE WHEN cum > 0.5 THEN place END), count(*)) AS bus_factor, round(max(CASE WHEN place = 1 THEN share END), 6) AS concentration FROM cu GROUP BY 1",
-    "single_points": f"""WITH RECURSIVE {_BLAST}, li AS (SELECT event_id, bl.id, inbound, author_email, lines / sum(lines) OVER (PARTITION BY event_id, bl.id) AS share, row_number() OVER (PARTITION BY event_id, bl.id ORDER BY lines DESC, author_email) AS r FROM bl JOIN blame ON definition_id = bl.id)
-        SELECT event_id, id, inbound, author_email, round(share, 6) AS share FROM li WHERE r = 1 AND share >= 0.7 QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY inbound DESC, share DESC, id) = 1""",
     "path_functions": f"""SELECT id, array_to_string((string_split(file_path, '/'))[1:2], '/') AS module, {_case_any('file_path', paths.CRITICAL)} AS critical, {_TEST_SQL} AS test, {_case_any('file_path', ('generated', '/gen/'))} AS generated,
         CASE WHEN {_case_any('file_path', paths.SECURITY)} THEN 'security' WHEN {_case_any('file_path', paths.PAYMENTS)} THEN 'payments' END AS boundary FROM gl_definition""",
     "strip_comments": r"SELECT page_id AS id, md5(regexp_replace(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g')) AS digest FROM pages",
-    "edit_classes": r"""SELECT event_id, count(*) AS files, CASE WHEN bool_and(same) THEN 'cosmetic' ELSE 'body-edit' END AS edit_class FROM (SELECT page_id % 20 AS event_id, page_id % 3 <> 1 OR
-        regexp_replace(regexp_replace(regexp_replace(html, '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') = regexp_replace(regexp_replace(regexp_replace(html || ' more', '/\*.*?\*/', '', 'gs'), '//[^\n]*', '', 'g'), '\s+', '', 'g') AS same FROM pages) GROUP BY 1""",
     "throttle_stream": QUERIES["throttle_windows"],
     "diff_symbols": """SELECT DISTINCT e.id AS event_id, d.name AS changed_symbol FROM gl_definition e JOIN gl_definition d ON d.file_path = e.file_path
         AND d.start_line <= e.start_line + greatest(e.id % 3, 1) - 1 AND d.end_line >= e.start_line""",
@@ -430,8 +441,11 @@ _SQL: dict[str, str] = {
 }
 
 
+_SQL |= edits.sql(_EVENT_WALK, _NEAR, _SCARS.strip(), _MARKED, _BLAST, _KEYSTONES, _pagerank_sql(None), _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
+
+
 def queries() -> dict[str, Query]:
-    return {**{name: _named(name) for name in QUERIES}, **{f.__name__: f for f in _FUNCTIONS}}
+    return {**{name: _named(name) for name in QUERIES}, **{f.__name__: f for f in (*_FUNCTIONS, *edits.FUNCTIONS)}}
 
 
 def oracle_sql() -> dict[str, str]:

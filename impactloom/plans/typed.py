@@ -74,10 +74,10 @@ class GraphQueries:
         called = self.source.table("gl_calls").groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("inbound"))
         return self._named(symbols).select("id", "name").join(called, "id", "left").fillna({"inbound": 0})
 
-    def symbol_definition(self, symbol: str) -> DataFrame:
+    def symbol_definition(self, symbol: str | DataFrame) -> DataFrame:
         """The namesake that is called most, with its place in the code."""
         d = self.source.table("gl_definition").select("id", "fqn", "file_path", "start_line", "end_line", "definition_type", "project_id")
-        return self.symbol_defs([symbol]).orderBy(F.desc("inbound"), "id").limit(1).join(d, "id")
+        return self.symbol_defs(symbol if isinstance(symbol, DataFrame) else [symbol]).orderBy(F.desc("inbound"), "id").limit(1).join(d, "id")
 
     def subgraph_edges(self, symbols: Names) -> DataFrame:
         """(source_id, target_id, source_is_root, target_is_root): calls within the closure, multiplicity kept."""

@@ -116,7 +116,7 @@ class Scored:
             _listed("symbols", first(self.changed.select("event_id", "changed_symbol").distinct(), ["changed_symbol"], SHOWN_SYMBOLS), "changed_symbol"),
             _listed("files", i.files.where(F.col("rank") <= scoring.TOP_FILES).withColumnRenamed("rank", "place").withColumn("critical", paths.is_critical(path)), "file_path", "affected", "critical"),
             _listed("areas", scoring.owner_areas(i.files).where(F.col("rank") <= scoring.TOP_OWNERS).withColumnRenamed("rank", "place"), "area", "definitions"),
-            _listed("keystones", i.keystones().withColumnRenamed("rank", "place"), "name"),
+            _listed("keystones", i.ranked_keystones().withColumnRenamed("rank", "place"), "name", "pagerank_rank"),
             _listed("cuts", i.cuts(), "name", "isolated", "is_changed"),
             _listed("callers", first(callers, ["file_path", "start_line", "id"], SHOWN_CALLERS), "name", "file_path", "start_line"),
             _listed("lineage", self.lineage.withColumnRenamed("nth", "place"), "finding_id", "title", "severity", "affected_symbol", "mr_id", "author", "project", "confidence"),
@@ -142,10 +142,8 @@ def change_of(diffs: DataFrame, definitions: DataFrame) -> DataFrame:
     lines = git.diff_headers(diffs)
     start = F.regexp_extract("header", r"\+(\d+)", 1).try_cast("long")
     count = F.greatest(F.coalesce(F.nullif(F.regexp_extract("header", r"\+\d+,(\d+)", 1), F.lit("")).try_cast("long"), F.lit(1)), F.lit(1))
-    base = F.regexp_replace(F.translate("path", "\\", "/"), r"^[./]+", "")
-    span = lines.where(start.isNotNull()).groupBy("event_id", base.alias("base")).agg(F.min(start).alias("lo"), F.max(start + count - 1).alias("hi"))
-    met = definitions.join(span, (definitions["file_path"] == span["base"]) & (definitions["start_line"] <= span["hi"]) & (definitions["end_line"] >= span["lo"]))
-    met = met.where("name IS NOT NULL").select("event_id", F.col("name").alias("changed_symbol")).distinct()
+    span = lines.where(start.isNotNull()).groupBy("event_id", textdiff.plain_path(F.col("path")).alias("base")).agg(F.min(start).alias("lo"), F.max(start + count - 1).alias("hi"))
+    met = textdiff.on_same_file(definitions, span).where("start_line <= hi AND end_line >= lo AND name IS NOT NULL").select("event_id", F.col("name").alias("changed_symbol")).distinct()
     added = git.added_lines(diffs).select("event_id", textdiff.header_symbols(F.col("line")).alias("changed_symbol")).where("changed_symbol <> ''").distinct()
     return met.unionByName(added.join(met.select("event_id").distinct(), "event_id", "left_anti"))
 

@@ -79,3 +79,19 @@ class GraphTables:
     def alive(self) -> bool:
         """Whether there are definitions; a source that cannot be read raises."""
         return not self.table("gl_definition").isEmpty()
+
+
+def first_alive(*sources):
+    """The first source that can be read and has definitions; each is asked once, in order.
+
+    If none can, the error names what each one said; there is no made-up source behind them.
+    """
+    said = []
+    for source in sources:
+        try:
+            if source.alive():
+                return source
+            said.append(f"{type(source).__name__}: no definitions")
+        except Exception as error:  # noqa: BLE001  whatever a source raises, the next one is asked
+            said.append(f"{type(source).__name__}: {error}")
+    raise ValueError("no source can be read: " + "; ".join(said))

@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..durable import Scratch
+from ..operators import centrality
+from ..operators.impact import Impact
+
 EVENT_SCHEMA = "event_id long, event_type string, timestamp timestamp, payload struct<mr_id:long,changed_symbols:array<string>,edit_class:string,severity:string>"
 THROTTLE_SECONDS, THROTTLE_LIMIT = 60, 10
 
@@ -43,6 +47,43 @@ def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     return latest(spark.read.parquet(f"{folder}/batch=*"), keys, "batch_id")
 
 
+def compact(spark: SparkSession, folder: str, keys: list[str]) -> None:
+    """Merges all versions but the newest into one, so that readers need not go through the whole history.
+
+    The merged table takes the number of the last version in it and is written beside it first; a
+    compaction that breaks off leaves rows twice, which the newest row of each key makes harmless.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    versions = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if s.getPath().getName().startswith("batch="))[:-1]
+    if len(versions) < 2:
+        return
+    at = lambda v: f"{folder}/batch={v}"
+    latest(spark.read.parquet(*map(at, versions)), keys, "batch_id").write.mode("overwrite").parquet(f"{folder}/merging")
+    files.delete(jvm.org.apache.hadoop.fs.Path(at(versions[-1])), True)
+    files.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}/merging"), jvm.org.apache.hadoop.fs.Path(at(versions[-1])))
+    for v in versions[:-1]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(at(v)), True)
+
+
+class GraphState:
+    """What batches of one graph share: PageRank ranks, computed with the first batch and kept until the graph changes."""
+
+    def __init__(self, source) -> None:
+        self.source, self._ranks = source, None
+
+    def ranks(self) -> DataFrame:
+        if self._ranks is None:
+            scratch = Scratch(self.source.spark, "state")
+            self._ranks = scratch.save(centrality.ranked(centrality.pagerank(self.source.table("gl_calls"), scratch), scratch), "kept")
+        return self._ranks
+
+    def impact(self, batch: DataFrame) -> Impact:
+        """The shared results of one batch of (event_id, changed_symbol, edit_class)."""
+        return Impact(batch, self.source.table("gl_definition"), self.source.table("gl_calls"), self.ranks())
+
+
 def score_stream(events: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
     """Scores each micro-batch of events with one job for all of them and upserts the verdicts."""
 
