@@ -351,6 +351,24 @@ def test_near_vectors_equal_brute_force(spark):
     assert all(r[3] == (r[0] == r[2]) for r in got)
 
 
+def test_near_vectors_recall_on_many_vectors(spark):
+    """12,000 vectors: near pairs of all cosines, and one group whose vectors all link; very long and very short ones too."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(12_000, 64))
+    for a in range(0, 6000, 3):
+        x[a + 1] = x[a] + rng.uniform(0.1, 0.6) * rng.normal(size=64)
+        x[a + 2] = x[a + 1] + rng.uniform(0.1, 0.6) * rng.normal(size=64)
+    x[8000:9500] = x[8000] + 0.2 * rng.normal(size=(1500, 64))
+    x[0:3] *= 1e200
+    x[3:6] *= 1e-250
+    got = sorted(map(tuple, near_vectors.near_vector_components(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()))
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    links = np.array([(unit[lo : lo + 1000] @ unit.T >= 0.9).sum(axis=1) - 1 for lo in range(0, len(x), 1000)]).ravel()
+    found = np.array([r[1] for r in got])
+    assert (found <= links).all() and found.sum() >= 0.99 * links.sum() and found[:6000].sum() >= 0.99 * links[:6000].sum() and links[:6000].sum() > 3000
+
+
 def test_url_rules_and_link_propagation(spark):
     html = lambda *hosts: " ".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
     rows = [(1, "https://good.org/a", html("fine.net", "FINE.net")), (2, "http://example.org/es/1", html("x.net")), (3, "https://WWW.example.ORG/en/12?q#f", ""), (4, "https://shop.com/de/1", None),
