@@ -320,7 +320,8 @@ def awkward_vectors():
     return rows
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [4096, 8])
+def test_top_k_equals_brute_force(spark, block):
     rows = awkward_vectors()
     good = {(i, tuple(np.floor(256 * np.array(v, dtype=np.float64)))) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
     want = []
@@ -328,7 +329,7 @@ def test_top_k_equals_brute_force(spark):
         if q % 50 == 0:
             scored = sorted((-int(np.dot(a, b)), i) for i, b in good if i != q and len(a) == len(b))[:5]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored)]
-    assert sorted(map(tuple, topk.exact_top_k(spark, vectors(spark, rows)).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.exact_top_k(spark, vectors(spark, rows), block=block).collect())) == sorted(want)
 
 
 def test_near_vectors_equal_brute_force(spark):
