@@ -151,7 +151,7 @@ class Mix:
             "idx int, source string, source_size long, target double, passes int")
         self.n_sources = len(rows)
         named = self.sized.join(self._few(self.sources), self.sized["source"].eqNullSafe(self.sources["source"])).select("idx", "doc_id", "tie", "size")
-        placed = running_totals(named.where("size > 0"), "idx", ["doc_id", "tie", "size"], "size", "start")
+        placed = running_totals(named.where("size > 0"), scratch, "idx", ["doc_id", "tie", "size"], "size", "start")
         self.segments = (placed.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})")))
                          .select("idx", "block", "doc_id", "tie", "start", "size",
                                  F.greatest(F.col("start") - F.col("block") * block, F.lit(0)).alias("lo"),

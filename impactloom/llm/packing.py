@@ -139,7 +139,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         by_length.setdefault(length, []).append(tuple(run))
     plan = spark.createDataFrame([(length, parts) for length, parts in by_length.items()],
                                  "length int, plan array<struct<rank:bigint,count:bigint,sequence:bigint,offset:bigint>>")
-    ranked = running_totals(pieces.withColumn("one", F.lit(1)), "length", ["doc_id", "piece", "tie", "start", "ids_crc32"], "one", "rank")
+    ranked = running_totals(pieces.withColumn("one", F.lit(1)), scratch, "length", ["doc_id", "piece", "tie", "start", "ids_crc32"], "one", "rank")
     # One row for each length: bounded by ``limit``, so it can go to every executor.
     slot = F.element_at(F.filter("plan", lambda r: (r["rank"] <= F.col("rank")) & (F.col("rank") < r["rank"] + r["count"])), 1)
     return (ranked.join(F.broadcast(plan), "length").withColumn("slot", slot)

@@ -2,7 +2,7 @@
 
 A line's quote level is its number of leading ``>`` marks (blanks between them allowed).  Maximal
 runs of lines with one level above 0 are *quoted passages*; the lines of level 0 are the message's
-own text.  Passages are normalised (marks off, case folded, runs of blanks as one) and hashed.  What
+own text, but for a line like "On Monday X wrote:" right before a quote.  Passages are normalised (marks off, case folded, runs of blanks as one) and hashed.  What
 a passage quotes is looked up by (conversation, hash) among the own texts of messages: the whole own
 text, its paragraphs, its lines and its pairs of neighbouring lines; the earliest message that has it is
 the original.  A passage that no earlier message has as one (a trimmed quote) is looked up by its own
@@ -14,7 +14,7 @@ deeper levels are links as well.
 A reply comes after its original, so threads - connected messages - ordered by their first turn, and
 messages by turn within them, give the conversations in reply order, without quotes.
 
-Defined cases: null and empty texts are messages without own text; a message with no link is a
+Defined cases: texts of any length are read whole; null and empty texts are messages without own text; a message with no link is a
 thread of its own; a passage found only in the message itself or in later ones links with nothing;
 rows that share conversation and turn are one message for linking and get a row each; null
 conversation ids form one conversation and null turns come first; an empty table gives an empty
@@ -36,6 +36,8 @@ from .scratch import Scratch
 
 _MARKS = re.compile(r"\A[ \t]*((?:>[ \t]?)+)")
 _BLANKS = re.compile(r"\s+")
+#: A line that says whom the following quote is from.
+_ANNOUNCED = re.compile(r"[^>:]{0,120}(?::\d\d[^>:]{0,120}){0,2}\b(?:wrote|writes|schrieb|a écrit|escribió|escribe)[ \t]*:[ \t]*\Z", re.IGNORECASE)
 
 
 def normalise(text: str) -> str:
@@ -43,7 +45,7 @@ def normalise(text: str) -> str:
 
 
 def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
-    """(own text, [(level, quoted passage)]) of a message."""
+    """(own text, [(level, quoted passage)]) of a message; lines that announce a quote are in neither."""
     own, quoted, level = [], [], 0
     for line in text.split("\n"):
         m = _MARKS.match(line)
@@ -53,6 +55,10 @@ def split_quotes(text: str) -> tuple[str, list[tuple[int, str]]]:
         elif depth == level:
             quoted[-1][1].append(rest)
         else:
+            if not level:
+                last = next((i for i in range(len(own) - 1, max(len(own) - 3, -1), -1) if own[i].strip()), None)
+                if last is not None and _ANNOUNCED.match(own[last][:400]):
+                    del own[last:]
             quoted.append((depth, [rest]))
         level = depth
     return "\n".join(own).strip("\n"), [(d, "\n".join(lines)) for d, lines in quoted]

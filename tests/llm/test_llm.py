@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from impactloom.llm import cases, mixing, near_vectors, ngram_join, packing, pii, quality, queries, quotes, substring_dedup, textscan, topk, url_filter
 
+from impactloom.llm.scratch import Scratch
+
 SF = "/root/testdata/sf0.001"
 WORD = re.compile("[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, th string, size string, _id string, tie string, n string"
@@ -157,8 +159,8 @@ def test_mixing_does_not_rest_on_broadcast_sources(spark, monkeypatch):
 def test_running_totals(spark, window_rows):
     from impactloom.llm.ranks import running_totals
 
-    rows = [(k % 3 if k % 2 else 0, k, k % 7) for k in range(500)]
-    got = running_totals(spark.createDataFrame(rows, "g int, k int, v int"), "g", ["k"], "v", "before", 16, window_rows).collect()
+    rows = [(k % 3 if k % 2 else 0, k, k % 7) for k in range(500)] + [(1, 7000, 3)] * 90
+    got = running_totals(spark.createDataFrame(rows, "g int, k int, v int"), Scratch(spark, "t"), "g", ["k"], "v", "before", 16, window_rows).collect()
     for g in range(3):
         at = 0
         own = sorted((r.before, r.before + r.v) for r in got if r.g == g)
@@ -413,6 +415,30 @@ def test_quotes(spark):
     assert len(got) == len(rows)
 
 
+def test_quotes_equal_a_plain_search(spark):
+    """Whole and partial quotes of random messages against a search that looks through all earlier ones."""
+    r = random.Random(9)
+    messages, rows = {}, []
+    for conv in range(6):
+        for turn in range(14):
+            own = [f"c{conv if r.random() < 0.9 else 0} word{r.randrange(10**6)} line {k}" for k in range(r.randrange(1, 6))]
+            quoted, parents = [], []
+            if turn and r.random() < 0.8:
+                origin = r.randrange(turn)
+                lines = messages[conv, origin]
+                lo = r.randrange(len(lines))
+                part = lines[lo : r.randrange(lo + 1, len(lines) + 1)]
+                quoted = [*([f"On Monday at 10:{turn:02d}, P{origin} wrote:"] if r.random() < 0.5 else []), *(r.choice(["> ", ">", " > "]) + x.upper() for x in part)]
+                parents = [t for t in range(turn) if all(p in messages[conv, t] for p in part)]
+            messages[conv, turn] = own
+            rows.append((conv, turn, "\n".join([*quoted, *own]), min(parents, default=None), "\n".join(own)))
+    d = spark.createDataFrame([(c, t, "x", text) for c, t, text, _, _ in rows], "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): (x.parent_turn, x.own_text) for x in quotes.link_quotes(spark, d).collect()}
+    assert got == {(c, t): (parent, own) for c, t, _, parent, own in rows}
+    long_ = "a " * 400_000 + "\n" + "> " * 50_000
+    assert quotes.split_quotes(long_)[1][0][0] == 50_000 and quotes.split_quotes("I wrote: x\n> q\nok")[0] == "I wrote: x\nok"
+
+
 def test_quality_learns_and_ignores_ids(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(spark, docs, labels)
@@ -473,4 +499,9 @@ def test_pipeline_stages(spark):
     assert set(ids) == {i for i, c in comps.items() if i == c} and ids.count(16) == 1
     masked = corpus_pipeline.mask_personal_data(spark, documents(spark, [(1, "write a@b.co now", "a"), (2, None, "a")]), SF).orderBy("doc_id").collect()
     assert [(r.text, r.n_chars) for r in masked] == [("write [EMAIL] now", 17), (None, None)]
+    assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= docs.count()
+    repeats = documents(spark, [(None, None, None)] * 5 + [(None, base := "one two three four five six seven", "a")] * 5 + [(3, base, "b")])
+    assert corpus_pipeline.drop_near_duplicates(spark, repeats, SF).count() == 6
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
     assert corpus_pipeline.run(spark, SF).count() > 0
