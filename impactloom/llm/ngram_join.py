@@ -296,8 +296,9 @@ def _link_tiles(percent: int):
 
 
 def _tile_links(tiles: DataFrame, percent: int, n_groups: int) -> DataFrame:
-    """Links of all tiles; small tiles share a task's group."""
-    return (tiles.withColumn("g", F.pmod(F.xxhash64("cc", "t1", "t2"), F.lit(n_groups)))
+    """Links of all tiles; tiles of components of one block share a task's group, others have one each."""
+    tile = F.xxhash64("cc", "t1", "t2")
+    return (tiles.withColumn("g", F.when(F.col("alone"), tile).otherwise(F.pmod(tile, F.lit(n_groups)))).drop("alone")
             .groupBy("g").applyInPandas(_link_tiles(percent), "a long, b long"))
 
 
@@ -307,7 +308,7 @@ def _ring_tiles(members: DataFrame) -> DataFrame:
     at = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     return (members.withColumn("blocks", blocks).withColumn("at", at)
             .withColumn("t1", F.explode(F.array_distinct(F.array("at", F.expr("pmod(at - 1, blocks)")))))
-            .select("cc", "t1", F.lit(-1).alias("t2"), "node", "n", "shingles", F.col("node").alias("part")))
+            .select("cc", "t1", F.lit(-1).alias("t2"), "node", "n", "shingles", F.col("node").alias("part"), (F.col("blocks") > 1).alias("alone")))
 
 
 def _rest_tiles(open_: DataFrame, parts: DataFrame) -> DataFrame:
@@ -322,7 +323,7 @@ def _rest_tiles(open_: DataFrame, parts: DataFrame) -> DataFrame:
     own = rows.withColumn("at", F.col("at") + F.when(F.col("side") == 1, F.col("b0")).otherwise(0))
     other = F.expr("CASE WHEN side = 1 THEN sequence(0, b0 - 1) ELSE sequence(0, b0 + b1 - 1) END")
     return (own.withColumn("with", F.explode(other))
-            .select("cc", F.least("at", "with").alias("t1"), F.greatest("at", "with").alias("t2"), "node", "n", "shingles", "part"))
+            .select("cc", F.least("at", "with").alias("t1"), F.greatest("at", "with").alias("t2"), "node", "n", "shingles", "part", F.lit(True).alias("alone")))
 
 
 def _linked_sets(spark: SparkSession, docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
