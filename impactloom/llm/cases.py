@@ -20,6 +20,11 @@ def shown(column: str) -> Column:
     return F.nullif(F.col(column), F.lit(NULL_ID)).alias(column)
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z as a-z, other letters unchanged; the general function is used only where all bytes are ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def if_small(df: DataFrame, rows: int, most: int = MOST_BROADCAST) -> DataFrame:
     """``df``, which has so many rows, to be broadcast if those are few, else left to the optimiser."""
     return F.broadcast(df) if rows <= most else df
