@@ -8,6 +8,8 @@ from bisect import bisect_left
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from . import spans
+
 # Extensions by comment style, the forms of definitions, and how dangerous an edit is.
 C_LIKE = ("rs", "c", "cc", "cpp", "h", "hpp", "java", "js", "jsx", "ts", "tsx", "go", "kt", "swift", "scala")
 HASH_LIKE = ("py", "rb", "sh", "pl")
@@ -106,24 +108,10 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(F.translate(path, "\\", "/"), r"^[./]+", "")
 
 
-def same_file(indexed: Column, changed: Column) -> Column:
-    """Whether an indexed path is a changed one or ends with the whole of it, as under another root."""
-    return (indexed == changed) | indexed.endswith(F.concat(F.lit("/"), changed))
-
-
-def on_same_file(definitions: DataFrame, spans: DataFrame) -> DataFrame:
-    """Definitions with the rows of ``spans`` (base, ..) of their file; they meet by the last part of the path."""
-    indexed = F.translate("file_path", "\\", "/")
-    last = lambda path: F.element_at(F.split(path, "/"), -1)
-    d = definitions.withColumn("_last", last(indexed))
-    return d.join(spans.withColumn("_last", last(F.col("base"))), "_last").where(same_file(indexed, F.col("base"))).drop("_last")
-
-
 def changed_symbols(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     """Definitions whose span overlaps the range of changed lines of their file."""
     span = lines.groupBy(plain_path(F.col("path")).alias("base")).agg(F.min("line").alias("lo"), F.max("line").alias("hi"))
-    d = definitions.where("start_line IS NOT NULL AND end_line IS NOT NULL")
-    return on_same_file(d, span).where("start_line <= hi AND end_line >= lo").select("name", "file_path").distinct()
+    return spans.meeting(definitions, span).select("name", "file_path").distinct()
 
 
 def changed_functions(files: DataFrame, hunks: DataFrame) -> DataFrame:

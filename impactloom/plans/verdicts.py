@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions import paths, textdiff
+from ..functions import paths, spans, textdiff
 from ..operators import scoring
 from ..operators.impact import Impact
 from ..streaming.intake import route
@@ -143,7 +143,7 @@ def change_of(diffs: DataFrame, definitions: DataFrame) -> DataFrame:
     start = F.regexp_extract("header", r"\+(\d+)", 1).try_cast("long")
     count = F.greatest(F.coalesce(F.nullif(F.regexp_extract("header", r"\+\d+,(\d+)", 1), F.lit("")).try_cast("long"), F.lit(1)), F.lit(1))
     span = lines.where(start.isNotNull()).groupBy("event_id", textdiff.plain_path(F.col("path")).alias("base")).agg(F.min(start).alias("lo"), F.max(start + count - 1).alias("hi"))
-    met = textdiff.on_same_file(definitions, span).where("start_line <= hi AND end_line >= lo AND name IS NOT NULL").select("event_id", F.col("name").alias("changed_symbol")).distinct()
+    met = spans.meeting(definitions.where("name IS NOT NULL"), span).select("event_id", F.col("name").alias("changed_symbol")).distinct()
     added = git.added_lines(diffs).select("event_id", textdiff.header_symbols(F.col("line")).alias("changed_symbol")).where("changed_symbol <> ''").distinct()
     return met.unionByName(added.join(met.select("event_id").distinct(), "event_id", "left_anti"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -37,34 +39,95 @@ def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+class Versions:
+    """Keyed rows in immutable version folders, named by numbered manifests.
+
+    A manifest lists (first batch, last batch, folder) and is written beside its place, then renamed to a
+    number that must be new; that is the only step that readers can see.  Folders that no manifest names
+    are left over from steps that broke off, and are deleted by the next compaction.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, part: str) -> list[str]:
+        at = self._path(f"{self.folder}/{part}")
+        return sorted(s.getPath().getName() for s in self._files.listStatus(at)) if self._files.exists(at) else []
+
+    def _number(self) -> int:
+        return max((int(n) for n in self._names("manifest") if n.isdigit()), default=0)
+
+    def entries(self) -> list[tuple[int, int, str]]:
+        """What the newest manifest names."""
+        number = self._number()
+        if not number:
+            return []
+        text = "".join(r.value for r in self.spark.read.text(f"{self.folder}/manifest/{number:012d}", wholetext=True).collect())
+        return [tuple(x) for x in json.loads(text)]
+
+    def _write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex
+        rows.write.parquet(f"{self.folder}/data/{name}")
+        return name
+
+    def _commit(self, entries: list[tuple[int, int, str]]) -> None:
+        draft, number = f"{self.folder}/manifest/draft-{uuid.uuid4().hex}", self._number() + 1
+        stream = self._files.create(self._path(draft), False)
+        stream.write(bytearray(json.dumps(sorted(entries)).encode()))
+        stream.close()
+        if not self._files.rename(self._path(draft), self._path(f"{self.folder}/manifest/{number:012d}")):
+            raise RuntimeError(f"another writer has made manifest {number} of {self.folder}")
+
+    def upsert(self, rows: DataFrame, batch: int) -> None:
+        """A batch's rows as a version; a replayed batch takes the place of its own version, or is left out once that is compacted."""
+        held = self.entries()
+        if any(lo <= batch <= hi and lo < hi for lo, hi, _ in held):
+            return
+        name = self._write(rows.withColumn("batch_id", F.lit(batch).cast("long")))
+        self._commit([*(e for e in held if e[:2] != (batch, batch)), (batch, batch, name)])
+
+    def rows(self) -> DataFrame:
+        """All versions' rows."""
+        held = self.entries()
+        if not held:
+            raise FileNotFoundError(f"no version of {self.folder} is complete")
+        return self.spark.read.parquet(*(f"{self.folder}/data/{name}" for _, _, name in held))
+
+    def compact(self, keys: list[str]) -> None:
+        """All versions but the newest become one; what no manifest names any more is deleted last."""
+        held = sorted(self.entries())
+        old = held[:-1]
+        if len(old) > 1:
+            merged = latest(self.spark.read.parquet(*(f"{self.folder}/data/{name}" for _, _, name in old)), keys, "batch_id")
+            self._commit([(old[0][0], old[-1][1], self._write(merged)), held[-1]])
+        self._clear()
+
+    def _clear(self) -> None:
+        named, number = {name for _, _, name in self.entries()}, self._number()
+        for name in self._names("data"):
+            if name not in named:
+                self._files.delete(self._path(f"{self.folder}/data/{name}"), True)
+        for name in self._names("manifest"):
+            if not name.isdigit() or int(name) < number:
+                self._files.delete(self._path(f"{self.folder}/manifest/{name}"), True)
+
+
 def upsert(spark: SparkSession, rows: DataFrame, folder: str, keys: list[str], batch: int) -> None:
-    """Keyed upsert into Parquet versions: a replayed batch rewrites its own version only."""
-    rows.withColumn("batch_id", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    """Keyed upsert of one batch; see ``Versions``."""
+    Versions(spark, folder).upsert(rows, batch)
 
 
 def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
     """What the upserts amount to: the newest row of each key."""
-    return latest(spark.read.parquet(f"{folder}/batch=*"), keys, "batch_id")
+    return latest(Versions(spark, folder).rows(), keys, "batch_id")
 
 
 def compact(spark: SparkSession, folder: str, keys: list[str]) -> None:
-    """Merges all versions but the newest into one, so that readers need not go through the whole history.
-
-    The merged table takes the number of the last version in it and is written beside it first; a
-    compaction that breaks off leaves rows twice, which the newest row of each key makes harmless.
-    """
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName().split("=")[1]) for s in files.listStatus(root) if s.getPath().getName().startswith("batch="))[:-1]
-    if len(versions) < 2:
-        return
-    at = lambda v: f"{folder}/batch={v}"
-    latest(spark.read.parquet(*map(at, versions)), keys, "batch_id").write.mode("overwrite").parquet(f"{folder}/merging")
-    files.delete(jvm.org.apache.hadoop.fs.Path(at(versions[-1])), True)
-    files.rename(jvm.org.apache.hadoop.fs.Path(f"{folder}/merging"), jvm.org.apache.hadoop.fs.Path(at(versions[-1])))
-    for v in versions[:-1]:
-        files.delete(jvm.org.apache.hadoop.fs.Path(at(v)), True)
+    """Merges all versions but the newest into one, so that readers need not go through the whole history."""
+    Versions(spark, folder).compact(keys)
 
 
 class GraphState:

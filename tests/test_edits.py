@@ -79,7 +79,43 @@ def test_compaction_keeps_what_upserts_amount_to(spark, tmp_path):
     before = read()
     intake.compact(spark, folder, ["event_id"])
     intake.compact(spark, folder, ["event_id"])
-    assert read() == before and sorted(p.name for p in tmp_path.iterdir()) == ["batch=3", "batch=4"]
+    assert read() == before and [e[:2] for e in intake.Versions(spark, folder).entries()] == [(0, 3), (4, 4)]
+    assert len(list((tmp_path / "data").glob("[0-9a-f]*"))) == 2
+
+
+@pytest.mark.parametrize("step", ["_write", "_commit", "_clear"])
+@pytest.mark.parametrize("late", [False, True])
+def test_a_step_that_breaks_off_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, step, late):
+    folder, keys = f"file://{tmp_path}", ["event_id"]
+    rows = lambda batch: spark.createDataFrame([(batch, f"own {batch}"), (7, f"last {batch}")], "event_id long, v string")
+    read = lambda: sorted((r.event_id, r.v) for r in intake.current(spark, folder, keys).collect())
+    want = lambda n: sorted([(k, f"own {k}") for k in range(n)] + [(7, f"last {n - 1}")])
+    real = getattr(intake.Versions, step)
+
+    def broken(self, *args):
+        if late:
+            real(self, *args)
+        raise OSError("lost")
+
+    for batch in range(4):
+        if step != "_clear":
+            monkeypatch.setattr(intake.Versions, step, broken)
+            with pytest.raises(OSError):
+                intake.upsert(spark, rows(batch), folder, keys, batch)
+            monkeypatch.setattr(intake.Versions, step, real)
+        intake.upsert(spark, rows(batch), folder, keys, batch)
+        assert read() == want(batch + 1)
+    monkeypatch.setattr(intake.Versions, step, broken)
+    with pytest.raises(OSError):
+        intake.compact(spark, folder, keys)
+    monkeypatch.setattr(intake.Versions, step, real)
+    assert read() == want(4)
+    intake.upsert(spark, rows(3), folder, keys, 3)  # replayed, the newest
+    intake.upsert(spark, rows(1), folder, keys, 1)  # and one that may be compacted
+    assert read() == want(4)
+    intake.compact(spark, folder, keys)
+    intake.upsert(spark, rows(2), folder, keys, 2)
+    assert read() == want(4) and len(list((tmp_path / "data").glob("[0-9a-f]*"))) == len(intake.Versions(spark, folder).entries()) == 2
 
 
 def test_the_first_source_alive_is_taken_and_none_is_made_up(spark):
