@@ -1,9 +1,8 @@
 """Cut vertices of the undirected call graph of an event.
 
 Graphs that fit one task by count (``ONE_TASK`` edges, a fixed bound) are searched there, many events
-to a task.  Larger ones take rounds over all tasks: breadth-first levels, then, from the deepest level
-up, the ends of edges outside the tree climb to where they meet.  Tree edges that such a climb passes
-lie on one cycle; components of "on one cycle" are the blocks, and a node between blocks cuts.
+to a task.  Larger ones take rounds over all tasks, as many as the logarithm of their size: a spanning
+forest, its Euler tour and the blocks (``blocks.py``); a node between blocks cuts.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..durable import Scratch
-from .components import connected_components
+from . import blocks
+from .ranking import ordered_starts
 
 #: So many edges of an event, 16 bytes each, are left to a single task.  Edges of several events share a group of about ``GROUP``.
 ONE_TASK, GROUP = 1_000_000, 100_000
@@ -97,55 +97,18 @@ def _in_tasks(pairs: DataFrame, edges: int) -> DataFrame:
     return pairs.withColumn("g", group).groupBy("g").applyInPandas(run, "event_id long, id long, isolated long, parts long")
 
 
-def _in_rounds(pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for graphs of any size; the number of rounds is twice the largest distance from a root."""
-    key = lambda c: F.xxhash64("event_id", c)
-    half = pairs.select("event_id", F.col("a").alias("id"), key("a").alias("u"), key("b").alias("v"))
-    both = scratch.save(half.unionByName(pairs.select("event_id", F.col("b").alias("id"), key("b").alias("u"), key("a").alias("v"))), "both", release=False)
-    nodes = scratch.save(both.select("event_id", "id", F.col("u").alias("node")).distinct(), "nodes", release=False)
-    adjacent = both.select("u", "v")
-    own = connected_components(adjacent.select(F.col("u").alias("a"), F.col("v").alias("b")), scratch, "whole")
-    levels = [scratch.save(own.select(F.col("component").alias("node")).distinct().withColumn("parent", F.lit(None).cast("long")), "bfs-0", release=False)]
-    visited = levels[0].select("node")
-    while not levels[-1].isEmpty():
-        reached = levels[-1].select(F.col("node").alias("u")).join(adjacent, "u").groupBy(F.col("v").alias("node")).agg(F.min("u").alias("parent"))
-        levels.append(scratch.save(reached.join(visited, "node", "left_anti"), f"bfs-{len(levels)}", release=False))
-        visited = visited.unionByName(levels[-1].select("node"))
-    levels.pop()
-    tree = levels[0].withColumn("level", F.lit(0))
-    for k, level in enumerate(levels[1:], 1):
-        tree = tree.unionByName(level.withColumn("level", F.lit(k)))
-    tree = scratch.save(tree, "tree", release=False)
-    # Edges outside the tree join nodes of one level or of neighbouring ones, and never a node with what is above it.
-    deep = tree.select(F.col("node").alias("u"), F.col("parent").alias("up"), F.col("level").alias("lu"))
-    flat = tree.select(F.col("node").alias("v"), F.col("level").alias("lv"), F.col("parent").alias("vp"))
-    loose = adjacent.join(deep, "u").join(flat, "v").where("lu > lv OR (lu = lv AND u < v)").where("NOT (up <=> v)")
-    loose = scratch.save(loose.select("u", "v", "up", "lu", "lv"), "loose", release=False)
-    joined = loose.select(F.col("u").alias("a"), F.when(F.col("lu") > F.col("lv"), F.col("up")).otherwise(F.col("v")).alias("b")).where("lu > lv")
-    joined = scratch.save(joined, "cycle-start", release=False)
-    sizes, climbing = None, None
-    for k in range(len(levels) - 1, 0, -1):
-        here = levels[k]
-        fresh = loose.where((F.col("lu") == k) & (F.col("lv") == k)).select("u", "v")
-        risen = loose.where((F.col("lu") == k + 1) & (F.col("lv") == k)).select(F.col("up").alias("u"), "v")
-        pairs_here = fresh.unionByName(risen)
-        pairs_here = pairs_here if climbing is None else pairs_here.unionByName(climbing)
-        pairs_here = scratch.save(pairs_here.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), f"pairs-{k}", release=False)
-        parent = here.select(F.col("node").alias("u"), F.col("parent").alias("pu"))
-        moved = pairs_here.join(parent, "u").join(parent.select(F.col("u").alias("v"), F.col("pu").alias("pv")), "v")
-        moved = scratch.save(moved, f"moved-{k}", release=False)
-        joined = joined.unionByName(moved.select(F.col("u").alias("a"), F.col("v").alias("b")))
-        on = moved.where("pu <> pv")
-        joined = joined.unionByName(on.select(F.col("u").alias("a"), F.col("pu").alias("b"))).unionByName(on.select(F.col("v").alias("a"), F.col("pv").alias("b")))
-        climbing = on.select(F.col("pu").alias("u"), F.col("pv").alias("v"))
-        held = here.select("node", "parent")
-        held = held.withColumn("under", F.lit(0).cast("long")) if sizes is None else held.join(sizes, "node", "left").fillna({"under": 0})
-        held = scratch.save(held.select("node", "parent", (F.col("under") + 1).alias("size")), f"size-{k}", release=False)
-        weights = held if k == len(levels) - 1 else weights.unionByName(held)  # noqa: F821
-        sizes = held.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("under"))
+def _in_rounds(pairs: DataFrame, scratch: Scratch, one_task: int) -> DataFrame:
+    """The same for graphs of any size; the number of rounds follows the logarithm of the number of nodes."""
+    ends = pairs.select("event_id", F.col("a").alias("id")).union(pairs.select("event_id", "b")).distinct().withColumn("one", F.lit(1).cast("long"))
+    # Nodes of all events are numbered, so that a node is one long.
+    nodes = scratch.save(ordered_starts(ends, scratch, [F.col("event_id"), F.col("id")], "one", "node").select("event_id", "id", "node"), "nodes", release=False)
+    of = lambda c: nodes.select("event_id", F.col("id").alias(c), F.col("node").alias(f"n{c}"))
+    edges = pairs.join(of("a"), ["event_id", "a"]).join(of("b"), ["event_id", "b"])
+    edges = scratch.save(edges.select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")), "edges", release=False)
+    tree, block, own = blocks.two_connected(edges, scratch, one_task)
     # A tree edge is known by its lower end.
-    block = connected_components(joined, scratch, "blocks")
-    below = scratch.save(weights.join(block, "node", "left").select("node", "parent", "size", F.coalesce("component", "node").alias("block")), "below", release=False)
+    held = tree.where("parent IS NOT NULL").select("node", "parent", F.expr("(tout - tin + 1) div 2").alias("size"))
+    below = scratch.save(held.join(block, "node", "left").select("node", "parent", "size", F.coalesce("component", "node").alias("block")), "below", release=False)
     above = below.select(F.col("node").alias("parent"), F.col("block").alias("up"))
     parts = below.join(above, "parent", "left").where("NOT (up <=> block)").groupBy("parent", "block").agg(F.sum("size").alias("size"), F.first("up").alias("up"))
     per = parts.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("cut_off"), F.max("size").alias("most"), F.count("*").alias("n"), F.max("up").alias("up"))
@@ -170,4 +133,4 @@ def chokepoints(edges: DataFrame, scratch: Scratch, one_task: int = ONE_TASK) ->
     small = _in_tasks(pairs.join(large, "event_id", "left_anti"), pairs.count())
     if large.isEmpty():
         return small
-    return small.unionByName(_in_rounds(pairs.join(large, "event_id", "left_semi"), scratch))
+    return small.unionByName(_in_rounds(pairs.join(large, "event_id", "left_semi"), scratch, one_task))

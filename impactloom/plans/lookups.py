@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..durable import Scratch
 from ..functions import spans
-from ..operators import centrality, components, ranking
+from ..operators import centrality, components, cutvertex, ranking
 from ..sources import git
 from ..sources.derive import GraphSource
 from . import verdicts
@@ -60,7 +60,14 @@ def pagerank_rounds(spark, sf_dir) -> DataFrame:
     return centrality.ranked(scores, scratch).where("rank <= 50").select("id", F.round("score", 8).alias("score"), "rank")
 
 
-FUNCTIONS = [diff_symbols_rooted, blame_spans, centrality_percentile, components_rounds, pagerank_rounds]
+def chokepoints_whole_graph(spark, sf_dir) -> DataFrame:
+    """Cut vertices of the whole call graph, by the rounds that graphs of any size take."""
+    g = GraphSource(spark, sf_dir)
+    whole = g.table("gl_calls").withColumn("event_id", F.lit(1).cast("long"))
+    return cutvertex.chokepoints(whole, Scratch(spark, "whole-graph"), one_task=0).select("id", "isolated", "parts")
+
+
+FUNCTIONS = [diff_symbols_rooted, blame_spans, centrality_percentile, components_rounds, pagerank_rounds, chokepoints_whole_graph]
 
 
 def sql(call_components: str, pagerank_top: str) -> dict[str, str]:
@@ -72,5 +79,12 @@ def sql(call_components: str, pagerank_top: str) -> dict[str, str]:
             SELECT d.id AS definition_id, CASE WHEN a = 5 THEN 'Dev 5' ELSE 'dev' || CAST(a AS VARCHAR) || '@example.com' END AS author_email, count(*) AS lines
             FROM gl_definition d JOIN bl ON bl.path = d.file_path AND bl.line BETWEEN d.start_line AND d.end_line GROUP BY 1, 2""",
         "components_rounds": call_components,
+        # Each node is taken out in turn and the smallest node that is still reached labels the rest.
+        "chokepoints_whole_graph": """WITH RECURSIVE und AS (SELECT source_id AS a, target_id AS b FROM gl_calls WHERE source_id <> target_id UNION SELECT target_id, source_id FROM gl_calls WHERE source_id <> target_id),
+            nodes AS (SELECT DISTINCT a AS id FROM und), gone AS (SELECT id FROM nodes UNION ALL SELECT -1000000),
+            low(x, id, c) USING KEY (x, id) AS (SELECT g.id, n.id, n.id FROM gone g, nodes n WHERE g.id <> n.id
+                UNION SELECT l.x, u.b, min(l.c) FROM low l JOIN und u ON u.a = l.id JOIN recurring.low r ON r.x = l.x AND r.id = u.b WHERE u.b <> l.x AND l.c < r.c GROUP BY l.x, u.b),
+            sizes AS (SELECT x, c, count(*) AS n FROM low GROUP BY 1, 2), per AS (SELECT x, count(*) AS parts, max(n) AS m FROM sizes GROUP BY x)
+            SELECT x AS id, (SELECT count(*) FROM nodes) - 1 - m AS isolated, parts FROM per WHERE x <> -1000000 AND parts > (SELECT parts FROM per WHERE x = -1000000)""",
         "pagerank_rounds": pagerank_top,
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from impactloom.durable import Scratch
 from impactloom.functions import spans, textdiff
-from impactloom.operators import ranking
+from impactloom.operators import cutvertex, ranking
 from impactloom.sources import git
 from impactloom.sources.derive import GraphSource
 
@@ -81,3 +81,19 @@ def test_ordered_starts_equal_a_window_over_all(spark):
     got = ranking.ordered_starts(rows, Scratch(spark, "t"), [F.desc("k")], "n", "before").orderBy("k").collect()
     want = rows.selectExpr("k", "n", "coalesce(sum(n) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before").orderBy("k").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_cut_vertices_of_long_graphs_take_few_rounds(spark, monkeypatch):
+    size, r, tables = 6000, random.Random(1), []
+    label = list(range(size))
+    r.shuffle(label)
+    half = size // 2
+    path = [(1, label[k], label[k + 1]) for k in range(size - 1)]
+    ladder = [(2, label[k], label[k + 1]) for k in range(size - 1) if k != half - 1] + [(2, label[k], label[half + k]) for k in range(half)]
+    hung = [(3, k, k + 1) for k in range(50)] + [(3, 50, 40), (3, 10, 0), (3, 10, 90), (3, 90, 91), (3, 91, 10), (3, 500, 501)]
+    real = Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, **more: tables.append(name) or real(self, df, name, **more))
+    edges = spark.createDataFrame(path + ladder + hung, "event_id long, source_id long, target_id long")
+    got = sorted(tuple(x) for x in cutvertex.chokepoints(edges, Scratch(spark, "t"), one_task=0).collect())
+    want = sorted((event, *x) for event, part in ((1, path), (2, ladder), (3, hung)) for x in cutvertex.cut_vertices([(a, b) for _, a, b in part]))
+    assert got == want and sum(x.rpartition("-")[2].isdigit() for x in tables) <= 60
