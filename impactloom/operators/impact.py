@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..durable import Scratch
 from ..functions import paths, textdiff
 from ..session import ship
-from . import centrality, cutvertex, history, scoring, traverse
+from . import centrality, cutvertex, history, reach, scoring, traverse
 
 
 class Impact:
@@ -26,26 +26,38 @@ class Impact:
         # Walks start from names; events share them.  What an event reaches is then a join and one aggregate.
         self.names = self.scratch.save(traverse.names_of(events, definitions), "names", release=False)
         walked = traverse.callers_by_depth(self.names, calls, self.scratch, name="walk").groupBy("event_id", "id").agg(F.max("depth").alias("depth"))
-        #: (event_id, id, depth, file, project_id), ``event_id`` being a name's hash and ``file`` a path's.
-        self.reach = self.scratch.save(walked.join(definitions.select("id", F.xxhash64("file_path").alias("file"), "project_id"), "id"), "reach", release=False)
-        #: (event_id, id, depth, file, project_id): the dependents of events; made anew by each reader, as it is far larger than ``reach``.
-        self.deps = (traverse.of_events(events, self.reach).groupBy("event_id", "id")
-                     .agg(F.max("depth").alias("depth"), F.min("file").alias("file"), F.min("project_id").alias("project_id")))
+        #: (event_id, id, depth), ``event_id`` being a name's hash.
+        self.reach = self.scratch.save(walked, "reach", release=False)
         self._files: DataFrame | None = None
+        self._parts: DataFrame | None = None
+        self._places: DataFrame | None = None
         self._ranks = ranks
 
+    @property
+    def places(self) -> DataFrame:
+        """Definitions by place; see ``reach``."""
+        if self._places is None:
+            self._places = reach.numbered(self.definitions, self.scratch)
+        return self._places
+
+    @property
+    def parts(self) -> DataFrame:
+        """What each event reaches, a row for each chunk of definitions: counts only."""
+        if self._parts is None:
+            names = self.scratch.save(reach.packed(self.reach, self.places), "packed", release=False)
+            self._parts = self.scratch.save(reach.united(self.events, names), "parts", release=False)
+        return self._parts
+
     @property
     def files(self) -> DataFrame:
         """(event_id, file_path, affected, rank)."""
         if self._files is None:
-            paths_ = self.definitions.select("file_path", F.xxhash64("file_path").alias("file")).distinct()
-            per = self.deps.groupBy("event_id", "file").agg(F.count("*").alias("affected")).join(paths_, "file")
-            self._files = self.scratch.save(scoring.file_impact(per), "files", release=False)
+            self._files = self.scratch.save(reach.file_counts(self.parts, self.places), "files", release=False)
         return self._files
 
     def totals(self) -> DataFrame:
         """(event_id, total_dependents, affected_services, max_depth)."""
-        return self.deps.groupBy("event_id").agg(F.count("*").alias("total_dependents"), F.countDistinct("project_id").alias("affected_services"), F.max("depth").alias("max_depth"))
+        return reach.totals(self.parts)
 
     def blast(self) -> DataFrame:
         """What history.blast_definitions gives: an event's most called callers are among those of its names."""
@@ -98,16 +110,11 @@ class Impact:
         zero = {"total_dependents": 0, "affected_services": 0, "max_depth": 0, "n_private": 0, "bus_factor": 0, "n_keystones": 0, "n_cuts": 0}
         row = row.fillna(zero).fillna({"critical": False, "any_generated": False, "changed_cut": False})
         has_owner = F.col("bus_factor") > 0
-        crossed = F.size(F.coalesce("crossed", F.array())) > 0
-        approval = scoring.control(F.col("approved").isNotNull(), F.coalesce("approved", F.lit(False)))
-        pipeline = scoring.control(F.col("pipeline").isNotNull(), F.coalesce(F.col("pipeline") == "passed", F.lit(False)))
         row = (row.withColumn("cfr", scoring.change_failure_rate(F.col("n_keystones"), F.col("total_dependents"), F.col("changed_cut"), F.col("critical"), F.col("prior")))
                .withColumn("confidence", scoring.impact_confidence(F.col("n_private"), F.col("any_generated")))
                .withColumn("ownership", F.when(has_owner, scoring.ownership_risk(F.col("concentration"), F.col("bus_factor"), F.col("n_keystones") > 0)))
-               .withColumn("approval_control", approval).withColumn("pipeline_control", pipeline)
-               .withColumn("compliance", scoring.compliance_risk(crossed, crossed & ((F.col("approval_control") == "FAIL") | (F.col("pipeline_control") == "FAIL")),
-                                                                  (F.col("approval_control") == "NEEDS_DATA") | (F.col("pipeline_control") == "NEEDS_DATA")))
                .withColumn("danger", textdiff.edit_danger(F.col("edit_class"))))
+        row = scoring.controlled(row)
         yes = F.lit(True)
         row = row.withColumn("parts", scoring.risk_parts(F.col("cfr"), F.col("total_dependents"), F.col("n_keystones"), F.col("severity"), F.col("ownership"), F.col("compliance"), yes))
         row = row.withColumn("risk", scoring.blended(F.col("parts"), F.col("danger"))).withColumn("level", scoring.risk_level(F.col("risk")))

@@ -110,6 +110,15 @@ def compliance_risk(crossed: Column, any_fail: Column, needs_data: Column) -> Co
     return F.when(any_fail, "HIGH").when(crossed & needs_data, "MEDIUM").otherwise("LOW")
 
 
+def controlled(rows: DataFrame) -> DataFrame:
+    """Adds approval_control, pipeline_control and compliance to rows with approved, pipeline and the array crossed; null controls are unknown."""
+    crossed = F.size(F.coalesce("crossed", F.array())) > 0
+    rows = rows.withColumns({"approval_control": control(F.col("approved").isNotNull(), F.coalesce("approved", F.lit(False))),
+                             "pipeline_control": control(F.col("pipeline").isNotNull(), F.coalesce(F.col("pipeline") == "passed", F.lit(False)))})
+    states = [F.col("approval_control"), F.col("pipeline_control")]
+    return rows.withColumn("compliance", compliance_risk(crossed, crossed & ((states[0] == "FAIL") | (states[1] == "FAIL")), (states[0] == "NEEDS_DATA") | (states[1] == "NEEDS_DATA")))
+
+
 def provenance_confidence(missing_steps: Column, any_undeployed: Column, composed: Column) -> Column:
     return _d(0.99) - missing_steps * _d(0.1) - F.when(any_undeployed, 0.05).otherwise(0.0) + F.when(composed, 0.01).otherwise(0.0)
 

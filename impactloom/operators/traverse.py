@@ -16,8 +16,8 @@ from ..durable import Scratch
 from ..session import ship
 
 MAX_DEPTH = 8
-#: The most distinct calls that every task may hold, how many seeds one walk takes along, and how many groups seeds are dealt to.
-ONE_TASK, TOGETHER, GROUPS = 200_000, 64, 8
+#: The most distinct calls that every task may hold, how many events one walk takes along, how many seeds share a task, and the fewest groups of them.
+ONE_TASK, TOGETHER, SEEDS, FEWEST_GROUPS = 200_000, 64, 1024, 8
 
 
 def seeds_of(events: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -74,9 +74,11 @@ def _walk(max_depth: int | None):
 
 def _walk_in_tasks(seeds: DataFrame, step: DataFrame, max_depth: int | None) -> DataFrame:
     ship(seeds.sparkSession)
-    calls = step.select(F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))).alias("g"), F.lit(0).alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
-    starts = seeds.select(F.pmod(F.xxhash64("event_id"), F.lit(GROUPS)).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("event_id").alias("a"), F.col("id").alias("b"))
-    return calls.unionByName(starts).repartition(GROUPS, "g").mapInArrow(_walk(max_depth), "event_id long, id long, depth int")
+    groups = max(FEWEST_GROUPS, -(-seeds.count() // SEEDS))
+    calls = step.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.lit(0).alias("kind"), F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    starts = seeds.select(F.pmod(F.xxhash64("event_id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("kind"), F.col("event_id").alias("a"), F.col("id").alias("b"))
+    # A partition for each group, whatever their numbers hash to.
+    return calls.unionByName(starts).repartitionById(groups, F.col("g")).mapInArrow(_walk(max_depth), "event_id long, id long, depth int")
 
 
 def callers_by_depth(seeds: DataFrame, calls: DataFrame, scratch: Scratch, max_depth: int = MAX_DEPTH, name: str = "level", one_task: int = ONE_TASK) -> DataFrame:

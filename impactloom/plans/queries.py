@@ -165,17 +165,13 @@ def risk_and_gate(spark, sf_dir):
     return d.select("id", F.round("cfr", 6).alias("cfr"), F.round("confidence", 6).alias("confidence"), F.round("risk", 6).alias("risk"), "level", scoring.decision(c("level"), c("k"), c("danger"), F.lit(True), c("confidence")).alias("action"))
 
 
-_CONTROLS = """SELECT e.event_id, coalesce(max(CASE WHEN a.user_id <> m.author_id THEN 1 ELSE 0 END), 0) = 1 AS approved, max(CASE WHEN p.status = 'success' THEN 'passed' ELSE p.status END) AS pipeline
-        FROM (SELECT DISTINCT event_id FROM mr_event) e JOIN gl_merge_request m ON m.id = e.event_id LEFT JOIN gl_merge_request_approval a ON a.mr_id = m.id LEFT JOIN gl_pipeline p ON p.mr_id = m.id GROUP BY e.event_id"""
-
-
 def event_verdicts(spark, sf_dir):
     """The verdict of every event: shared traversal, all lenses, scars from history, findings and controls."""
     g = GraphSource(spark, sf_dir)
     impact = _impact(g)
     near = traverse.neighbourhood(impact.seeds, g.table("gl_calls"), g.table("gl_definition"))
     scars = history.scar_prior(near, history.scars(history.usable_changes(g.table("git_commit"), g.table("git_commit_file")))).select("event_id", "prior")
-    controls = g.sql(_CONTROLS)
+    controls = g.sql(lookups.CONTROLS)
     v = impact.verdicts(controls, scars)
     return v.select(*(F.round(c, 6).alias(c) if c in ("concentration", "cfr", "confidence", "risk") else F.col(c).cast("long").alias(c) if c == "max_depth" else c for c in v.columns))
 
@@ -442,7 +438,7 @@ _SQL: dict[str, str] = {
 
 
 _SQL |= edits.sql(_EVENT_WALK, _NEAR, _SCARS.strip(), _MARKED, _BLAST, _KEYSTONES, _pagerank_sql(None), _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
-_SQL |= lookups.sql(_SQL["call_components"], _SQL["pagerank_top"])
+_SQL |= lookups.sql(_SQL["call_components"], _SQL["pagerank_top"], _EVENT_WALK, _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
 
 
 def queries() -> dict[str, Query]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from impactloom.durable import Scratch
 from impactloom.functions import spans, textdiff
-from impactloom.operators import cutvertex, ranking
+from impactloom.operators import cutvertex, ranking, reach
 from impactloom.sources import git
 from impactloom.sources.derive import GraphSource
 
@@ -97,3 +97,51 @@ def test_cut_vertices_of_long_graphs_take_few_rounds(spark, monkeypatch):
     got = sorted(tuple(x) for x in cutvertex.chokepoints(edges, Scratch(spark, "t"), one_task=0).collect())
     want = sorted((event, *x) for event, part in ((1, path), (2, ladder), (3, hung)) for x in cutvertex.cut_vertices([(a, b) for _, a, b in part]))
     assert got == want and sum(x.rpartition("-")[2].isdigit() for x in tables) <= 60
+
+
+def _reached(rows):
+    """Places by brute force: rows (event, chunk, depth, places, files, projects)."""
+    out = {}
+    for event, chunk, depth, places, files, projects in rows:
+        held = out.setdefault((event, chunk), [0, set(), set(), set()])
+        held[0] = max(held[0], depth)
+        for k, values in enumerate((places, files, projects), 1):
+            held[k] |= set(values)
+    want = {}
+    for (event, chunk), (depth, places, files, projects) in out.items():
+        counts = {f: 0 for f in files}
+        for p in places:
+            counts[max(f for f in files if f <= p)] += 1
+        want[event, chunk] = (len(places), depth, sorted(projects), [(f + chunk * reach.CHUNK, counts[f]) for f in sorted(files)])
+    return want
+
+
+@pytest.mark.parametrize("size,held,flags", [(7, 10**6, 1 << 27), (1, 30, 1 << 27), (5, 3, 0), (1000, 10**6, 0)])
+def test_union_of_reach_equals_sets(monkeypatch, size, held, flags):
+    import pyarrow as pa
+
+    monkeypatch.setattr(reach, "HELD", held)
+    monkeypatch.setattr(reach, "FLAGS", flags)
+    r, rows = random.Random(9), []
+    starts = [0, 3, 4, 20, 500, 8000]
+    for event in range(40):
+        for chunk in range(r.randrange(1, 4)):
+            for _ in range(r.randrange(1, 6)):
+                places = sorted(r.sample(range(12_000), r.randrange(1, 30)))
+                rows.append((event * 10**12, chunk, r.randrange(1, 9), places, sorted({max(s for s in starts if s <= p) for p in places}), [x * 10**11 for x in r.sample(range(9), r.randrange(0, 3))]))
+    schema = pa.schema([("event_id", pa.int64()), ("chunk", pa.int64()), ("depth", pa.int32()), ("places", pa.list_(pa.int32())), ("files", pa.list_(pa.int32())), ("projects", pa.list_(pa.int64()))])
+    batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, x)) for x in rows[k : k + size]], schema=schema) for k in range(0, len(rows), size)]
+    got = [x for b in reach._unite(iter(batches)) for x in b.to_pylist()]
+    want = _reached(rows)
+    assert len(got) == len(want)
+    for x, (key, w) in zip(got, want.items()):
+        assert (x["event_id"], x["n"], x["depth"], x["projects"], list(zip(x["files"], x["counts"]))) == (key[0], *w)
+
+
+def test_places_follow_files_and_chunks_hold_whole_files(spark):
+    g = GraphSource(spark, SF)
+    rows = reach.numbered(g.table("gl_definition"), Scratch(spark, "t")).orderBy("place").collect()
+    assert [x.place for x in rows] == list(range(200)) and [x.file_path for x in rows] == sorted(x.file_path for x in rows)
+    first = {}
+    for x in rows:
+        assert x.file == first.setdefault(x.file_path, x.place) and x.chunk == x.file // reach.CHUNK
