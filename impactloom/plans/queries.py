@@ -11,7 +11,7 @@ from ..functions import paths, textdiff
 from ..operators import centrality, components, cutvertex, history, scoring, traverse
 from ..operators.impact import Impact
 from ..sources.derive import GraphSource, for_duckdb
-from ..streaming import intake
+from ..streaming import intake, tokens
 from . import edits, lookups, verdicts
 from .catalogue import QUERIES, SYMBOL
 from .typed import GraphQueries
@@ -277,8 +277,16 @@ def strip_comments(spark, sf_dir):
 
 
 def throttle_stream(spark, sf_dir):
-    """The batch form of the throttle operator that streams use."""
-    return intake.throttle(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """The stateful throttle over the events table, which comes as a stream in three parts; the stream is started anew for each."""
+    scratch = Scratch(spark, "throttle")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ends = events.select(F.percentile_approx(F.unix_timestamp("ts"), [1 / 3, 2 / 3])).first()[0] or []
+    part = sum((F.when(F.unix_timestamp("ts") >= end, 1).otherwise(0) for end in ends), F.lit(0))
+    for k in range(len(ends) + 1):
+        events.where(part == k).write.mode("append").parquet(f"{scratch.root}/in")
+        arriving = spark.readStream.schema(events.schema).parquet(f"{scratch.root}/in")
+        tokens.throttle_stream(arriving, f"{scratch.root}/out", f"{scratch.root}/state").awaitTermination()
+    return intake.current(spark, f"{scratch.root}/out", ["user_id", "window_start"]).select("user_id", "window_start", "n", "allowed")
 
 
 _DIFF = """SELECT id AS event_id, 'diff --git a/' || file_path || ' b/' || file_path || chr(10) || '--- a/' || file_path || chr(10) || '+++ b/' || file_path || chr(10) || '@@ -1 +' ||
