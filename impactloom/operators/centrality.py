@@ -29,34 +29,48 @@ def _rank_in_task(rounds: int, tolerance: float, damping: float):
         pdfs = list(pdfs)
         if not pdfs:
             return
-        edges = pd.concat(pdfs)[["source_id", "target_id"]].to_numpy()
+        rows = pd.concat(pdfs)
+        known = rows[rows["score"].notna()]
+        edges = rows.loc[rows["score"].isna(), ["source_id", "target_id"]].to_numpy(dtype=np.int64)
+        if not len(edges):
+            return
         names, at = np.unique(edges.ravel(), return_inverse=True)
         source, target = at.reshape(-1, 2).T
         n, out = len(names), np.bincount(source, minlength=len(names))
         score, share = np.full(n, 1 / n), 1 / out[source]
-        for _ in range(rounds):
+        if len(known):
+            place = np.searchsorted(names, known["source_id"].to_numpy())
+            there = (place < n) & (names[np.minimum(place, n - 1)] == known["source_id"].to_numpy())
+            score[place[there]] = known["score"].to_numpy()[there]
+            score /= score.sum()
+        for k in range(1, rounds + 1):
             got = np.bincount(target, score[source] * share, minlength=n)
             following = (1 - damping) / n + damping * (got + score[out == 0].sum() / n)
             change, score = np.abs(following - score).sum(), following
             if change < tolerance:
                 break
-        yield pd.DataFrame({"id": names, "score": score, "change": change})
+        yield pd.DataFrame({"id": names, "score": score, "change": change, "rounds": k})
 
     return run
 
 
-def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, damping: float = DAMPING, one_task: int = ONE_TASK) -> DataFrame:
-    """(id, score, change) over the multigraph: parallel edges count each, self-loops stay, dangling mass is spread evenly.
+def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE, damping: float = DAMPING, one_task: int = ONE_TASK,
+             start: DataFrame | None = None) -> DataFrame:
+    """(id, score, change, rounds) over the multigraph: parallel edges count each, self-loops stay, dangling mass is spread evenly.
 
     Stops after the round whose L1 change is below ``tolerance``, or after ``rounds``; ``change`` is that
-    of the last round, so a reader can tell.  Graphs of up to ``one_task`` edges are solved in a task.
+    of the last round, so a reader can tell.  ``start`` (id, score) is where to begin, as the scores of an
+    earlier state of the graph; other nodes begin with an even share.  Graphs of up to ``one_task`` edges are solved in a task.
     For larger ones each round is a table in the shared folder, and one aggregate of it gives both the
     change and the mass that dangles.
     """
     calls = calls.select("source_id", "target_id")
     if calls.count() <= one_task:
         ship(calls.sparkSession)
-        return scratch.save(calls.coalesce(1).mapInPandas(_rank_in_task(rounds, tolerance, damping), "id long, score double, change double"), "ranks", release=False)
+        rows = calls.withColumn("score", F.lit(None).cast("double"))
+        if start is not None:
+            rows = rows.unionByName(start.select(F.col("id").alias("source_id"), F.lit(None).cast("long").alias("target_id"), "score"))
+        return scratch.save(rows.coalesce(1).mapInPandas(_rank_in_task(rounds, tolerance, damping), "id long, score double, change double, rounds int"), "ranks", release=False)
     out = calls.groupBy("source_id").agg(F.count("*").alias("out"))
     edges = scratch.save(calls.groupBy("source_id", "target_id").agg(F.count("*").alias("m")).join(out, "source_id")
                          .select("source_id", "target_id", (F.col("m") / F.col("out")).alias("share")), "edges", release=False)
@@ -64,6 +78,10 @@ def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance
     nodes = scratch.save(nodes.join(out.select(F.col("source_id").alias("id"), F.lit(False).alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(True)).alias("dangling")), "nodes", release=False)
     n, dangling = nodes.agg(F.count("*"), F.count_if("dangling")).first()
     rank, lost, change = nodes.withColumn("score", F.lit(1.0 / n)), dangling / n, None
+    if start is not None and n:
+        begun = nodes.join(start.select("id", F.col("score").alias("had")), "id", "left").withColumn("score", F.coalesce("had", F.lit(1.0 / n)))
+        total, lost = begun.agg(F.sum("score"), F.coalesce(F.sum(F.when(F.col("dangling"), F.col("score"))), F.lit(0.0))).first()
+        rank, lost = scratch.save(begun.select("id", "dangling", (F.col("score") / F.lit(total)).alias("score")), "rank-0", release=False), lost / total
     for k in range(1, rounds + 1):
         moved = rank.join(edges, rank["id"] == edges["source_id"]).groupBy(F.col("target_id").alias("id")).agg(F.sum(F.col("score") * F.col("share")).alias("got"))
         following = (rank.select("id", "dangling", F.col("score").alias("old")).join(moved, "id", "left")
@@ -75,7 +93,7 @@ def pagerank(calls: DataFrame, scratch: Scratch, rounds: int = ROUNDS, tolerance
             scratch.drop(f"rank-{k - 1}")
         if change < tolerance:
             break
-    return rank.select("id", "score", F.lit(change).cast("double").alias("change"))
+    return rank.select("id", "score", F.lit(change).cast("double").alias("change"), F.lit(k).alias("rounds"))
 
 
 def ranked(scores: DataFrame, scratch: Scratch) -> DataFrame:

@@ -115,20 +115,22 @@ def single_points(defs: DataFrame, blame: DataFrame) -> DataFrame:
             .select("event_id", "id", "name", "inbound", "author_email", "share"))
 
 
-def ownership_report(defs: DataFrame, blame: DataFrame) -> DataFrame:
+def ownership_report(defs: DataFrame, blame: DataFrame, identities: bool = False) -> DataFrame:
     """(event_id, definitions_blamed, bus_factor, concentration, owners, reviewers, spof_author, spof_symbol, spof_share).
 
-    The first ``SHOWN_OWNERS`` authors and ``REVIEWERS`` of them, as labels.  The single point of failure
+    The first ``SHOWN_OWNERS`` authors and ``REVIEWERS`` of them, and the single point of failure, as labels
+    unless ``identities`` are asked for.  The single point of failure
     is the most called definition that one author dominates; without such a one, where one author holds
     more than half of all, that author, with no symbol.
     """
-    owners = blame_owners(defs, blame)
+    owners = blame_owners(defs, blame).withColumn("shown", F.col("author_email") if identities else F.col("label"))
     blamed = defs.join(blame.select(F.col("definition_id").alias("id")).distinct(), "id", "left_semi").groupBy("event_id").agg(F.count("*").alias("definitions_blamed"))
-    listed = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= k, F.struct("place", "label")))), lambda x: x["label"]), ",")
-    shown = owners.groupBy("event_id").agg(listed(SHOWN_OWNERS).alias("owners"), listed(REVIEWERS).alias("reviewers"), F.max(F.when(F.col("place") == 1, F.col("author_email"))).alias("first"))
-    points = single_points(defs, blame).select("event_id", "author_email", F.col("name").alias("symbol"), "share")
+    listed = lambda k: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("place") <= k, F.struct("place", "shown")))), lambda x: x["shown"]), ",")
+    shown = owners.groupBy("event_id").agg(listed(SHOWN_OWNERS).alias("owners"), listed(REVIEWERS).alias("reviewers"), F.max(F.when(F.col("place") == 1, F.col("shown"))).alias("first"))
+    points = (single_points(defs, blame).join(owners.select("event_id", "author_email", "shown"), ["event_id", "author_email"])
+              .select("event_id", "shown", F.col("name").alias("symbol"), "share"))
     row = bus_factor(owners).join(blamed, "event_id").join(shown, "event_id").join(points, "event_id", "left")
     alone = F.col("bus_factor") <= 1
     return row.select("event_id", "definitions_blamed", F.col("bus_factor").cast("long").alias("bus_factor"), "concentration", "owners", "reviewers",
-                      F.coalesce("author_email", F.when(alone, F.col("first"))).alias("spof_author"), F.col("symbol").alias("spof_symbol"),
+                      F.coalesce("shown", F.when(alone, F.col("first"))).alias("spof_author"), F.col("symbol").alias("spof_symbol"),
                       F.coalesce("share", F.when(alone, F.col("concentration"))).alias("spof_share"))

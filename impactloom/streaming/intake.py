@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -9,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..durable import Scratch
+from ..durable import Scratch, shared_folder
 from ..operators import centrality
 from ..operators.impact import Impact
 
@@ -131,16 +132,49 @@ def compact(spark: SparkSession, folder: str, keys: list[str]) -> None:
 
 
 class GraphState:
-    """What batches of one graph share: PageRank ranks, computed with the first batch and kept until the graph changes."""
+    """What batches of one graph share, by version of the graph: PageRank ranks, kept in the shared folder.
 
-    def __init__(self, source) -> None:
-        self.source, self._ranks = source, None
+    A version is known by its edges, whatever their order: their number and two sums of their hashes.  An
+    unchanged graph reads what is there, in this driver or another; a changed one begins with the scores
+    of the version before.
+    """
+
+    def __init__(self, source, folder: str | None = None) -> None:
+        self.source, self._held = source, {}
+        self.folder = folder or f"{shared_folder(source.spark)}/graph-state-{uuid.uuid4().hex}"
+        jvm = source.spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(source.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def version(self) -> str:
+        sums = (F.sum(F.xxhash64(F.lit(seed), "source_id", "target_id").cast("decimal(38,0)")) for seed in (0, 1))
+        found = self.source.table("gl_calls").agg(F.count("*"), *sums).first()
+        return hashlib.sha256("/".join(map(str, found)).encode()).hexdigest()[:32]
+
+    def _complete(self) -> list[str]:
+        if not self._files.exists(self._path(self.folder)):
+            return []
+        states = sorted(self._files.listStatus(self._path(self.folder)), key=lambda s: s.getModificationTime())
+        return [s.getPath().getName() for s in states if self._files.exists(self._path(f"{s.getPath()}/_SUCCESS"))]
+
+    def scores(self) -> DataFrame:
+        """(id, score, change, rounds, rank) of the graph as it is now."""
+        spark, version, known = self.source.spark, self.version(), self._complete()
+        if version not in known:
+            scratch = Scratch(spark, "state")
+            start = spark.read.parquet(f"{self.folder}/{known[-1]}") if known else None
+            scores = centrality.pagerank(self.source.table("gl_calls"), scratch, start=start)
+            placed = centrality.ranked(scores, scratch).join(scores.select("id", "change", "rounds"), "id")
+            placed.write.mode("overwrite").parquet(f"{self.folder}/{version}")
+            for old in known[:-1]:
+                self._files.delete(self._path(f"{self.folder}/{old}"), True)
+        return spark.read.parquet(f"{self.folder}/{version}")
 
     def ranks(self) -> DataFrame:
-        if self._ranks is None:
-            scratch = Scratch(self.source.spark, "state")
-            self._ranks = scratch.save(centrality.ranked(centrality.pagerank(self.source.table("gl_calls"), scratch), scratch), "kept")
-        return self._ranks
+        version = self.version()
+        if version not in self._held:
+            self._held = {version: self.scores().select("id", "score", "rank")}
+        return self._held[version]
 
     def impact(self, batch: DataFrame) -> Impact:
         """The shared results of one batch of (event_id, changed_symbol, edit_class)."""

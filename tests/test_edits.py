@@ -9,7 +9,7 @@ from test_core import brute_cuts
 
 from impactloom.durable import Scratch
 from impactloom.functions import textdiff
-from impactloom.operators import history, scoring
+from impactloom.operators import centrality, history, scoring
 from impactloom.operators.impact import Impact
 from impactloom.sources.tables import GraphTables, first_alive
 from impactloom.streaming import intake
@@ -135,3 +135,36 @@ def test_ranks_are_kept_across_batches(spark):
     state = intake.GraphState(g)
     one = state.impact(spark.createDataFrame([(7, "n2", "body-edit")], "event_id long, changed_symbol string, edit_class string")).ranked_keystones().collect()
     assert [(r.event_id, r.name, r["rank"], r.pagerank_rank) for r in one] == [(7, "n2", 1, 1)] and state.ranks() is state.ranks()
+
+
+def test_ranks_follow_the_version_of_the_graph(spark, tmp_path, monkeypatch):
+    class Graph:
+        def __init__(self, pairs):
+            self.spark, self.pairs = spark, pairs
+
+        def table(self, name):
+            return spark.createDataFrame(self.pairs, "source_id long, target_id long")
+
+    r = random.Random(3)
+    pairs = [(r.randrange(80), r.randrange(80)) for _ in range(300)]
+    run = lambda p: {x.id: x for x in intake.GraphState(Graph(p), f"file://{tmp_path}/state").scores().collect()}
+    first, calls = run(pairs), []
+    real = centrality.pagerank
+    monkeypatch.setattr(centrality, "pagerank", lambda *a, **k: calls.append(1) or real(*a, **k))
+    assert run(pairs[::-1]) == first and not calls  # the same edges in another order, another driver
+    grown = pairs + [(3, 99), (4, 5)]
+    warm, fresh = run(grown), {x.id: x for x in real(Graph(grown).table(""), Scratch(spark, "t")).collect()}
+    assert calls == [1] and warm.keys() == fresh.keys() and all(abs(warm[i].score - fresh[i].score) < 1e-8 for i in fresh)
+    assert warm[3].rounds < fresh[3].rounds
+    start = spark.createDataFrame([(x.id, x.score) for x in first.values()], "id long, score double")
+    many = {x.id: x for x in real(Graph(grown).table(""), Scratch(spark, "t"), one_task=0, start=start, rounds=6).collect()}
+    one = {x.id: x for x in real(Graph(grown).table(""), Scratch(spark, "t"), start=start, rounds=6).collect()}
+    assert all(abs(many[i].score - one[i].score) < 1e-12 for i in one)
+
+
+def test_single_point_is_a_label_unless_identities_are_asked_for(spark):
+    defs = spark.createDataFrame([(1, 10, "f", 9, 3.0), (1, 11, "g", 2, 1.0)], "event_id long, id long, name string, inbound long, weight double")
+    blame = spark.createDataFrame([(10, "zoe@x.y", 9), (10, "ann@x.y", 1), (11, "ann@x.y", 4)], "definition_id long, author_email string, lines long")
+    shown, named = (history.ownership_report(defs, blame, who).first() for who in (False, True))
+    assert (shown.spof_author, shown.owners, shown.spof_symbol) == ("Author A", "Author A,Author B", "f")
+    assert (named.spof_author, named.owners) == ("zoe@x.y", "zoe@x.y,ann@x.y")
