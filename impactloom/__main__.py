@@ -6,10 +6,11 @@ import argparse
 import json
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 from .operators import history
 from .plans.catalogue import QUERIES
+from .plans.replay import read_replay
 from .plans.typed import GraphQueries
 from .plans.verdicts import Scored, compose_lenses
 from .sinks import output, render
@@ -43,13 +44,21 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("--out")
     p = command("scars", "files by their history of fixes", tables=False)
     p.add_argument("log", help="output of git log --no-merges --name-only --date=short --format=" + git.LOG_FORMAT.replace("%", "%%"))
-    p = command("backtest", "how often each decision is taken over events")
-    p.add_argument("events")
+    p = command("backtest", "how often each decision is taken over events, or over commits from their diffs")
+    p.add_argument("events", nargs="?", help="events as for verdict; not with --diffs")
+    p.add_argument("--diffs", help="JSON lines of commit_id and diff, the output of git diff --unified=0 --no-color <parent> <commit>")
+    p.add_argument("--texts", help="JSON lines of commit_id, path, old_text and new_text, one for each changed file")
+    p.add_argument("--log", help="output of git log as for scars, with --first-parent: subjects, and the order for --newest")
+    p.add_argument("--newest", type=int, help="how many commits with changed functions, out of the newest of --log")
+    p.add_argument("--own", action="append", default=[], help="prefix of paths that count for nothing; may be repeated")
     return top
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    args = _parser().parse_args(argv)
+    parser = _parser()
+    args = parser.parse_args(argv)
+    if args.command == "backtest" and (bool(args.events) == bool(args.diffs) or bool(args.diffs) != bool(args.texts) or (args.newest and not args.log)):
+        parser.error("backtest takes events, or --diffs with --texts; --newest needs --log")
     spark = spark or SparkSession.builder.appName("impactloom").getOrCreate()
     source = None
     if "tables" in args:
@@ -91,7 +100,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(svg)
     elif args.command == "scars":
         scarred = history.scars(history.usable_changes(*git.read_log(spark, args.log)))
-        print(render.shown(scarred.where("intensity > 0").orderBy("intensity", "reverts", "hotfixes", "file_path", ascending=[False, False, False, True]), 15))
+        print(render.shown(history.ranked_scars(scarred)))
+    elif args.command == "backtest" and args.diffs:
+        replay, ids = read_replay(spark, args.diffs, args.texts, source, args.log, args.newest, tuple(args.own))
+        verdicts = replay.verdicts()
+        caught = replay.catches(verdicts).join(ids, "event_id").select("commit_id", "action", "edit_class", "total_dependents", "contract_changed", "subject")
+        for table in (render.tally(verdicts), replay.classes(), caught.orderBy(F.desc("total_dependents"), "commit_id")):
+            print(render.shown(table))
     elif args.command == "backtest":
         print(render.shown(render.tally(Scored(events.read_json(spark, args.events), source).verdicts())))
     return 0

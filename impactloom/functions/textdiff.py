@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -64,6 +65,26 @@ def _signature(text: str | None, name: str | None) -> str | None:
     return text[m.start() : after] + re.split("[{:;]", text[after : after + TAIL], maxsplit=1)[0]
 
 
+def _contracts(text: str | None) -> list[dict]:
+    """Of each function's first header in a text the name and a digest of its signature without white space."""
+    text, seen, out = text or "", set(), []
+    ends = _closers(text, "(", ")")[1]
+    for m in re.finditer(_HEADER % r"([A-Za-z_]\w*)", text):
+        at = text.find("(", m.start())
+        if at < 0 or m[1] in seen:
+            continue
+        seen.add(m[1])
+        after = ends.get(at, len(text)) + 1
+        sig = text[m.start() : after] + re.split("[{:;]", text[after : after + TAIL], maxsplit=1)[0]
+        out.append({"name": m[1], "digest": md5(re.sub(r"(?a)\s+", "", sig).encode()).hexdigest()})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("digest", T.StringType())])))
+def contracts(text: pd.Series) -> pd.Series:
+    return pd.Series([_contracts(t) for t in text])
+
+
 @F.pandas_udf(T.StringType())
 def signature(text: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([_signature(t, n) for t, n in zip(text, name)], dtype=object)
@@ -84,6 +105,17 @@ def contract_breaks(files: DataFrame, names: DataFrame) -> DataFrame:
     return both.where(broken).select("event_id", "path", "name", readable(F.col("before")).alias("before"), readable(F.col("after")).alias("after"))
 
 
+def broken_names(files: DataFrame, names: DataFrame) -> DataFrame:
+    """(event_id, name) of changed names whose signature in some file is gone or differs; additions are not breaks.
+
+    As ``contract_breaks`` for names that are identifiers, but each text is scanned once for all names and texts
+    never meet names: an event of many files and names costs the sum of both.  Files are one row per event and path.
+    """
+    of = lambda c: files.select("event_id", "path", F.explode(contracts(c)).alias("c")).select("event_id", "path", "c.name", F.col("c.digest").alias(c))
+    both = of("old_text").join(names, ["event_id", "name"], "left_semi").join(of("new_text"), ["event_id", "path", "name"], "left")
+    return both.where("new_text IS NULL OR old_text <> new_text").select("event_id", "name").distinct()
+
+
 def edit_class(n_files: Column, any_break: Column, all_cosmetic: Column) -> Column:
     return F.when(n_files == 0, "unknown").when(any_break, "contract-break").when(all_cosmetic, "cosmetic").otherwise("body-edit")
 
@@ -120,18 +152,19 @@ def changed_functions(files: DataFrame, hunks: DataFrame) -> DataFrame:
     ``files``: (event_id, path, new_text); ``hunks``: (event_id, path, lo, hi), ranges of changed lines.
     What lies between two ranges is not changed.
     """
-    spans = files.select("event_id", "path", F.explode(function_spans("new_text")).alias("s")).select("event_id", "path", "s.name", "s.start", "s.end")
-    met = (spans["event_id"] == hunks["event_id"]) & (spans["path"] == hunks["path"]) & (spans["start"] <= hunks["hi"]) & (spans["end"] >= hunks["lo"])
-    return spans.join(hunks, met, "left_semi").select("event_id", "name").distinct()
+    found = files.select("event_id", "path", F.explode(function_spans("new_text")).alias("s")).select("event_id", "path", "s.name", "s.start", "s.end")
+    ours, theirs = spans.binned(found, "start", "end", "bin"), spans.binned(hunks.where("lo IS NOT NULL AND hi IS NOT NULL"), "lo", "hi", "bin")
+    same = [ours[c] == theirs[c] for c in ("event_id", "path", "bin")]
+    return ours.join(theirs, [*same, (ours["start"] <= theirs["hi"]) & (ours["end"] >= theirs["lo"])], "left_semi").select("event_id", "name").distinct()
 
 
-def classify_changes(files: DataFrame, names: DataFrame) -> DataFrame:
+def classify_changes(files: DataFrame, names: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
     """(event_id, files, edit_class, broken) of events with files (event_id, path, old_text, new_text).
 
-    ``broken``: how many signatures of changed names are gone or differ.
+    ``broken``: how many signatures of changed names are gone or differ, or how many rows (event_id, ..) of ``breaks``.
     """
     per = files.groupBy("event_id").agg(F.count("*").alias("files"), F.bool_and(is_cosmetic(F.col("old_text"), F.col("new_text"), extension(F.col("path")))).alias("cosmetic"))
-    broken = contract_breaks(files, names).groupBy("event_id").agg(F.count("*").alias("broken"))
+    broken = (breaks if breaks is not None else contract_breaks(files, names)).groupBy("event_id").agg(F.count("*").alias("broken"))
     rows = per.join(broken, "event_id", "left").fillna({"broken": 0})
     return rows.select("event_id", "files", edit_class(F.col("files"), F.col("broken") > 0, F.col("cosmetic")).alias("edit_class"), "broken")
 

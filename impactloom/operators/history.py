@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import paths
 
 MAX_COMMIT_FILES, MIN_SUPPORT, PRIOR_CAP, PRIOR_SCALE, RECEIPTS, SPOF_SHARE = 50, 4, 0.12, 0.10, 5, 0.70
-SHOWN_OWNERS, REVIEWERS = 6, 4
+SHOWN_OWNERS, REVIEWERS, SHOWN_SCARS = 6, 4, 15
 
 # Subject patterns and the words that exclude a fix.
 REVERT = r'^\s*revert[\s:"]'
@@ -40,6 +40,17 @@ def scars(changes: DataFrame) -> DataFrame:
     return per.withColumn("fix_density", density).withColumn("intensity", F.least(F.lit(1.0), F.lit(0.40) * F.col("reverts") + F.lit(0.22) * F.col("hotfixes") + often))
 
 
+def ranked_scars(scarred: DataFrame, k: int = SHOWN_SCARS) -> DataFrame:
+    """(place, file_path, total, reverts, hotfixes, fixes, fix_density, intensity): the ``k`` most marked files that are no tests.
+
+    By intensity, reverts and hotfixes, ties by path; files without a mark have no place.  Only ``k`` rows are ranked.
+    """
+    order = [F.desc("intensity"), F.desc("reverts"), F.desc("hotfixes"), F.asc("file_path")]
+    top = scarred.where("intensity > 0").where(~paths.is_test(F.col("file_path"))).orderBy(*order).limit(k)
+    ranked = top.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))  # over ``k`` rows
+    return ranked.select("place", "file_path", "total", "reverts", "hotfixes", "fixes", "fix_density", "intensity").orderBy("place")
+
+
 def receipts(changes: DataFrame, keep: int = 3) -> DataFrame:
     """(file_path, place, commit_id, kind): of the newest marked commits, reverts before hotfixes before fixes."""
     newest = changes.where("kind IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("file_path").orderBy("seq"))).where(F.col("r") <= RECEIPTS)

@@ -106,6 +106,14 @@ def scar_files(spark, sf_dir):
     return s.select("file_path", "total", "reverts", "hotfixes", "fixes", F.round("fix_density", 6).alias("fix_density"), F.round("intensity", 6).alias("intensity"))
 
 
+def ranked_scars(spark, sf_dir):
+    """The production files that history marks most."""
+    g = GraphSource(spark, sf_dir)
+    # Rounded first: intensities that are equal but for rounding may change places between engines.
+    s = history.scars(history.usable_changes(g.table("git_commit"), g.table("git_commit_file"))).withColumn("intensity", F.round("intensity", 6))
+    return history.ranked_scars(s).select("place", "file_path", "reverts", "hotfixes", "fixes", F.round("fix_density", 6).alias("fix_density"), "intensity")
+
+
 #: Blamed lines of few authors: of each definition most lines are one author's, as in code that one person keeps.
 _FEW = """SELECT l_partkey AS definition_id, 'dev' || CAST(CASE WHEN l_suppkey % 10 = 0 THEN 9 ELSE l_partkey % 3 END AS STRING) || '@example.com' AS author_email, CAST(sum(l_linenumber) AS BIGINT) AS lines
     FROM lineitem GROUP BY l_partkey, CASE WHEN l_suppkey % 10 = 0 THEN 9 ELSE l_partkey % 3 END"""
@@ -152,7 +160,7 @@ def _reached(g: GraphSource, id_: int, depth: int) -> DataFrame:
     return walked.select("event_id", "id").distinct().join(g.table("gl_definition").select("id", "name", "file_path", "project_id"), "id")
 
 
-FUNCTIONS = [signature_extract, function_spans, edit_classes, contract_breaks, changed_functions, keystone_ranks, boundary_files, scar_contributors, scar_files, single_points,
+FUNCTIONS = [signature_extract, function_spans, edit_classes, contract_breaks, changed_functions, keystone_ranks, boundary_files, scar_contributors, scar_files, ranked_scars, single_points,
              ownership_report, service_map, affected_authors, exposure_scope]
 
 _OLD = "'fn ' || name || '(a: i32) -> bool'"
@@ -161,7 +169,7 @@ _WALK60 = """seed AS (SELECT id FROM gl_definition WHERE name IN (SELECT name FR
     reached AS (SELECT DISTINCT d.id, d.name, d.file_path, d.project_id FROM walk JOIN gl_definition d ON d.id = walk.id)"""
 
 
-def sql(event_walk: str, near: str, scars: str, marked: str, blast: str, keystones: str, pagerank: str, security: str, payments: str) -> dict[str, str]:
+def sql(event_walk: str, test: str, near: str, scars: str, marked: str, blast: str, keystones: str, pagerank: str, security: str, payments: str) -> dict[str, str]:
     """The same in SQL, on common parts of the catalogue's."""
     few = f"few AS ({_FEW})"
     blamed = blast.replace("JOIN blame ON", "JOIN few ON")
@@ -187,6 +195,9 @@ def sql(event_walk: str, near: str, scars: str, marked: str, blast: str, keyston
         "scar_contributors": f"""WITH {near}, sc AS ({scars}), {marked}, shown AS (SELECT file_path, least(count(*), 3) AS receipts FROM marked WHERE kind IS NOT NULL GROUP BY 1)
             SELECT near.event_id, near.path, CASE WHEN weight >= 1 THEN 'changed file' ELSE 'one hop away' END AS proximity, weight, reverts, hotfixes, round(fix_density, 6) AS fix_density, round(intensity, 6) AS intensity,
                    round(weight * intensity, 6) AS contribution, coalesce(shown.receipts, 0) AS receipts FROM near JOIN sc ON sc.file_path = near.path LEFT JOIN shown ON shown.file_path = near.path WHERE intensity > 0""",
+        "ranked_scars": f"""WITH sc AS ({scars}), s AS (SELECT * REPLACE (round(intensity, 6) AS intensity) FROM sc)
+            SELECT row_number() OVER (ORDER BY intensity DESC, reverts DESC, hotfixes DESC, file_path) AS place, file_path, reverts, hotfixes, fixes, round(fix_density, 6) AS fix_density, intensity
+            FROM s WHERE intensity > 0 AND NOT {test} QUALIFY place <= 15""",
         "single_points": f"WITH RECURSIVE {few}, {blamed}, {lines} SELECT event_id, id, inbound, author_email, round(share, 6) AS share FROM sp1",
         "ownership_report": f"""WITH RECURSIVE {few}, {blamed}, {lines}, nb AS (SELECT event_id, count(*) AS n FROM bl WHERE id IN (SELECT definition_id FROM few) GROUP BY 1),
             o AS (SELECT event_id, coalesce(min(CASE WHEN cum > 0.5 THEN place END), count(*)) AS bus_factor, max(CASE WHEN place = 1 THEN share END) AS c, least(count(*), 6) AS n_owners, least(count(*), 4) AS n_reviewers FROM cu GROUP BY 1)

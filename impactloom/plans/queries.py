@@ -12,7 +12,7 @@ from ..operators import centrality, components, cutvertex, history, scoring, tra
 from ..operators.impact import Impact
 from ..sources.derive import GraphSource, for_duckdb
 from ..streaming import intake, tokens
-from . import edits, lookups, verdicts
+from . import edits, lookups, replay, verdicts
 from .catalogue import QUERIES, SYMBOL
 from .typed import GraphQueries
 
@@ -445,12 +445,13 @@ _SQL: dict[str, str] = {
 }
 
 
-_SQL |= edits.sql(_EVENT_WALK, _NEAR, _SCARS.strip(), _MARKED, _BLAST, _KEYSTONES, _pagerank_sql(None), _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
+_SQL |= edits.sql(_EVENT_WALK, _TEST_SQL, _NEAR, _SCARS.strip(), _MARKED, _BLAST, _KEYSTONES, _pagerank_sql(None), _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
 _SQL |= lookups.sql(_SQL["call_components"], _SQL["pagerank_top"], _EVENT_WALK, _case_any("file_path", paths.SECURITY), _case_any("file_path", paths.PAYMENTS))
+_SQL |= replay.sql(_EVENT_WALK)
 
 
 def queries() -> dict[str, Query]:
-    return {**{name: _named(name) for name in QUERIES}, **{f.__name__: f for f in (*_FUNCTIONS, *edits.FUNCTIONS, *lookups.FUNCTIONS)}}
+    return {**{name: _named(name) for name in QUERIES}, **{f.__name__: f for f in (*_FUNCTIONS, *edits.FUNCTIONS, *lookups.FUNCTIONS, *replay.FUNCTIONS)}}
 
 
 def oracle_sql() -> dict[str, str]:
