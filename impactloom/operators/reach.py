@@ -135,3 +135,8 @@ def totals(parts: DataFrame) -> DataFrame:
     """(event_id, total_dependents, affected_services, max_depth)."""
     return parts.groupBy("event_id").agg(F.sum("n").alias("total_dependents"), F.size(F.array_distinct(F.flatten(F.collect_list("projects")))).cast("long").alias("affected_services"),
                                          F.max("depth").alias("max_depth"))
+
+
+def services(parts: DataFrame) -> DataFrame:
+    """(event_id, project_id): the projects of what each event reaches."""
+    return parts.select("event_id", F.explode("projects").alias("project_id")).distinct()

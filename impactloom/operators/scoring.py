@@ -68,8 +68,11 @@ def service_map(reached: DataFrame, projects: DataFrame) -> DataFrame:
 
 def affected_authors(reached: DataFrame, authorship: DataFrame, users: DataFrame) -> DataFrame:
     """(user_id, username, definitions, services): whose files hold dependents."""
-    of = reached.join(authorship.select("file_path", "user_id"), "file_path").join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
-    return of.groupBy("user_id", "username").agg(F.countDistinct("id").alias("definitions"), F.countDistinct("project_id").alias("services"))
+    # A definition has one file, so files are counted before their many authors meet them.
+    per = reached.groupBy("file_path", "project_id").agg(F.countDistinct("id").alias("n"))
+    of = per.join(authorship.select("file_path", "user_id").distinct(), "file_path").groupBy("user_id", "project_id").agg(F.sum("n").alias("n"))
+    both = of.groupBy("user_id").agg(F.sum("n").alias("definitions"), F.count("project_id").alias("services"))
+    return both.join(users.select(F.col("id").alias("user_id"), "username"), "user_id").select("user_id", "username", "definitions", "services")
 
 
 def exposure(symbols: DataFrame, definitions: DataFrame, calls: DataFrame, projects: DataFrame, jobs: DataFrame, scratch: Scratch, max_depth: int = EXPOSED_DEPTH) -> DataFrame:

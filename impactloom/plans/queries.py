@@ -307,6 +307,29 @@ def lineage_lens(spark, sf_dir):
     return verdicts.provenance(found, changed, g).select("finding_id", "affected_symbol", "definition_id", "mr_id", "author", "project", "steps", "composed", F.round("confidence", 6).alias("confidence"))
 
 
+_FOUND = """SELECT f.id AS event_id, CAST(0 AS INT) AS nth, f.id AS finding_id, f.title, f.severity, d.name AS affected_symbol FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id"""
+
+
+def _exposed(g: GraphSource) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings, of which every other one is about a symbol that its event changes, their changes, and what is exposed to them."""
+    found = g.sql(_FOUND)
+    changed = found.where("event_id % 2 = 0").select("event_id", F.col("affected_symbol").alias("changed_symbol"), F.lit("body-edit").alias("edit_class"))
+    return found, changed, verdicts.exposed(found, _impact(g, changed), g)
+
+
+def exposed_services(spark, sf_dir):
+    """The services exposed to each finding, from the shared traversal where its event changes the symbol."""
+    return _exposed(GraphSource(spark, sf_dir))[2].select(F.col("event_id").alias("finding_id"), "composed", "project_id", "full_path", F.unix_timestamp("last_deployment").alias("last_deployment"), "is_deployed")
+
+
+def exposed_lineage(spark, sf_dir):
+    """The lineage of each finding with the confidence that its exposed services leave."""
+    g = GraphSource(spark, sf_dir)
+    found, changed, exposure = _exposed(g)
+    rows = verdicts.exposed_lineage(verdicts.provenance(found, changed, g), exposure)
+    return rows.select("finding_id", "author", "steps", "composed", "services", "critical", F.round("confidence", 6).alias("confidence"))
+
+
 def composed_grid(spark, sf_dir):
     """Composition of lens results that are given, over a grid made from orders in which any lens may be absent."""
     return verdicts.compose(GraphSource(spark, sf_dir).sql(_GIVEN)).select("id", F.round("risk", 6).alias("risk"), "level", "action")
@@ -381,10 +404,17 @@ _KEYSTONES = """i AS (SELECT target_id AS id, count(DISTINCT source_id) AS n FRO
 _MARKED = QUERIES["scar_files"][QUERIES["scar_files"].index("normal AS"):QUERIES["scar_files"].index("t AS (SELECT file_path")].strip().rstrip(",").replace("SELECT f.file_path, lower(g.subject) AS s", "SELECT f.file_path, f.commit_id, g.seq, lower(g.subject) AS s").replace("k AS (SELECT file_path,", "marked AS (SELECT file_path, commit_id, seq,")
 _INTRO = "SELECT definition_id, merge_request_id AS mr_id FROM gl_definition_history QUALIFY row_number() OVER (PARTITION BY definition_id ORDER BY created_at, merge_request_id) = 1"
 
+_EXPOSED = """fs AS (SELECT f.id AS event_id, d.name, f.id % 2 = 0 AS composed FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id), want AS (SELECT DISTINCT name FROM fs),
+    walk AS (SELECT w.name, d.id, 0 AS depth FROM want w JOIN gl_definition d ON d.name = w.name UNION SELECT w.name, e.source_id, w.depth + 1 FROM gl_calls e JOIN walk w ON e.target_id = w.id WHERE w.depth < 10),
+    x AS (SELECT w.name, d.project_id, bool_or(depth BETWEEN 1 AND 8) AS near FROM walk w JOIN gl_definition d ON d.id = w.id GROUP BY 1, 2),
+    j AS (SELECT project_id, max(created_at) AS last FROM gl_job WHERE job_type = 'deploy' AND status = 'success' GROUP BY 1),
+    exposed AS (SELECT fs.event_id, composed, p.id AS project_id, p.full_path, CASE WHEN NOT composed THEN j.last END AS last, composed OR j.last IS NOT NULL AS is_deployed
+        FROM fs JOIN x ON x.name = fs.name AND (near OR NOT composed) JOIN gl_project p ON p.id = x.project_id LEFT JOIN j ON j.project_id = p.id)"""
+
 _FUNCTIONS: list[Query] = [transitive_dependents, transitive_by_depth, batch_dependents, affected_files, affected_modules, test_prod_split, walk_depth_stats, closure_nodes, induced_edges,
                            neighbourhood_weights, pagerank_top, call_components, chokepoints, keystones, ownership_lens, impact_confidence, compliance_boundaries, risk_and_gate, event_verdicts,
                            backtest_tally, backtest_catches, scar_prior, scar_receipts, blast_definitions, blame_ownership, bus_factor, path_functions, strip_comments, throttle_stream,
-                           direct_callers, symbol_defs, symbol_definition, definitions_by_id, all_call_edges, ownership_centrality, lineage_path, diff_symbols, lineage_lens, composed_grid, typed_lineage, typed_traversal]
+                           direct_callers, symbol_defs, symbol_definition, definitions_by_id, all_call_edges, ownership_centrality, lineage_path, diff_symbols, lineage_lens, exposed_services, exposed_lineage, composed_grid, typed_lineage, typed_traversal]
 
 _SQL: dict[str, str] = {
     "transitive_dependents": f"WITH RECURSIVE {_SEED}, {_WALK} SELECT count(DISTINCT d.id) AS total_dependents, count(DISTINCT d.project_id) AS affected_services, CAST(max(depth) AS BIGINT) AS max_depth FROM callers c JOIN gl_definition d ON d.id = c.id",
@@ -438,6 +468,14 @@ _SQL: dict[str, str] = {
               LEFT JOIN gl_merge_request m ON m.id = i.mr_id LEFT JOIN gl_user u ON u.id = m.author_id LEFT JOIN gl_project p ON p.id = o.project_id LEFT JOIN j ON j.project_id = o.project_id)
         SELECT finding_id, affected_symbol, definition_id, mr_id, author, project, CAST(steps AS INTEGER) AS steps, composed, round(least(1, greatest(0, {_D.format(0.99)} - (5 - steps) * {_D.format(0.1)}
           - CASE WHEN last IS NULL THEN {_D.format(0.05)} ELSE 0 END + CASE WHEN composed THEN {_D.format(0.01)} ELSE 0 END)), 6) AS confidence FROM r""",
+    "exposed_services": f"WITH RECURSIVE {_EXPOSED} SELECT event_id AS finding_id, composed, project_id, full_path, EPOCH(last) AS last_deployment, is_deployed FROM exposed",
+    "exposed_lineage": f"""WITH RECURSIVE {_EXPOSED}, s AS (SELECT name, min(id) AS definition_id FROM gl_definition GROUP BY name), i AS ({_INTRO}),
+        n AS (SELECT event_id, count(*) AS services, bool_or(last IS NULL) AS unknown, bool_or({_case_any('full_path', paths.EXPOSED)}) AS critical FROM exposed GROUP BY 1),
+        r AS (SELECT fs.event_id AS finding_id, u.username AS author, 3 + CASE WHEN i.mr_id IS NULL THEN 0 ELSE 1 END + CASE WHEN u.username IS NULL THEN 0 ELSE 1 END AS steps, composed,
+                coalesce(services, 0) AS services, coalesce(unknown, false) AS unknown, coalesce(critical, false) AS critical
+              FROM fs JOIN s ON s.name = fs.name LEFT JOIN n ON n.event_id = fs.event_id LEFT JOIN i ON i.definition_id = s.definition_id LEFT JOIN gl_merge_request m ON m.id = i.mr_id LEFT JOIN gl_user u ON u.id = m.author_id)
+        SELECT finding_id, author, CAST(steps AS INTEGER) AS steps, composed, services, critical, round(least(1, greatest(0, {_D.format(0.99)} - (5 - steps) * {_D.format(0.1)}
+          - CASE WHEN unknown THEN {_D.format(0.05)} ELSE 0 END + CASE WHEN composed THEN {_D.format(0.01)} ELSE 0 END)), 6) AS confidence FROM r""",
     "composed_grid": _COMPOSED_SQL,
     "typed_lineage": f"""WITH i AS ({_INTRO}) SELECT f.id AS finding_id, d.name AS symbol, d.id AS definition_id, i.mr_id, u.username AS author FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id
         JOIN i ON i.definition_id = d.id JOIN gl_merge_request m ON m.id = i.mr_id JOIN gl_user u ON u.id = m.author_id WHERE f.severity IN ('HIGH', 'CRITICAL')""",

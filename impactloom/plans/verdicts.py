@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths, spans, textdiff
-from ..operators import scoring
+from ..operators import reach, scoring
 from ..operators.impact import Impact
 from ..streaming.intake import route
 
@@ -55,6 +55,38 @@ def provenance(found: DataFrame, changed: DataFrame, source) -> DataFrame:
                     paths.holds(F.col("full_path"), paths.EXPOSED).alias("critical"), confidence.alias("confidence")))
 
 
+def exposed(found: DataFrame, impact: Impact, source) -> DataFrame:
+    """The services that are exposed to findings: (event_id, nth, composed, project_id, full_path, last_deployment, is_deployed).
+
+    Where an event changes the symbol of its finding, those are the services of all that the event reaches, from the
+    traversal that its verdict rests on; they count as deployed and no deployment is looked up.  Else they are those
+    from which the symbol can be reached by up to ten calls, its own included, walked once for each symbol.  A finding
+    without a symbol, or with one that nothing defines, has no row.
+    """
+    t = source.table
+    changed = impact.events.select("event_id", F.col("changed_symbol").alias("affected_symbol")).distinct()
+    rows = found.where("affected_symbol IS NOT NULL").select("event_id", "nth", "affected_symbol").join(changed.withColumn("own", F.lit(True)), ["event_id", "affected_symbol"], "left")
+    rows = impact.scratch.save(rows.select("event_id", "nth", "affected_symbol", F.coalesce("own", F.lit(False)).alias("composed")), "exposed", release=False)
+    project = t("gl_project").select(F.col("id").alias("project_id"), "full_path")
+    shared = (rows.where("composed").join(reach.services(impact.parts), "event_id").join(project, "project_id")
+              .select("event_id", "nth", "composed", "project_id", "full_path", F.lit(None).cast("timestamp").alias("last_deployment"), F.lit(True).alias("is_deployed")))
+    alone = rows.where("NOT composed").withColumn("symbol_id", F.xxhash64("affected_symbol"))
+    symbols = alone.select(F.col("symbol_id").alias("event_id"), F.col("affected_symbol").alias("changed_symbol")).distinct()
+    own = scoring.exposure(symbols, t("gl_definition"), t("gl_calls"), t("gl_project"), t("gl_job"), impact.scratch)
+    return shared.unionByName(alone.join(own, "symbol_id").select("event_id", "nth", "composed", "project_id", "full_path", F.col("last_deployment").cast("timestamp").alias("last_deployment"), "is_deployed"))
+
+
+def exposed_lineage(lineage: DataFrame, exposure: DataFrame) -> DataFrame:
+    """``provenance`` rows with ``services``, the number of exposed services, and the confidence and criticality that follow from them.
+
+    A service without a known deployment lowers the confidence; any critical one makes the finding critical.
+    """
+    per = exposure.groupBy("event_id", "nth").agg(F.count("*").alias("services"), F.bool_or(F.col("last_deployment").isNull()).alias("unknown"), F.bool_or(paths.holds(F.col("full_path"), paths.EXPOSED)).alias("_critical"))
+    rows = lineage.drop("critical", "confidence").join(per, ["event_id", "nth"], "left").fillna({"services": 0, "unknown": False, "_critical": False})
+    confidence = scoring.provenance_confidence(F.lit(STEPS) - F.col("steps"), F.col("unknown"), F.col("composed"))
+    return rows.withColumn("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence))).withColumnRenamed("_critical", "critical").drop("unknown")
+
+
 def compose(rows: DataFrame) -> DataFrame:
     """Adds ``danger``, ``risk``, ``level`` and ``action`` to rows of lens results.
 
@@ -89,7 +121,14 @@ class Scored:
         self.impact = Impact(self.changed, source.table("gl_definition"), source.table("gl_calls"))
         # One wide row per event is small next to the graph and read by several lenses.
         self.events = self.impact.scratch.save(events.select("key", "event_id", "event_type", "kind", "payload"), "events", release=False)
-        self.lineage = provenance(self.found, self.changed, source)
+        self._lineage: DataFrame | None = None
+
+    @property
+    def lineage(self) -> DataFrame:
+        """The lineage of findings with what is exposed to them."""
+        if self._lineage is None:
+            self._lineage = exposed_lineage(provenance(self.found, self.changed, self.source), exposed(self.found, self.impact, self.source))
+        return self._lineage
 
     def verdicts(self) -> DataFrame:
         """One row per event; the last finding of an event gives its severity, unknown events need a review."""

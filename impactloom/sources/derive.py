@@ -49,8 +49,9 @@ TABLES: dict[str, str] = {
     "gl_project": "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, r_name || '/' || n_name AS full_path FROM nation JOIN region ON n_regionkey = r_regionkey",
     "gl_user": "SELECT c_custkey AS id, 'u' || CAST(c_custkey AS STRING) AS username, c_name AS name FROM customer",
     "gl_file_authorship": """
-        SELECT d.file_path, l_suppkey AS user_id, max(l_shipdate) AS updated_at FROM lineitem JOIN gl_definition d ON d.id = l_partkey
-        WHERE l_suppkey % 10 = l_partkey % 10 GROUP BY d.file_path, l_suppkey""",
+        SELECT file_path, user_id, CASE WHEN length(file_path) % 2 = 0 THEN max(l_shipdate) - INTERVAL '730' DAY ELSE max(l_shipdate) END AS updated_at FROM
+        (SELECT d.file_path, l_shipdate, length(d.file_path) + l_suppkey % CASE length(d.file_path) % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1000000 END AS user_id
+         FROM lineitem JOIN gl_definition d ON d.id = l_partkey) a GROUP BY file_path, user_id""",
     "gl_merge_request": """
         SELECT o_orderkey AS id, o_orderkey % 1000 AS iid, 'MR ' || CAST(o_orderkey AS STRING) AS title,
                CASE o_orderstatus WHEN 'F' THEN 'merged' WHEN 'O' THEN 'opened' ELSE 'closed' END AS state,
@@ -68,7 +69,8 @@ TABLES: dict[str, str] = {
     "gl_finding": """
         SELECT doc_id AS id, 'Finding ' || CAST(doc_id AS STRING) AS title,
                CASE WHEN toxic = 1 AND quality = 0 THEN 'CRITICAL' WHEN toxic = 1 AND quality = 1 THEN 'HIGH'
-                    WHEN toxic = 0 AND quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity, doc_id % 200 AS affected_definition_id FROM labels""",
+                    WHEN toxic = 0 AND quality = 0 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+               CAST(doc_id * 7 % (SELECT count(*) FROM part) AS BIGINT) AS affected_definition_id FROM labels""",
     "gl_job": """
         SELECT user_id % 25 AS project_id, CASE WHEN event_type = 'purchase' THEN 'deploy' ELSE 'build' END AS job_type,
                CASE WHEN value < 20 THEN 'failed' ELSE 'success' END AS status, ts AS created_at FROM events""",

@@ -121,8 +121,8 @@ def test_mixed_events(spark, tables):
     assert (v["c"].level, v["c"].action) == ("UNKNOWN", "REVIEW_REQUIRED")
     assert v["d"].total_dependents == 0 and v["d"].has_impact
     lineage = {r.finding_id: r for r in scored.lineage.collect()}
-    assert (lineage["f2"].author, lineage["f2"].composed, lineage["f2"].steps, round(lineage["f2"].confidence, 2)) == ("ann", True, 5, 1.0)
-    assert (lineage["f3"].steps, lineage["f3"].composed, round(lineage["f3"].confidence, 2)) == (2, False, 0.64)
+    assert (lineage["f2"].author, lineage["f2"].composed, lineage["f2"].steps, round(lineage["f2"].confidence, 2)) == ("ann", True, 5, 0.95)  # what it shares looks up no deployment
+    assert (lineage["f3"].steps, lineage["f3"].composed, round(lineage["f3"].confidence, 2)) == (2, False, 0.69)  # no service, so none without a deployment
     md = {r.event_id: r.markdown for r in render.render(scored.reports()).collect()}
     assert md["a"].startswith("# ") and "`crates/auth/b.rs`: 1 definitions, critical path" in md["a"] and "a\\|b" in md["a"] and "Callers to review" in md["a"] and 'N0["finding f1"]' in md["a"]
     assert "## Impact" not in md["b"] and "Finding f3" in md["b"] and "UNKNOWN" in md["c"]
