@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..durable import Scratch
 from ..functions import paths, spans, textdiff
 from ..operators import reach, scoring
 from ..operators.impact import Impact
@@ -72,7 +73,7 @@ def exposed(found: DataFrame, impact: Impact, source) -> DataFrame:
               .select("event_id", "nth", "composed", "project_id", "full_path", F.lit(None).cast("timestamp").alias("last_deployment"), F.lit(True).alias("is_deployed")))
     alone = rows.where("NOT composed").withColumn("symbol_id", F.xxhash64("affected_symbol"))
     symbols = alone.select(F.col("symbol_id").alias("event_id"), F.col("affected_symbol").alias("changed_symbol")).distinct()
-    own = scoring.exposure(symbols, t("gl_definition"), t("gl_calls"), t("gl_project"), t("gl_job"), impact.scratch)
+    own = scoring.exposure(symbols, t("gl_definition"), t("gl_calls"), t("gl_project"), t("gl_job"), Scratch(found.sparkSession, "exposed"))  # names of its own, beside the events'
     return shared.unionByName(alone.join(own, "symbol_id").select("event_id", "nth", "composed", "project_id", "full_path", F.col("last_deployment").cast("timestamp").alias("last_deployment"), "is_deployed"))
 
 

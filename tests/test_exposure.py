@@ -39,6 +39,7 @@ def test_exposure_is_shared_where_the_event_changes_the_symbol(spark):
     want |= {(1, 1, p): v for p, v in own.items()}
     want |= {(e, 0, p): v for e in (2, 3) for p, v in {1: (False, True, last), **own}.items()}
     assert got == want and len(rows) == len(want)
+    assert {(r.event_id, r.total_dependents) for r in impact.verdicts().collect()} == {(1, 3), (2, 2)}  # names of events are left as they were
     lineage = found.selectExpr("event_id", "nth", "affected_symbol", "5 AS steps", "event_id = 1 AND nth = 0 AS composed", "true AS critical", "0.5D AS confidence")
     out = {(r.event_id, r.nth): (r.services, r.critical, round(r.confidence, 2)) for r in verdicts.exposed_lineage(lineage, verdicts.exposed(found, impact, source)).collect()}
     assert out == {(1, 0): (2, True, 0.95), (1, 1): (2, True, 0.94), (2, 0): (3, True, 0.94), (3, 0): (3, True, 0.94), (3, 1): (0, False, 0.99), (3, 2): (0, False, 0.99)}
