@@ -9,7 +9,8 @@ The model learns from labelled rows only, at most ``max_rows`` of them (a docume
 with the smallest hashes of their id), and never from the held-out fold: rows whose
 crc32(doc_id as text) modulo 4 is 2.  Ids, labels, language and source are not inputs of a score.
 
-Defined cases: null and empty texts have all statistics 0 and are scored like any other; labels that
+Defined cases: null and empty texts have the statistics of no words (0, but 1 for shares of distinct word
+groups and 100 for words a stop) and are scored like any other; labels that
 are null or neither 0 nor 1 are not used; of rows that share an id and a label one text counts, the one
 with the smallest hash; an id with both labels counts once for each; without labels every score is 0.5; repeated rows get a row each; a null doc_id is not held out; an empty table gives an empty
 result; further columns are ignored.
