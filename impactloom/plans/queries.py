@@ -210,6 +210,12 @@ def symbol_definition(spark, sf_dir):
     return q.symbol_definition(_symbol(q)).select("id", "name", "fqn", "file_path", "start_line", "end_line", "inbound")
 
 
+def called_symbols(spark, sf_dir):
+    """Who calls the symbols that findings are about, the first hundred calls."""
+    q = _graph(spark, sf_dir)
+    return q.query("called_symbols", symbols=q.source.sql("SELECT d.name FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id"))
+
+
 def definitions_by_id(spark, sf_dir):
     return _graph(spark, sf_dir).definitions_by_id([1, 8, 60, 61, 99999999])
 
@@ -414,7 +420,7 @@ _EXPOSED = """fs AS (SELECT f.id AS event_id, d.name, f.id % 2 = 0 AS composed F
 _FUNCTIONS: list[Query] = [transitive_dependents, transitive_by_depth, batch_dependents, affected_files, affected_modules, test_prod_split, walk_depth_stats, closure_nodes, induced_edges,
                            neighbourhood_weights, pagerank_top, call_components, chokepoints, keystones, ownership_lens, impact_confidence, compliance_boundaries, risk_and_gate, event_verdicts,
                            backtest_tally, backtest_catches, scar_prior, scar_receipts, blast_definitions, blame_ownership, bus_factor, path_functions, strip_comments, throttle_stream,
-                           direct_callers, symbol_defs, symbol_definition, definitions_by_id, all_call_edges, ownership_centrality, lineage_path, diff_symbols, lineage_lens, exposed_services, exposed_lineage, composed_grid, typed_lineage, typed_traversal]
+                           direct_callers, symbol_defs, symbol_definition, called_symbols, definitions_by_id, all_call_edges, ownership_centrality, lineage_path, diff_symbols, lineage_lens, exposed_services, exposed_lineage, composed_grid, typed_lineage, typed_traversal]
 
 _SQL: dict[str, str] = {
     "transitive_dependents": f"WITH RECURSIVE {_SEED}, {_WALK} SELECT count(DISTINCT d.id) AS total_dependents, count(DISTINCT d.project_id) AS affected_services, CAST(max(depth) AS BIGINT) AS max_depth FROM callers c JOIN gl_definition d ON d.id = c.id",
@@ -468,6 +474,8 @@ _SQL: dict[str, str] = {
               LEFT JOIN gl_merge_request m ON m.id = i.mr_id LEFT JOIN gl_user u ON u.id = m.author_id LEFT JOIN gl_project p ON p.id = o.project_id LEFT JOIN j ON j.project_id = o.project_id)
         SELECT finding_id, affected_symbol, definition_id, mr_id, author, project, CAST(steps AS INTEGER) AS steps, composed, round(least(1, greatest(0, {_D.format(0.99)} - (5 - steps) * {_D.format(0.1)}
           - CASE WHEN last IS NULL THEN {_D.format(0.05)} ELSE 0 END + CASE WHEN composed THEN {_D.format(0.01)} ELSE 0 END)), 6) AS confidence FROM r""",
+    "called_symbols": """SELECT c.id, c.name, c.definition_type, c.file_path, t.name AS called_symbol FROM gl_definition t JOIN gl_calls e ON e.target_id = t.id JOIN gl_definition c ON c.id = e.source_id
+        WHERE t.name IN (SELECT d.name FROM gl_finding f JOIN gl_definition d ON d.id = f.affected_definition_id) ORDER BY t.name, c.file_path, c.id, t.id LIMIT 100""",
     "exposed_services": f"WITH RECURSIVE {_EXPOSED} SELECT event_id AS finding_id, composed, project_id, full_path, EPOCH(last) AS last_deployment, is_deployed FROM exposed",
     "exposed_lineage": f"""WITH RECURSIVE {_EXPOSED}, s AS (SELECT name, min(id) AS definition_id FROM gl_definition GROUP BY name), i AS ({_INTRO}),
         n AS (SELECT event_id, count(*) AS services, bool_or(last IS NULL) AS unknown, bool_or({_case_any('full_path', paths.EXPOSED)}) AS critical FROM exposed GROUP BY 1),

@@ -27,7 +27,7 @@ class GraphQueries:
         self.spark = source.spark
         self.typed: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (
             self.transitive_dependents, self.affected_services, self.affected_owners, self.ownership_centrality, self.symbol_definition, self.subgraph_edges,
-            self.definitions_by_id, self.all_call_edges, self.symbol_defs, self.direct_callers, self.lineage, self.mr_metadata, self.finding_metadata)}
+            self.definitions_by_id, self.all_call_edges, self.symbol_defs, self.direct_callers, self.called_symbols, self.lineage, self.mr_metadata, self.finding_metadata)}
 
     def query(self, name: str, **params) -> DataFrame:
         if name not in self.typed:
@@ -101,6 +101,16 @@ class GraphQueries:
         return (self.source.table("gl_definition").join(by, "id", "left_semi").select("id", "name", "fqn", "file_path", "start_line", paths.is_test(F.col("file_path")).alias("is_test"))
                 .distinct().orderBy("file_path", "start_line", "id"))
 
+    def called_symbols(self, symbols: Names, limit: int = 100) -> DataFrame:
+        """(id, name, definition_type, file_path, called_symbol): who calls which of the symbols, a row for each call, the first ``limit`` by symbol, path and id.
+
+        Only ``limit`` rows are ordered; a call that is listed twice has two rows.
+        """
+        called = self._named(symbols).select(F.col("id").alias("target_id"), F.col("name").alias("called_symbol"))
+        callers = self.source.table("gl_definition").select(F.col("id").alias("source_id"), "name", "definition_type", "file_path")
+        rows = self.source.table("gl_calls").join(called, "target_id").join(callers, "source_id").select(F.col("source_id").alias("id"), "name", "definition_type", "file_path", "called_symbol", "target_id")
+        return rows.orderBy("called_symbol", "file_path", "id", "target_id").limit(limit).drop("target_id")
+
     def lineage(self, finding_id: int | None = None) -> DataFrame:
         """(finding_id, symbol, definition_id, mr_id, author): from findings to who introduced the code."""
         t = self.source.table

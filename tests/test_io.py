@@ -60,6 +60,8 @@ def test_typed_queries(spark, tables):
     edges = [tuple(r) for r in q.query("subgraph_edges", symbols=["root"]).collect()]
     assert sorted(edges) == [(2, 1, False, True), (3, 2, False, False), (3, 2, False, False)]
     assert [r.name for r in q.query("direct_callers", symbols=["root", "it's"]).collect()] == ["mid"]
+    calls = [(r.id, r.called_symbol, r.definition_type) for r in q.query("called_symbols", symbols=["mid", "root"]).collect()]
+    assert calls == [(3, "mid", "Function"), (3, "mid", "Function"), (2, "root", "Function")] and q.query("called_symbols", symbols=["mid", "root"], limit=1).count() == 1
     assert {r.id for r in q.query("definitions_by_id", ids=[1, 4, 99]).collect()} == {1, 4}
     assert q.query("all_call_edges").count() == 3
     assert [r.id for r in q.query("ownership_centrality", least=1).collect()] == [2]
