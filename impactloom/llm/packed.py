@@ -3,8 +3,8 @@
 Tens of millions of 8-byte items cost far less to shuffle as a few thousand binary rows than one
 row each.  A *chunk* is what one task has scanned since it last flushed; its items are split over
 hash buckets, and each (chunk, bucket) row holds the items in text order with run lengths per text.
-The number of buckets grows with the input, so what one bucket gathers stays bounded; as hot items
-appear at most once per text and buckets are many, no bucket depends on one key.
+The number of buckets grows with the input, so what one bucket gathers of items that are spread
+stays bounded.  Known limit: an item that is in M texts is M entries (4 to 16 bytes each) of one bucket.
 """
 
 from __future__ import annotations
