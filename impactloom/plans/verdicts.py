@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..durable import Scratch
 from ..functions import paths, spans, textdiff
-from ..operators import reach, scoring
+from ..operators import scoring
 from ..operators.impact import Impact
 from ..streaming.intake import route
 
@@ -69,7 +69,7 @@ def exposed(found: DataFrame, impact: Impact, source) -> DataFrame:
     rows = found.where("affected_symbol IS NOT NULL").select("event_id", "nth", "affected_symbol").join(changed.withColumn("own", F.lit(True)), ["event_id", "affected_symbol"], "left")
     rows = impact.scratch.save(rows.select("event_id", "nth", "affected_symbol", F.coalesce("own", F.lit(False)).alias("composed")), "exposed", release=False)
     project = t("gl_project").select(F.col("id").alias("project_id"), "full_path")
-    shared = (rows.where("composed").join(reach.services(impact.parts), "event_id").join(project, "project_id")
+    shared = (rows.where("composed").join(impact.services(), "event_id").join(project, "project_id")
               .select("event_id", "nth", "composed", "project_id", "full_path", F.lit(None).cast("timestamp").alias("last_deployment"), F.lit(True).alias("is_deployed")))
     alone = rows.where("NOT composed").withColumn("symbol_id", F.xxhash64("affected_symbol"))
     symbols = alone.select(F.col("symbol_id").alias("event_id"), F.col("affected_symbol").alias("changed_symbol")).distinct()
@@ -154,8 +154,8 @@ class Scored:
                    .join(i.definitions.select("id", "name", "file_path", "start_line"), "id"))
         parts = [
             _listed("symbols", first(self.changed.select("event_id", "changed_symbol").distinct(), ["changed_symbol"], SHOWN_SYMBOLS), "changed_symbol"),
-            _listed("files", i.files.where(F.col("rank") <= scoring.TOP_FILES).withColumnRenamed("rank", "place").withColumn("critical", paths.is_critical(path)), "file_path", "affected", "critical"),
-            _listed("areas", scoring.owner_areas(i.files).where(F.col("rank") <= scoring.TOP_OWNERS).withColumnRenamed("rank", "place"), "area", "definitions"),
+            _listed("files", i.top_files.withColumnRenamed("rank", "place").withColumn("critical", paths.is_critical(path)), "file_path", "affected", "critical"),
+            _listed("areas", i.areas.where(F.col("rank") <= scoring.TOP_OWNERS).withColumnRenamed("rank", "place"), "area", "definitions"),
             _listed("keystones", i.ranked_keystones().withColumnRenamed("rank", "place"), "name", "pagerank_rank"),
             _listed("cuts", i.cuts(), "name", "isolated", "is_changed"),
             _listed("callers", first(callers, ["file_path", "start_line", "id"], SHOWN_CALLERS), "name", "file_path", "start_line"),
