@@ -35,5 +35,5 @@ def test_many_events_that_list_their_files_are_few_slices(spark):
     names = reach.packed(spark.createDataFrame([(n, n + k, 1) for n in range(40) for k in range(9)], "event_id long, id long, depth int"), places)
     changed = spark.createDataFrame([(e, e % 40) for e in range(2000)], "event_id long, name long")
     digest = reach.digests(changed, names, places, None, slice_rows=20)
-    assert digest.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    assert digest.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert {x.event_id: x.n for x in digest.collect()} == {e: 9 for e in range(2000)}
